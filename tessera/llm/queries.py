@@ -7,16 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality as q4
+from . import simhash as q2
 from .common import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q2.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = q4.quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.drop("longest_repeat")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality": op4_quality}
+    return {"op2_simhash": op2_simhash, "op4_quality": op4_quality}
 
 
 def _covered(k: int) -> str:
@@ -25,7 +30,7 @@ def _covered(k: int) -> str:
     SELECT doc_id, count(DISTINCT w + o) AS covered FROM (
       SELECT doc_id, w, count(*) OVER (PARTITION BY doc_id, win) AS c FROM (
         SELECT doc_id, unnest(generate_series(1, len(ws) - {k - 1})) AS w,
-               unnest(list_transform(generate_series(1, len(ws) - {k - 1}), i -> array_to_string(list_slice(ws, i, i + {k - 1}), ' '))) AS win
+               unnest(list_transform(generate_series(1, len(ws) - {k - 1}), lambda i: array_to_string(list_slice(ws, i, i + {k - 1}), ' '))) AS win
         FROM words WHERE len(ws) >= {k})
     ), generate_series(0, {k - 1}) AS g(o) WHERE c > 1 GROUP BY doc_id"""
 
