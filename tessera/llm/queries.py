@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import packing as q9
 from . import quality as q4
 from . import simhash as q2
-from .common import table
+from . import token_files as q5
+from .common import scratch_path, table
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +22,21 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("longest_repeat")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest = q5.write_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
+    return q5.digest(manifest)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return q9.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op4_quality": op4_quality}
+    return {"op2_simhash": op2_simhash, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op9_packing": op9_packing}
 
 
 def _covered(k: int) -> str:
