@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import embeddings as q7
 from . import packing as q9
 from . import quality as q4
 from . import simhash as q2
@@ -29,6 +30,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q5.digest(manifest)
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q7.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,7 +41,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op9_packing": op9_packing}
+    return {"op2_simhash": op2_simhash, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op7_embeddings": op7_embeddings, "op9_packing": op9_packing}
 
 
 def _covered(k: int) -> str:
@@ -52,6 +57,16 @@ def _covered(k: int) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_embeddings": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+    label IS NOT NULL AND coalesce(len(embedding), 0) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+      AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) AS ok FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.ok AND b.ok AND list_cosine_similarity(a.e, b.e) >= {q7.COSINE}),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, least(vec_id, coalesce(low, vec_id)) = vec_id AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = vec_id LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = vec_id""",
         "op4_quality": rf"""
 WITH words AS (
   SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
