@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import embeddings as q7
+from . import langid as q10
 from . import packing as q9
 from . import quality as q4
 from . import simhash as q2
@@ -40,8 +41,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q9.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return q10.identify(docs, q10.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op7_embeddings": op7_embeddings, "op9_packing": op9_packing}
+    return {"op2_simhash": op2_simhash, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op7_embeddings": op7_embeddings, "op9_packing": op9_packing, "op10_language": op10_language}
 
 
 def _covered(k: int) -> str:
