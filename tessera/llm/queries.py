@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import embeddings as q7
+from . import html as q1
 from . import langid as q10
 from . import packing as q9
 from . import quality as q4
@@ -15,6 +16,10 @@ from . import token_files as q5
 from .common import scratch_path, table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q1.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q2.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op7_embeddings": op7_embeddings, "op9_packing": op9_packing, "op10_language": op10_language}
+    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op7_embeddings": op7_embeddings, "op9_packing": op9_packing, "op10_language": op10_language}
 
 
 def _covered(k: int) -> str:
