@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, flat_string
 from .tokens import blocks
-from .words import codes, sums, take_spans, text_of, words_of
+from .words import codes, sums, text_of, word_strings, words_of
 
 FOLDS = 5
 PER_LANG, SAMPLE_CHARS, MAX_LANGS = 600, 3_000, 200
@@ -116,7 +116,7 @@ def words_in(col: pa.Array):
     """(code of each word, distinct words, bounds of each text among the words)."""
     t = text_of(col)
     w = words_of(t)
-    code, distinct = codes(take_spans(t.data, w.start, w.end))
+    code, distinct = codes(word_strings(t, w))
     return code, distinct, w.first
 
 

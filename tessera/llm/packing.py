@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, cut, flat_string, map_arrow
-from .tokens import Encoder, blocks
+from .tokens import blocks, encoder
 
 SIZE, GRAIN, END_ID = 2048, 8, 1
 BUCKET_ROWS, ROUNDS = 100_000, 4000
@@ -35,12 +35,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SI
     """Tokenize docs, cut them at multiples of size, and return a row a piece."""
 
     def run(batches):
-        encoder = None
         for b in batches:
-            encoder = encoder or Encoder(tokenizer)
+            encode = encoder(tokenizer)
             col = flat_string(b.column(1))
             for i, j in blocks(col):
-                ids, n = encoder(col.slice(i, j - i))
+                ids, n = encode(col.slice(i, j - i))
                 ids = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
                 n = n + 1
                 count = -(-n // size)

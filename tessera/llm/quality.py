@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import flat_string, map_arrow
-from .words import SPACE, code_points, codes, sums, take_spans, text_of, words_of
+from .words import SPACE, code_points, codes, sums, take_spans, text_of, word_strings, words_of
 
 #: Base rules.
 BASE_WINDOW, BASE_MIN_WORDS, BASE_MAX_PERCENT = 8, 20, 30
@@ -134,7 +134,7 @@ def measure(col: pa.Array, min_words: int = MIN_WORDS, max_percent: int = MAX_PE
     points = code_points(t.data)
     chars = sums(points[w.end] - points[w.start], w.first)
     symbols = sums(SYMBOL[t.data], t.offsets)
-    code, _ = codes(take_spans(t.data, w.start, w.end))
+    code, _ = codes(word_strings(t, w))
     least = min(min_words, BASE_WINDOW)
     longest = longest_repeats(code, w.first, least)
     repeat = _covered(longest, BASE_WINDOW, w.first)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, cut, flat_string
-from .tokens import Encoder, blocks
+from .tokens import blocks, encoder
 
 SEQUENCE, ROWS = 2048, 128
 MANIFEST = "part long, file string, n_docs long, n_tokens long"
@@ -90,7 +90,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
     def run(batches):
         from pyarrow import fs
 
-        encoder, writer, n_docs = None, None, 0
+        writer, n_docs = None, 0
         part = TaskContext.get().partitionId()
         where = out_dir if "://" in out_dir or out_dir.startswith("file:") else "file://" + out_dir
         store, root = fs.FileSystem.from_uri(where)
@@ -99,16 +99,16 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
             if not b.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(tokenizer)
+                encode = encoder(tokenizer)
                 store.create_dir(root, recursive=True)
                 draft = f"{name}.{uuid.uuid4().hex}"
                 sink = store.open_output_stream(draft)
-                writer = Writer(sink, length, encoder.tokenizer.get_vocab_size() > 1 << 16)
+                writer = Writer(sink, length, encode.tokenizer.get_vocab_size() > 1 << 16)
             col = flat_string(b.column(1))
             known = b.column(0)
             doc_ids = known.to_numpy(zero_copy_only=False)
             for i, j in blocks(col):
-                ids, sizes = encoder(col.slice(i, j - i))
+                ids, sizes = encode(col.slice(i, j - i))
                 ends = np.cumsum(sizes)
                 writer.add(doc_ids[i:j], np.insert(ids, ends, end_id), sizes + 1)
             n_docs += b.num_rows

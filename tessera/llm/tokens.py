@@ -14,18 +14,19 @@ import os
 import re
 import unicodedata
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .words import SPACE, Text, codes, take_spans, text_of
+from .words import SPACE, Text, codes, strings, text_of
 
 #: White space beyond ASCII, and controls that some tables count as such (fixed values).
 OTHER_SPACE = "[\x00\x1c-\x1f\u0085  ᠎ -‏ -  ⁠　﻿]"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-MEMORY = 300_000
-BLOCK_BYTES = 8_000_000
+MEMORY = 200_000
+BLOCK_BYTES = 6_000_000
 
 
 class Encoder:
@@ -95,7 +96,7 @@ class Encoder:
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end (uint32), and the number of ids of each text."""
         t = text_of(col)
-        odd = pc.match_substring_regex(pa.Array.from_buffers(pa.large_string(), len(t.offsets) - 1, [None, pa.py_buffer(t.offsets), pa.py_buffer(t.data)]), OTHER_SPACE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(strings(t.data, t.offsets), OTHER_SPACE).to_numpy(zero_copy_only=False)
         start, first = chunks_of(t)
         whole = np.flatnonzero(odd)
         if len(whole):  # one chunk for each of them
@@ -104,7 +105,7 @@ class Encoder:
             lead[first[:-1][np.diff(first) > 0]] = True
             start = start[~odd[text] | lead]
             first = np.searchsorted(start, t.offsets)
-        code, chunks = codes(take_spans(t.data, start, np.append(start[1:], len(t.data))[: len(start)]))
+        code, chunks = codes(strings(t.data, np.append(start, len(t.data))))
         known = self._known(chunks.to_pylist())
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         flat = np.frombuffer(b"".join(known), np.uint32)
@@ -115,6 +116,12 @@ class Encoder:
         return ids, run[first[1:]] - run[first[:-1]]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker; tasks that follow each other share what it remembers."""
+    return Encoder(path)
+
+
 def chunks_of(t: Text) -> tuple[np.ndarray, np.ndarray]:
     """Where chunks start, and the bounds of each text among them.  White space at the end of a text is a chunk."""
     gap = SPACE[t.data]

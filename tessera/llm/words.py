@@ -59,7 +59,18 @@ def take_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array
     offsets = np.zeros(len(start) + 1, np.int64)
     np.cumsum(size, out=offsets[1:])
     out = data[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])] if len(start) else np.zeros(0, np.uint8)
-    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+    return strings(out, offsets)
+
+
+def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A string array over the buffer, without a copy."""
+    offsets = np.ascontiguousarray(offsets, np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def word_strings(t: Text, w: Words) -> pa.Array:
+    """All words as a string array: the text without its white space."""
+    return strings(t.data[~SPACE[t.data]], np.concatenate(([0], np.cumsum(w.end - w.start))))
 
 
 def codes(strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
