@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import embeddings as q7
 from . import html as q1
 from . import langid as q10
+from . import lines as q8
 from . import packing as q9
 from . import quality as q4
 from . import simhash as q2
@@ -40,6 +41,10 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q7.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q8.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,7 +57,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op7_embeddings": op7_embeddings, "op9_packing": op9_packing, "op10_language": op10_language}
+    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op7_embeddings": op7_embeddings, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_language": op10_language}
 
 
 def _covered(k: int) -> str:
