@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import embeddings as q7
 from . import html as q1
 from . import langid as q10
+from . import licenses as q3
 from . import lines as q8
+from . import mixing as q6
 from . import packing as q9
 from . import quality as q4
 from . import simhash as q2
@@ -25,6 +28,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q2.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    return q3.scan(docs).drop("text")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = q4.quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.drop("longest_repeat")
@@ -37,6 +46,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q5.digest(manifest)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return q6.mix(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q7.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -57,7 +71,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op7_embeddings": op7_embeddings, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_language": op10_language}
+    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_embeddings": op7_embeddings, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_language": op10_language}
 
 
 def _covered(k: int) -> str:
