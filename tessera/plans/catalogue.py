@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import changes, coupling, evaluation, graphs, metrics, rules  # noqa: F401  they fill the registry
+from .registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
