@@ -1 +1,207 @@
-"""To fill."""
+"""Base against head, exceptions, answers before an edit."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import change as C
+from ..operators import rules as R
+from .registry import Facts, query
+from .rules import COUPLED, COUPLING, DENYS, DUPLICATION, GRAPH, LAYERS, _errors, denied
+
+TODAY = "1995-02-15"
+EXCEPTIONS = [("graph", "NATION_1", "NATION_2", "1995-03-01", None), ("graph", "NATION_3", None, None, None), ("layers", "NATION_5", "NATION_6", "1995-02-15", None), ("layers", "NATION_10", None, "1995-02-20", None), ("coupling", "NATION_4", "NATION_8", "1995-02-01", None), ("coupling", "NATION_0", None, "1995-01-31", None), ("unowned", "", None, "1995-02-16", "^src/nation_24/")]
+EXC = "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"DATE '{x}'" if k == 3 else f"'{x}'" for k, x in enumerate(e)) + ")" for e in EXCEPTIONS) + ') x(rule, "from", "to", expires, from_regex)'
+
+
+def exceptions(f: Facts):
+    return f.spark.createDataFrame(EXCEPTIONS, "rule string, `from` string, `to` string, expires string, from_regex string").withColumn("expires", F.to_date("expires"))
+
+
+def side(f: Facts, name: str):
+    u = getattr(f, name)
+    return R.graph(u, f.depends_on).unionByName(R.coupling(u, f.modules)).unionByName(R.layers(u, f.modules)).unionByName(R.deny(u, denied(f)))
+
+
+def _side(name: str) -> str:
+    return " UNION ALL ".join(_errors(x.replace("{:uses}", f"{{:{name}}}")) for x in (GRAPH, COUPLING, LAYERS, DENYS))
+
+
+ADDED = f"""WITH h AS (SELECT DISTINCT * FROM ({_side('head')})), b AS (SELECT rule, "from", "to", count(*) AS n FROM (SELECT DISTINCT * FROM ({_side('base')})) GROUP BY ALL),
+k AS (SELECT h.rule, h."from", h."to", count(*) AS n, count(a.file) AS new FROM h LEFT JOIN {{:added}} a ON a.file = h.file AND a.line = h.line GROUP BY ALL),
+change AS (SELECT k.rule, k."from", k."to", k.n AS head_sites, k.new AS added_sites, coalesce(b.n, 0) AS base_sites FROM k LEFT JOIN b ON b.rule = k.rule AND b."from" = k."from" AND b."to" = k."to" WHERE k.n > coalesce(b.n, 0))"""
+NAMED = """e.rule = x.rule AND CASE WHEN x.rule = 'unowned' THEN regexp_matches(e."from", x.from_regex) WHEN x."to" IS NULL THEN e."from" = x."from" ELSE e."from" = x."from" AND e."to" = x."to" END"""
+HOLDS = f"EXISTS (SELECT 1 FROM {EXC} WHERE (expires IS NULL OR expires >= DATE '{TODAY}') AND {NAMED})"
+
+
+def change(f: Facts):
+    return C.added(side(f, "base"), side(f, "head"), f.added)
+
+
+@query("change_added", ADDED + " SELECT * FROM change")
+def change_added(f):
+    return change(f)
+
+
+@query("exceptions_apply", ADDED + f' SELECT e.rule, e."from", e."to", {HOLDS} AS covered FROM change e')
+def exceptions_apply(f):
+    return C.covered(change(f), exceptions(f), TODAY).select(*C.KEY, "covered")
+
+
+EXPIRED = f"""SELECT x.rule, x."from", x."to", x.expires, count(DISTINCT e.rule || e."from" || '>' || e."to")::BIGINT AS errors FROM (SELECT DISTINCT rule, "from", "to" FROM h) e JOIN {EXC} ON {NAMED} WHERE x.expires < DATE '{TODAY}' GROUP BY ALL"""
+
+
+@query("expired_exceptions", ADDED + " " + EXPIRED)
+def expired_exceptions(f):
+    return C.expired_errors(side(f, "head").select(*C.KEY).distinct(), exceptions(f), TODAY)
+
+
+@query("change_verdict", ADDED + f""", v AS (SELECT (SELECT count(*) FROM change e WHERE NOT {HOLDS}) AS errors, (SELECT count(*) FROM ({EXPIRED})) AS expired, (SELECT count(*) FROM {{:head}} q WHERE qty > 43) AS unknown)
+SELECT errors::BIGINT AS errors, expired::BIGINT AS expired, unknown::BIGINT AS unknown, CASE WHEN errors + expired > 0 THEN 'fail' WHEN unknown > 0 THEN 'unknown' ELSE 'pass' END AS status FROM v""")
+def change_verdict(f):
+    n = C.covered(change(f), exceptions(f), TODAY).agg(F.count_if(~F.col("covered")).alias("errors"))
+    x = C.expired_errors(side(f, "head").select(*C.KEY).distinct(), exceptions(f), TODAY).agg(F.count("*").alias("expired"))
+    u = f.head.agg(F.count_if(F.col("qty") > 43).alias("unknown"))
+    row = n.select(F.lit(1).alias("k"), "errors").join(x.select(F.lit(1).alias("k"), "expired"), "k").join(u.select(F.lit(1).alias("k"), "unknown"), "k").drop("k")
+    return row.withColumn("status", F.when(F.col("errors") + F.col("expired") > 0, "fail").when(F.col("unknown") > 0, "unknown").otherwise("pass"))
+
+
+LEFT = f"CAST(expires - DATE '{TODAY}' AS INT)"
+
+
+@query("exception_status", f"""SELECT rule, "from", "to", {LEFT} AS days_left, CASE WHEN expires IS NULL THEN 'no date' WHEN {LEFT} < 0 THEN 'expired' WHEN {LEFT} <= 14 THEN 'expiring' ELSE 'holding' END AS status,
+CASE WHEN expires IS NULL THEN 'no end' WHEN {LEFT} < 0 THEN abs({LEFT}) || ' days over' WHEN {LEFT} = 0 THEN 'last day' WHEN {LEFT} = 1 THEN '1 day left' ELSE {LEFT} || ' days left' END AS days_text FROM {EXC}""")
+def exception_status(f):
+    return C.exception_status(exceptions(f), TODAY)
+
+
+@query("duplication_added", f"""WITH d AS ({DUPLICATION}), k AS (SELECT rule, "from", "to", value, count(*) AS sites, count(*) FILTER (CAST(substr(file, 2) AS BIGINT) % 2 = 1) AS new, count(*) FILTER (CAST(substr(file, 2) AS BIGINT) % 2 = 0) AS old FROM d GROUP BY ALL)
+SELECT "from", "to", value, sites::BIGINT AS sites, new::BIGINT AS new FROM k WHERE sites > old AND new > 0""")
+def duplication_added(f):
+    odd = F.col("file").substr(2, 20).cast("long") % 2 == 1
+    k = R.duplication(f.literals).groupBy("from", "to", "value").agg(F.count("*").alias("sites"), F.count_if(odd).alias("new"), F.count_if(~odd).alias("old"))
+    return k.where("sites > old AND new > 0").select("from", "to", "value", "sites", "new")
+
+
+def _unknown(name: str) -> str:
+    return f"SELECT file, CASE WHEN qty % 2 = 0 THEN target END AS specifier, CASE WHEN qty % 10 = 1 THEN 'tool' WHEN qty % 3 = 0 THEN 'base' ELSE 'import' END AS cause FROM {{:{name}}} z WHERE qty > 30"
+
+
+PLACE = "CASE WHEN specifier IS NOT NULL THEN regexp_replace(file, '/[^/]*$', '') ELSE file END"
+
+
+@query("unknown_added", f"""WITH b AS (SELECT {PLACE} AS place, coalesce(specifier, '') AS s, cause, count(*) AS n FROM ({_unknown('base')}) GROUP BY ALL), h AS (SELECT *, {PLACE} AS place, coalesce(specifier, '') AS s FROM ({_unknown('head')})),
+m AS (SELECT h.place, h.s, h.cause, count(*) AS n FROM h GROUP BY ALL), x AS (SELECT m.* FROM m LEFT JOIN b USING (place, s, cause) WHERE m.n > coalesce(b.n, 0))
+SELECT DISTINCT file, specifier, h.cause FROM h LEFT JOIN x ON x.place = h.place AND x.s = h.s AND x.cause = h.cause WHERE h.cause = 'tool' OR x.n IS NOT NULL OR file IN (SELECT file FROM {{:added}} a WHERE file LIKE '%f3.go')""")
+def unknown_added(f):
+    def unknown(d):
+        cause = F.when(F.col("qty") % 10 == 1, "tool").when(F.col("qty") % 3 == 0, "base").otherwise("import")
+        return d.where("qty > 30").select("file", F.when(F.col("qty") % 2 == 0, F.col("target")).alias("specifier"), cause.alias("cause"))
+
+    return C.unknown_added(unknown(f.base), unknown(f.head), f.added.where("file LIKE '%f3.go'"))
+
+
+RULE_RANK = "CASE rule WHEN 'graph' THEN 0 WHEN 'coupling' THEN 1 WHEN 'layers' THEN 4 ELSE 6 END"
+
+
+@query("record_order", f"""WITH e AS (SELECT DISTINCT * FROM ({_side('head')})) SELECT rule, "from", "to", e.file, e.line, row_number() OVER (ORDER BY CASE WHEN a.file IS NULL THEN 1 ELSE 0 END, e.file, e.line, {RULE_RANK}, rule, "from", "to")::INT AS place FROM e LEFT JOIN {{:added}} a ON a.file = e.file AND a.line = e.line""")
+def record_order(f):
+    from pyspark.sql import Window
+
+    e = side(f, "head").distinct().join(f.added.withColumn("new", F.lit(0)), ["file", "line"], "left").fillna(1, ["new"])
+    # a report is read from the top: its rows have one order over all, dealt by file ranges first
+    e = e.withColumn("rank", R.rank(F.col("rule")))
+    order = ["new", "file", "line", "rank", "rule", "from", "to"]
+    per = e.groupBy("new", "file").agg(F.count("*").alias("n"))
+    before = per.withColumn("before", F.sum("n").over(Window.orderBy("new", "file").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"]).drop("n")
+    inner = F.row_number().over(Window.partitionBy("new", "file").orderBy(*order[2:]))
+    return e.withColumn("r", inner).join(before, ["new", "file"]).select("rule", "from", "to", "file", "line", (F.col("r") + F.col("before")).cast("int").alias("place"))
+
+
+@query("repo_state", ADDED + f""", e AS (SELECT DISTINCT rule, "from", "to" FROM h), d AS (SELECT rule, count(*) FILTER (NOT {HOLDS})::BIGINT AS drift, count(*) FILTER ({HOLDS})::BIGINT AS holding FROM e GROUP BY rule),
+x AS (SELECT rule, count(*) AS expired FROM ({EXPIRED}) GROUP BY rule) SELECT d.rule, drift, holding, coalesce(expired, 0)::BIGINT AS expired, CASE WHEN coalesce(expired, 0) > 0 THEN 'expired' WHEN drift > 0 THEN 'drift' ELSE 'clean' END AS state FROM d LEFT JOIN x USING (rule)""")
+def repo_state(f):
+    e = side(f, "head").select(*C.KEY).distinct()
+    d = C.covered(e, exceptions(f), TODAY).groupBy("rule").agg(F.count_if(~F.col("covered")).alias("drift"), F.count_if("covered").alias("holding"))
+    x = C.expired_errors(e, exceptions(f), TODAY).groupBy("rule").agg(F.count("*").alias("expired"))
+    out = d.join(x, "rule", "left").fillna(0, ["expired"])
+    return out.withColumn("state", F.when(F.col("expired") > 0, "expired").when(F.col("drift") > 0, "drift").otherwise("clean"))
+
+
+QUESTIONS = "SELECT m.module AS from_module, n.module AS to_module, m.layer_pos AS p, n.layer_pos AS q FROM {:modules} m JOIN {:modules} n ON m.num <= 4 AND n.num % 3 = 0 AND m.module <> n.module"
+
+
+@query("can_answer", f"""WITH q AS ({QUESTIONS}), d AS (SELECT q.*, EXISTS (SELECT 1 FROM {{:depends_on}} d WHERE d.module = from_module AND d.target = to_module) AS ok, min(balance) AS worst, max(balance) AS best FROM q LEFT JOIN ({COUPLED}) c USING (from_module, to_module) GROUP BY ALL)
+SELECT from_module, to_module, CASE WHEN NOT ok OR p < q THEN 'no' WHEN worst IS NULL OR (worst < 7 AND best >= 7) THEN 'unknown' WHEN worst < 7 THEN 'no' ELSE 'yes' END AS answer, CASE WHEN NOT ok THEN 'graph' WHEN p < q THEN 'layers' WHEN worst < 7 AND best < 7 THEN 'coupling' END AS rule FROM d""")
+def can_answer(f):
+    m = f.modules.select("module", "num", "layer_pos")
+    q = m.where("num <= 4").select(F.col("module").alias("from_module"), F.col("layer_pos").alias("p")).join(F.broadcast(m.where("num % 3 = 0").select(F.col("module").alias("to_module"), F.col("layer_pos").alias("q"))), F.expr("from_module <> to_module"))
+    ok = f.depends_on.select(F.col("module").alias("from_module"), F.col("target").alias("to_module"), F.lit(True).alias("ok"))
+    seen = R.coupled(f.uses, f.modules).groupBy("from_module", "to_module").agg(F.min("balance").alias("worst"), F.max("balance").alias("best"))
+    d = q.join(ok, ["from_module", "to_module"], "left").join(seen, ["from_module", "to_module"], "left").fillna(False, ["ok"])
+    answer = F.expr("CASE WHEN NOT ok OR p < q THEN 'no' WHEN worst IS NULL OR (worst < 7 AND best >= 7) THEN 'unknown' WHEN worst < 7 THEN 'no' ELSE 'yes' END")
+    rule = F.expr("CASE WHEN NOT ok THEN 'graph' WHEN p < q THEN 'layers' WHEN worst < 7 AND best < 7 THEN 'coupling' END")
+    return d.select("from_module", "to_module", answer.alias("answer"), rule.alias("rule"))
+
+
+@query("import_refusals", f"""SELECT DISTINCT e.rule, e."from", e."to", e.file, e.line FROM ({_side('head')}) e JOIN {{:added}} a ON a.file = e.file AND a.line = e.line WHERE NOT {HOLDS}""")
+def import_refusals(f):
+    e = side(f, "head").join(f.added, ["file", "line"], "left_semi")
+    return C.covered(e, exceptions(f), TODAY).where("NOT covered").select(*C.KEY, "file", "line").distinct()
+
+
+@query("rules_for_paths", """SELECT DISTINCT file, d.id AS rule FROM {:uses} u JOIN (VALUES ('no-teens', '^NATION_1[0-9]$'), ('no-seven', '^NATION_7$')) d(id, r) ON regexp_matches(from_module, r) UNION SELECT DISTINCT file, 'graph' FROM {:uses} u WHERE from_module NOT IN (SELECT module FROM {:depends_on} d)""")
+def rules_for_paths(f):
+    u = f.uses.select("file", "from_module").distinct()
+    named = u.join(F.broadcast(denied(f)), F.expr("from_module RLIKE from_regex")).select("file", F.col("id").alias("rule"))
+    free = u.join(f.depends_on.select(F.col("module").alias("from_module")).distinct(), "from_module", "left_anti").select("file", F.lit("graph").alias("rule"))
+    return named.union(free).distinct()
+
+
+@query("policy_diff", """WITH b AS (SELECT module, target FROM {:depends_on} d WHERE module NOT LIKE '%1'), h AS (SELECT module, target FROM {:depends_on} d WHERE target NOT LIKE '%2')
+SELECT module, target, CASE WHEN h.target IS NULL THEN 'tightens' WHEN b.target IS NULL THEN 'loosens' ELSE 'neither' END AS direction FROM b FULL JOIN h USING (module, target)""")
+def policy_diff(f):
+    b = f.depends_on.where("module NOT LIKE '%1'").withColumn("was", F.lit(True))
+    h = f.depends_on.where("target NOT LIKE '%2'").withColumn("now", F.lit(True))
+    return b.join(h, ["module", "target"], "full").select("module", "target", F.when(F.col("now").isNull(), "tightens").when(F.col("was").isNull(), "loosens").otherwise("neither").alias("direction"))
+
+
+@query("suggest_name", """WITH t AS (SELECT DISTINCT 'NATON_' || CAST(num AS STRING) AS name FROM {:modules} m UNION SELECT 'NATION' || CAST(num AS STRING) FROM {:modules} m UNION SELECT 'Whatever')
+SELECT name, (SELECT min(struct_pack(d := levenshtein(name, module), m := module)).m FROM {:modules} m WHERE levenshtein(name, module) <= 2) AS suggestion FROM t""")
+def suggest_name(f):
+    m = f.modules.select("module", "num")
+    names = m.select(F.explode(F.array(F.concat(F.lit("NATON_"), F.col("num").cast("string")), F.concat(F.lit("NATION"), F.col("num").cast("string")), F.lit("Whatever"))).alias("name")).distinct()
+    near = names.join(F.broadcast(m.select("module")), F.expr("levenshtein(name, module) <= 2")).groupBy("name").agg(F.min(F.struct(F.levenshtein("name", "module").alias("d"), "module")).alias("s"))
+    return names.join(near, "name", "left").select("name", F.col("s.module").alias("suggestion"))
+
+
+@query("stale_reviews", "SELECT o_custkey AS reviewer, max(CAST(o_orderdate AS DATE)) AS last_review, CAST(DATE '2001-08-01' - max(CAST(o_orderdate AS DATE)) AS INT) AS days FROM orders GROUP BY o_custkey HAVING DATE '2001-08-01' - max(CAST(o_orderdate AS DATE)) > 90")
+def stale_reviews(f):
+    by = f.orders.groupBy(F.col("o_custkey").alias("reviewer")).agg(F.max(F.col("o_orderdate").cast("date")).alias("last_review"))
+    return by.withColumn("days", F.datediff(F.to_date(F.lit("2001-08-01")), "last_review")).where("days > 90")
+
+
+@query("draft_modules", "WITH p AS (SELECT DISTINCT target AS file FROM {:uses} u) SELECT CASE WHEN len(string_split(file, '/')) > 2 THEN split_part(file, '/', 1) || '/' || split_part(file, '/', 2) ELSE split_part(file, '/', 1) END AS module, count(*)::BIGINT AS files FROM p GROUP BY 1")
+def draft_modules(f):
+    parts = F.split("file", "/")
+    key = F.array_join(F.slice(parts, 1, F.least(F.lit(2), F.size(parts) - 1)), "/")
+    return f.uses.select(F.col("target").alias("file")).distinct().groupBy(key.alias("module")).agg(F.count("*").alias("files"))
+
+
+@query("draft_depends_on", "SELECT from_module AS module, string_agg(DISTINCT to_module, ',' ORDER BY to_module) AS depends_on FROM {:uses} u WHERE from_module <> to_module GROUP BY 1")
+def draft_depends_on(f):
+    empty = f.depends_on.limit(0)
+    return R.graph(f.uses, empty).groupBy(F.col("from").alias("module")).agg(F.array_join(F.array_sort(F.collect_set("to")), ",").alias("depends_on"))
+
+
+@query("draft_public", "WITH p AS (SELECT DISTINCT to_module AS module, regexp_replace(target, '/[^/]*$', '') AS dir, target, public FROM {:uses} u) SELECT module, dir || '/**' AS surface, count(*)::BIGINT AS files FROM p GROUP BY module, dir HAVING bool_and(public)")
+def draft_public(f):
+    p = f.uses.select(F.col("to_module").alias("module"), F.regexp_replace("target", "/[^/]*$", "").alias("dir"), "target", "public").distinct()
+    return p.groupBy("module", "dir").agg(F.bool_and("public").alias("all"), F.count("*").alias("files")).where("all").select("module", F.concat("dir", F.lit("/**")).alias("surface"), "files")
+
+
+@query("draft_containment", "SELECT p_brand AS package_set, count(DISTINCT from_module)::BIGINT AS users FROM {:uses} u JOIN part ON part = p_partkey GROUP BY p_brand HAVING count(DISTINCT from_module) BETWEEN 1 AND 24 AND count(DISTINCT from_module) < (SELECT count(*) FROM {:modules} m)")
+def draft_containment(f):
+    n = f.modules.count()
+    by = f.uses.join(f.part.select(F.col("p_partkey").alias("part"), "p_brand"), "part").groupBy(F.col("p_brand").alias("package_set")).agg(F.count_distinct("from_module").alias("users"))
+    return by.where((F.col("users") >= 1) & (F.col("users") < n))

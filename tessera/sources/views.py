@@ -18,7 +18,7 @@ VIEWS = {
       n1.n_name AS from_module, n2.n_name AS to_module, n1.n_nationkey AS from_num, n2.n_nationkey AS to_num, l_partkey % 3 = 0 AS public, CAST(o_orderdate AS DATE) AS day,
       l_returnflag AS flag, l_linestatus AS status, CAST(l_quantity AS INT) AS qty, CAST(l_partkey AS BIGINT) AS part
       FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{customer}} ON o_custkey = c_custkey
-      JOIN {{nation}} n1 ON s_nationkey = n1.n_nationkey JOIN {{nation}} n2 ON c_nationkey = n2.n_nationkey WHERE o_orderdate < TIMESTAMP '{END} 00:00:00'""",
+      JOIN {{nation}} n1 ON s_nationkey = n1.n_nationkey JOIN {{nation}} n2 ON c_nationkey = n2.n_nationkey WHERE o_orderdate < {{end}}""",
     "depends_on": f"SELECT DISTINCT from_module AS module, to_module AS target FROM {{:uses}} u WHERE day < DATE '{SHORT}' AND (from_num + to_num) % 3 <> 0",
     "base": f"SELECT * FROM {{:uses}} u WHERE day < DATE '{CUTOFF}'",
     "head": "SELECT * FROM {:uses} u WHERE qty <= 44",
@@ -28,8 +28,8 @@ VIEWS = {
       public, qty, part, status FROM {:uses} u""",
     "literals": "SELECT DISTINCT source AS module, 'd' || CAST(doc_id AS STRING) AS file, line AS value, doc_id FROM (SELECT source, doc_id, {unnest} AS line FROM {documents}) t WHERE length(line) >= 12",
 }
-_SPARK = {"unnest": "explode(split(text, '\\n'))"}
-_DUCK = {"unnest": "unnest(string_split(text, chr(10)))"}
+_SPARK = {"end": f"TIMESTAMP_NTZ '{END} 00:00:00'", "unnest": "explode(split(text, '\\n'))"}
+_DUCK = {"end": f"TIMESTAMP '{END} 00:00:00'", "unnest": "unnest(string_split(text, chr(10)))"}
 
 
 def _bind(name: str, tables, extra: dict) -> str:
