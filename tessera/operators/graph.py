@@ -6,6 +6,8 @@ the newest pairs and is written to the shared folder, so plans stay short.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,17 +72,21 @@ def longest_chain(edges: DataFrame) -> DataFrame:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(id, root) of connected components: hook to the least neighbour, jump, contract."""
+    """(id, root) of connected components: hook to the least neighbour under a mask of the round, jump, contract."""
     e = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    out = None
+    draw, out = random.Random(5), None
     while not e.isEmpty():
-        low = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m"))
-        hook = cut(low.select(F.col("a").alias("id"), F.least("a", "m").alias("p")), "hook")
-        step = cut(hook.join(hook.select(F.col("id").alias("p"), F.col("p").alias("q")), "p", "left").select("id", F.coalesce("q", "p").alias("p")), "hook")
+        mask = F.lit(draw.getrandbits(64) - (1 << 63))
+        low = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min(F.col("b").bitwiseXOR(mask)).alias("m"))
+        hook = cut(low.select(F.col("a").alias("id"), F.least(F.col("a").bitwiseXOR(mask), "m").bitwiseXOR(mask).alias("p")), "hook")
+        step = cut(hook.join(hook.select(F.col("id").alias("p"), F.col("p").alias("q")), "p").select("id", F.col("q").alias("p")), "hook")
         out = cut(step.select("id", F.col("p").alias("root")) if out is None else out.join(step.select(F.col("id").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root")), "roots")
         x, y = step.select(F.col("id").alias("a"), F.col("p").alias("x")), step.select(F.col("id").alias("b"), F.col("p").alias("y"))
         e = cut(e.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    return out if out is not None else e.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    if out is None:
+        return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    least = out.groupBy("root").agg(F.min("id").alias("least"))
+    return out.join(least, "root").select("id", F.col("least").alias("root"))
 
 
 def cascade(nodes: DataFrame, strong: DataFrame) -> DataFrame:
