@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,34 +13,37 @@ from .common import cut, drop
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, root) for every id in edges(a, b): root is the smallest id reachable.
 
-    Each round hooks every node to its smallest neighbour, follows the hooks
-    twice and contracts the edges, so that edges fall by a constant factor a
-    round; the maps of the rounds are then composed.  Minima are combined
-    before shuffles, and each round is written to the shared folder, so neither
-    a hub with very many edges nor a lost executor holds a round up.  Null ids
-    and loops are left out.
+    Each round hooks every node to the neighbour that is least under a random
+    mask, follows the hooks once more and contracts the edges.  The mask makes
+    the order a new one in each round, so a chain of ascending ids shrinks by a
+    constant factor as well.  The maps of the rounds are then composed and the
+    least id of each component taken.  Minima are combined before shuffles, and
+    each round is written to the shared folder, so neither a hub with very many
+    edges nor a lost executor holds a round up.  Null ids and loops are left out.
     """
     e = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    maps: list[DataFrame] = []
+    draw = random.Random(11)
+    out = None
     while not e.isEmpty():
-        low = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m"))
-        hook = low.select(F.col("a").alias("id"), F.least("a", "m").alias("p"))
+        mask = F.lit(draw.getrandbits(64) - (1 << 63))
+        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(mask)).alias("m"))
+        hook = cut(low.select(F.col("a").alias("id"), F.least(F.col("a").bitwiseXOR(mask), "m").bitwiseXOR(mask).alias("p")), name)
         hop = hook.select(F.col("id").alias("p"), F.col("p").alias("q"))
-        up = cut(hook.join(hop, "p", "left").select("id", F.coalesce("q", "p").alias("p")), name)
-        hop = up.select(F.col("id").alias("p"), F.col("p").alias("q"))
-        step = cut(up.join(hop, "p", "left").select("id", F.coalesce("q", "p").alias("p")), name)
+        step = cut(hook.join(hop, "p").select("id", F.col("q").alias("p")), name)
         nxt = e.join(step.select(F.col("id").alias("a"), F.col("p").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("p").alias("y")), "b")
         nxt = cut(nxt.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
-        drop(e, up)
+        drop(e, hook)
         e = nxt
-        maps.append(step)
+        if out is None:
+            out = step.select("id", F.col("p").alias("root"))
+        else:
+            out = cut(out.join(step.select(F.col("id").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root")), name)
     drop(e)
-    if not maps:
+    if out is None:
         return e.sparkSession.createDataFrame([], edges.select(F.col("a").alias("id"), F.col("a").alias("root")).schema)
-    out = maps[0].select("id", F.col("p").alias("root"))
-    for m in maps[1:]:
-        out = out.join(m.select(F.col("id").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root"))
-    return out
+    least = out.groupBy("root").agg(F.min("id").alias("least"))
+    return out.join(least, "root").select("id", F.col("least").alias("root"))
 
 
 class Forest:

@@ -111,14 +111,15 @@ def rate(gradients: list[list[float]], most: float | None = None) -> Column:
 
 
 def solve(rated: DataFrame, targets: dict[str, float] | None, rounds: int = ROUNDS, most: float | None = None) -> list[list[float]]:
-    """Gradients of the rounds.  targets: share of all tokens for each domain, or None to keep all but toxic text."""
+    """Gradients of the rounds.  targets: share of all tokens for each domain, or None for the expected totals of the documents that are not toxic rather than anything else."""
     light = rated.select("n_tokens", *[f"p_{d}" for d in DOMAINS])
-    mass = light.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]).first()
-    mass = [x or 0.0 for x in mass]
-    total = sum(mass)
+    clean = F.greatest("p_good", "p_low") >= F.col("p_toxic")
+    sums = light.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS], *[F.sum(F.when(clean, F.col("n_tokens") * F.col(f"p_{d}"))) for d in DOMAINS]).first()
+    sums = [x or 0.0 for x in sums]
+    mass, total = sums[:3], sum(sums[:3])
     if not total:
         return []
-    goal = [0.0 if d == "toxic" else m for d, m in zip(DOMAINS, mass)] if targets is None else [targets[d] * total for d in DOMAINS]
+    goal = sums[3:] if targets is None else [targets[d] * total for d in DOMAINS]
     gradients: list[list[float]] = []
     for _ in range(rounds):
         r = rate(gradients, most)
