@@ -200,8 +200,8 @@ def draft_public(f):
     return p.groupBy("module", "dir").agg(F.bool_and("public").alias("all"), F.count("*").alias("files")).where("all").select("module", F.concat("dir", F.lit("/**")).alias("surface"), "files")
 
 
-@query("draft_containment", "SELECT p_brand AS package_set, count(DISTINCT from_module)::BIGINT AS users FROM {:uses} u JOIN part ON part = p_partkey GROUP BY p_brand HAVING count(DISTINCT from_module) BETWEEN 1 AND 24 AND count(DISTINCT from_module) < (SELECT count(*) FROM {:modules} m)")
+@query("draft_containment", "SELECT p_brand || '/' || p_partkey AS package_set, count(DISTINCT from_module)::BIGINT AS users FROM {:uses} u JOIN part ON part = p_partkey GROUP BY 1 HAVING count(DISTINCT from_module) BETWEEN 1 AND 24 AND count(DISTINCT from_module) < (SELECT count(*) FROM {:modules} m)")
 def draft_containment(f):
     n = f.modules.count()
-    by = f.uses.join(f.part.select(F.col("p_partkey").alias("part"), "p_brand"), "part").groupBy(F.col("p_brand").alias("package_set")).agg(F.count_distinct("from_module").alias("users"))
+    by = f.uses.join(f.part.select(F.col("p_partkey").alias("part"), F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("package_set")), "part").groupBy("package_set").agg(F.count_distinct("from_module").alias("users"))
     return by.where((F.col("users") >= 1) & (F.col("users") < n))

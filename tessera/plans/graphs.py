@@ -78,16 +78,17 @@ def alias_components(f):
     return k.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
-PARENTS = "SELECT o_orderkey AS a, CAST(o_orderkey // 2 AS BIGINT) AS b FROM orders WHERE o_orderkey BETWEEN 1 AND 400 UNION SELECT o_orderkey, CAST(o_orderkey // 3 AS BIGINT) FROM orders WHERE o_orderkey BETWEEN 1 AND 400 AND o_orderkey % 5 = 0"
+PARENTS = "SELECT o_orderkey AS a, CAST(o_orderkey // 2 AS BIGINT) AS b FROM orders WHERE o_orderkey > 0 UNION SELECT o_orderkey, CAST(o_orderkey // 3 AS BIGINT) FROM orders WHERE o_orderkey > 0 AND o_orderkey % 5 = 0"
 
 
-@query("merge_base", f"""WITH RECURSIVE e AS ({PARENTS}), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), u AS (SELECT a, b FROM r UNION SELECT a, a FROM e),
-c AS (SELECT b FROM u WHERE a = 395 INTERSECT SELECT b FROM u WHERE a = 390) SELECT b AS id FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.a IN (SELECT b FROM c) AND r.b = c.b)""")
+@query("merge_base", f"""WITH RECURSIVE e AS ({PARENTS}), u(a, b) AS (SELECT DISTINCT a, a FROM e WHERE a >= (SELECT max(a) - 1 FROM e) UNION SELECT u.a, e.b FROM u JOIN e ON u.b = e.a),
+c AS (SELECT b FROM u GROUP BY b HAVING count(DISTINCT a) = 2), v(b) AS (SELECT e.b FROM c JOIN e ON e.a = c.b UNION SELECT e.b FROM v JOIN e ON v.b = e.a)
+SELECT b AS id FROM c WHERE b NOT IN (SELECT b FROM v)""")
 def merge_base(f):
-    o = f.orders.where("o_orderkey BETWEEN 1 AND 400").select(F.col("o_orderkey").alias("a"))
+    o = f.orders.where("o_orderkey > 0").select(F.col("o_orderkey").alias("a"))
     p = o.withColumn("b", F.expr("a div 2")).unionAll(o.where("a % 5 = 0").withColumn("b", F.expr("a div 3"))).distinct()
-    one = lambda n: f.spark.createDataFrame([(n,)], "id long")
-    return G.merge_base(p, one(395), one(390))
+    top = o.agg(F.max("a").alias("id"))
+    return G.merge_base(p, top, top.select((F.col("id") - 1).alias("id")))
 
 
 @query("graph_nodes", "SELECT id, min_by(language, pos * 2 + CASE WHEN language = 'go' THEN 0 ELSE 1 END) AS language FROM (SELECT target AS id, CASE l.status WHEN 'F' THEN 'go' ELSE 'python' END AS language, line AS pos FROM {:uses} l) GROUP BY id")
