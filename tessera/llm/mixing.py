@@ -31,13 +31,17 @@ TARGETS = {"good": 0.85, "low": 0.15, "toxic": 0.0}
 SAMPLE, MAX_WORDS, BUCKETS, LEAST, MIN_RATE, SIGNIFICANT, ROUNDS, TOLERANCE = 20_000, 2_000, 32_768, 5, 0.08, 4.0, 40, 1e-4
 
 
-def features(text: Column) -> Column:
-    """Hashes of the distinct words of a text, its share of runs of marks and its variety of words, in steps."""
-    words = _words(text)
-    marks = F.array(F.concat(F.lit("marks "), F.least(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[#*$%&|!]+")) * 4 / F.greatest(F.size(words), F.lit(1)), F.lit(4)).cast("int").cast("string")))
-    kinds = F.array_distinct(words)
-    variety = F.array(F.concat(F.lit("variety "), F.when(F.size(words) > 0, F.floor(10 * F.size(kinds) / F.size(words))).otherwise(-1).cast("string")))
-    return F.transform(F.array_distinct(F.concat(kinds, marks, variety)), lambda x: F.xxhash64(x))
+def featured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with n_tokens and _h: hashes of the distinct words of a text, its share of runs of marks and its variety of words, in steps.
+
+    Each step is a column of its own, so that a text is split once.
+    """
+    out = docs.withColumn("_w", _words(F.col(text)))
+    out = out.withColumns({"_k": F.array_distinct("_w"), "n_tokens": F.size("_w").cast("long"), "_m": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[#*$%&|!]+"))})
+    marks = F.concat(F.lit("marks "), F.least(F.col("_m") * 4 / F.greatest("n_tokens", F.lit(1)), F.lit(4)).cast("int").cast("string"))
+    variety = F.concat(F.lit("variety "), F.when(F.col("n_tokens") > 0, F.floor(10 * F.size("_k") / F.col("n_tokens"))).otherwise(-1).cast("string"))
+    out = out.withColumn("_h", F.transform(F.concat("_k", F.array(marks, variety)), lambda x: F.xxhash64(x)))
+    return out.drop("_w", "_k", "_m")
 
 
 def _words(text: Column) -> Column:
@@ -52,7 +56,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
     """Log priors, and log weights by feature: the most telling features of the labelled sample."""
     known = labels.select("doc_id", domain().alias("domain")).where("domain is not null and doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = cut(docs.join(drawn, "doc_id").select("domain", features(F.col("text")).alias("h")), "mixing-sample")
+    rows = cut(featured(docs.select("doc_id", "text").join(drawn, "doc_id")).select("domain", F.col("_h").alias("h")), "mixing-sample")
     size = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(size.values())
     prior = [math.log((size.get(d, 0) + 1) / (total + len(DOMAINS))) for d in DOMAINS]
@@ -74,11 +78,11 @@ def posteriors(docs: DataFrame, model: tuple[list[float], dict[int, list[float]]
     slots: dict[int, int] = {}
     for h in weights:  # the most telling first; one feature a slot
         slots.setdefault(h % BUCKETS, h)
-    out = docs.withColumn("n_tokens", F.size(_words(F.col(text))).cast("long"))
+    out = featured(docs, text)
     if slots:
         keys = F.from_json(F.lit(json.dumps([slots.get(b, 0) for b in range(BUCKETS)])), "array<long>")
         at = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-        out = out.withColumn("_b", F.transform(F.filter(features(F.col(text)), lambda h: F.get(keys, at(h)) == h), at))
+        out = out.withColumn("_b", F.transform(F.filter("_h", lambda h: F.get(keys, at(h)) == h), at))
     scores = []
     for k, d in enumerate(DOMAINS):
         score = F.lit(prior[k])
@@ -89,7 +93,7 @@ def posteriors(docs: DataFrame, model: tuple[list[float], dict[int, list[float]]
         scores.append(f"_{d}")
     top = F.greatest(*scores)
     total = sum((F.exp(F.col(s) - top) for s in scores[1:]), F.exp(F.col(scores[0]) - top))
-    return out.withColumns({f"p_{d}": F.exp(F.col(f"_{d}") - top) / total for d in DOMAINS}).drop("_b", *scores)
+    return out.withColumns({f"p_{d}": F.exp(F.col(f"_{d}") - top) / total for d in DOMAINS}).drop("_b", "_h", *scores)
 
 
 def _adder(table: Column):
@@ -131,17 +135,19 @@ def solve(rated: DataFrame, targets: dict[str, float] | None, rounds: int = ROUN
     return gradients
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = TARGETS, most: float | None = None, nearest: bool = False, rounds: int = ROUNDS, text: str = "text") -> DataFrame:
-    """docs with n_tokens, the posteriors, rate and copies.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = TARGETS, most: float | None = None, nearest: bool = False, rounds: int = ROUNDS, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (its columns in keep, or all) with n_tokens, the posteriors, rate and copies.
+
+    Posteriors are computed once and written to the shared folder with the kept columns.
 
     copies is the rate rounded down or up by a hash of the id, so that expected
     totals hold, or to the nearest whole number.
     """
     model = fit(docs, labels)
     named = ["n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies"]
-    rows = posteriors(docs.drop(*named), model, text)
-    light = cut(rows.select(*named[:4]), "mixing-posteriors")
-    r = rate(solve(light, targets, rounds, most), most)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in named]
+    rows = cut(posteriors(docs.drop(*named), model, text).select(*keep, *named[:4]), "mixing-posteriors")
+    r = rate(solve(rows, targets, rounds, most), most)
     rows = rows.withColumn("rate", r)
     share = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 40)) / float(1 << 40)
     copies = F.round("rate") if nearest else F.floor("rate") + F.when(F.col("doc_id").isNotNull() & (share < F.col("rate") - F.floor("rate")), 1).otherwise(0)

@@ -48,7 +48,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return q6.mix(docs, table(spark, sf_dir, "labels")).drop("text")
+    return q6.mix(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
