@@ -2,11 +2,14 @@
 
 Units are lines (headers and notices) and whole files (licence files).  The
 vocabulary is that of the templates, a few hundred words; its document
-frequencies come from all files, and template words found in more than
-``MAX_DF`` of them are stop words.  A unit's vector holds its vocabulary words
-by tf-idf; its other words weigh as much as a word of a single file each.  Units
+frequencies come from all files.  No template word is a stop word: a notice that
+a hot source repeats has common words only, and they are what tells it apart.
+A unit's vector holds its vocabulary words by tf-idf; its other words weigh as
+much as a word of a single file each.  Units
 are compared inside their row, and only those whose vocabulary part can reach
-the cosine are compared with templates; texts are never shuffled.  A file takes
+the cosine are compared with templates: by Cauchy and Schwarz the template words
+that a unit holds must carry the squared cosine of the template, so one of the
+template's heaviest words is among them.  Texts are never shuffled.  A file takes
 the license of its best line or of its whole text; one without takes that of the
 nearest directory above it that holds a licence file, found by equi-joins on
 the directories of its path.
@@ -46,7 +49,9 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-LINE_COSINE, FILE_COSINE, MAX_DF = 0.8, 0.5, 0.05
+LINE_COSINE, FILE_COSINE = 0.8, 0.5
+#: Share of the files up to which a template word counts: all of them.
+MAX_DF = 1.0
 SPLIT = r"[^\p{L}\p{N}.-]+|\.(?=$|[^\p{N}])"
 
 
@@ -59,15 +64,13 @@ def words(text: Column) -> Column:
 
 
 def _model(files: DataFrame, templates: dict[str, str]):
-    """Weights of the vocabulary, stop words, weight of other words, and unit template vectors."""
+    """Weights of the vocabulary, weight of other words, and unit template vectors."""
     vocabulary = sorted({w for t in templates.values() for w in terms(t)})
-    spark = files.sparkSession
     total = files.count()
-    listed = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "w string"))  # the templates' words
-    found = files.select(F.explode(F.array_distinct(words(F.col("_text")))).alias("w")).join(listed, "w").groupBy("w").agg(F.count("*").alias("n")).collect()
+    listed = F.array(*[F.lit(w) for w in vocabulary])  # the templates' words
+    found = files.select(F.explode(F.array_intersect(words(F.col("_text")), listed)).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
     df = {r["w"]: r["n"] for r in found}
-    stop = [w for w in vocabulary if df.get(w, 0) > max(MAX_DF * total, 1)]
-    idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in vocabulary if w not in stop}
+    idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     vectors = {}
     for name, t in templates.items():
         tf: dict[str, int] = {}
@@ -77,14 +80,33 @@ def _model(files: DataFrame, templates: dict[str, str]):
         size = math.sqrt(sum((n * idf[w]) ** 2 for w, n in tf.items()))
         if size:
             vectors[name] = {w: n * idf[w] / size for w, n in tf.items()}
-    return idf, stop, math.log((1 + total) / 2) + 1, vectors
+    return idf, math.log((1 + total) / 2) + 1, vectors
+
+
+def _heavy(vectors, least: float) -> list[str]:
+    """Words of which a unit must hold one to come to that cosine with a template: the others carry too little of it."""
+    out = set()
+    for vector in vectors.values():
+        left = 1.0
+        for w, x in sorted(vector.items(), key=lambda v: (-v[1], v[0])):
+            if left < least * least - 1e-6:
+                break
+            out.add(w)
+            left -= x * x
+    return sorted(out)
+
+
+def _held(distinct: Column, vectors, least: float) -> Column:
+    """Whether the words of a unit carry enough of a template to come to that cosine."""
+    share = [sum((F.when(F.array_contains(distinct, w), x * x).otherwise(0.0) for w, x in v.items()), F.lit(0.0)) for v in vectors.values()]
+    return F.greatest(F.lit(0.0), *share) >= least * least - 1e-6
 
 
 def _best(known: Column, n: Column, model, least: float) -> Column:
     """Best (minus cosine, license) of a unit with those vocabulary words among n words, or null."""
-    idf, _, other, vectors = model
+    idf, other, vectors = model
     weight = F.from_json(F.lit(json.dumps(idf)), "map<string,double>")
-    times = lambda w: F.size(F.filter(known, lambda k: k == w))
+    times = lambda w: F.size(known) - F.size(F.array_remove(known, w))
     part = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda a, w: a + F.pow(times(w) * F.element_at(weight, w), F.lit(2.0)))
     size2 = part + (n - F.size(known)) * (other * other)
     scores = []
@@ -108,14 +130,17 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
     scanned = rows.select("_path", "_text", "_key").where("_path is not null and _text is not null")
     model = _model(scanned, templates)
     kind = "struct<c:double,license:string>"
-    idf, stop, _, vectors = model
+    idf, _, vectors = model
     if vectors:
         units = scanned.select("_key", F.transform(F.split("_text", "\n"), words).alias("ws"))
-        units = units.select("_key", F.transform("ws", lambda w: F.filter(w, lambda x: F.array_contains(F.lit(sorted(idf)), x))).alias("known"), F.transform("ws", lambda w: F.size(F.filter(w, lambda x: ~F.array_contains(F.lit(["", *stop]), x)))).alias("n"))
+        units = units.select("_key", F.transform("ws", lambda w: F.filter(w, lambda x: x.isin(sorted(idf)))).alias("known"), F.transform("ws", F.size).alias("n"))
         units = units.where(F.size(F.flatten("known")) > 0)
-        by_line = F.array_min(F.transform(F.arrays_zip("known", "n"), lambda u: _best(u["known"], u["n"], model, line_cosine)))
+        heavy = F.array(*[F.lit(w) for w in _heavy(vectors, line_cosine)])
+        near = F.filter(F.arrays_zip("known", "n"), lambda u: F.arrays_overlap(u["known"], heavy))
+        by_line = F.array_min(F.transform(F.filter(near, lambda u: _held(u["known"], vectors, line_cosine)), lambda u: _best(u["known"], u["n"], model, line_cosine)))
         by_file = units.select("_key", by_line.alias("line"), F.flatten("known").alias("known"), F.aggregate("n", F.lit(0), lambda a, x: a + x).alias("n"))
-        found = by_file.select("_key", "line", _best(F.col("known"), F.col("n"), model, file_cosine).alias("file")).where("line is not null or file is not null")
+        by_file = by_file.withColumn("held", _held(F.array_distinct("known"), vectors, file_cosine))
+        found = by_file.select("_key", "line", F.when(F.col("held"), _best(F.col("known"), F.col("n"), model, file_cosine)).alias("file")).where("line is not null or file is not null")
     else:
         found = scanned.select("_key", F.lit(None).cast(kind).alias("line"), F.lit(None).cast(kind).alias("file")).limit(0)
     own = found.select("_key", F.col("line.license").alias("line_license"), (-F.col("line.c")).alias("line_cosine"), F.col("file.license").alias("file_license"), (-F.col("file.c")).alias("file_cosine")).distinct()

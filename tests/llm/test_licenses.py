@@ -78,3 +78,13 @@ def test_scan(spark):
     by = {r[0]: r for r in got}
     assert by["a/b/d/e.py"][1] == "GPL-3.0" and by["a/x.py"][1] == "MIT" and by["q/x.py"][3] == "line"
     assert L.scan(df.limit(0)).count() == 0
+
+
+def test_common_notice(spark):
+    prose = "some words that say nothing much at all about anything in here number "
+    rows = [(f"hot/{i}", f"{prose}{i}\nLicensed under the Apache License, Version 2.0.\n{prose}") for i in range(40)]
+    rows += [(f"mit/{i}", f"{prose}{i}\nMIT license") for i in range(3)] + [(f"mit{i}/x", f"mit anderen Leuten {i}") for i in range(20)]
+    rows += [(f"z{i}/x", prose + str(i)) for i in range(57)] + [("gpl/x", L.TEMPLATES["GPL-3.0"])]
+    got = {r.path: r for r in L.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert all(got[f"hot/{i}"].license == "Apache-2.0" and got[f"hot/{i}"].license_from == "line" for i in range(40))
+    assert got["gpl/x"].license == "GPL-3.0" and all(got[f"z{i}/x"].license is None and got[f"mit{i}/x"].license is None for i in range(20))
