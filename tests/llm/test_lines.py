@@ -73,3 +73,11 @@ def test_odd_texts(spark):
     got = sorted(((r.doc_id, r.text, r.n_lines, r.n_kept) for r in Q.dedup_lines(df).collect()), key=key)
     assert got == sorted(brute(rows), key=key)
     assert Q.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_repetitive_lines_of_different_lengths(spark):
+    sentence = "".join(random.Random(8).choice("abcdefghij klmnop") for _ in range(150))
+    rows = [(1, sentence), (2, sentence + sentence), (3, "=" * 100), (4, "=" * 300), (5, "=" * 400), (6, "-+" * 90 + "\n" + "-+" * 700)]
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_kept) for r in Q.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute(rows))
+    assert [r[3] for r in got] == [1, 0, 1, 0, 0, 1]
