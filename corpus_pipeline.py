@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One line of each group of similar lines; documents left without a word go."""
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(docs, short=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

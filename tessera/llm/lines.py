@@ -16,7 +16,9 @@ pairs whose minima differ too often are dropped inside the join.  Exact Jaccard
 distributed union-find joins them, and the first line of each component (by
 document id, then place) is kept.
 
-Lines shorter than a shingle have none and always stay.  Lines are known by a
+Lines shorter than a shingle have none: they stay, or with ``short`` those with
+more than blanks are one shingle each, so that equal ones collapse by their
+hash.  Lines are known by a
 64-bit hash: two of a billion different lines share one with probability 0.03.
 
 Defined results: a null text stays null and has no line; rows with the same id
@@ -133,12 +135,13 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY, bands: int
     return roots
 
 
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with the lines kept as text, and n_lines and n_kept."""
+def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
+    """docs with the lines kept as text, and n_lines and n_kept; short: whether equal lines shorter than a shingle collapse too."""
     rows = docs.withColumn("_doc", F.xxhash64(F.col(id), F.col(text)))
     lines = split_lines(rows.select("_doc", text), text)
     roots = line_components(lines, similarity)
-    place = rows.select("_doc", F.col(id).alias("_id"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line")).where(F.length("line") >= SHINGLE).select("_id", "_doc", "at", F.xxhash64("line").alias("id"))
+    place = rows.select("_doc", F.col(id).alias("_id"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
+    place = place.where((F.length("line") >= SHINGLE) | (F.lit(short) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))).select("_id", "_doc", "at", F.xxhash64("line").alias("id"))
     place = place.join(roots, "id", "left").select("_id", "_doc", "at", F.coalesce("root", "id").alias("root"))
     place = cut(place, "line-places")
     first = place.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_doc", "at")).alias("first")).where("n > 1").select("root", "first")

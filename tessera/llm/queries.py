@@ -56,7 +56,7 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q8.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return q8.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,16 @@ def test_repetitive_lines_of_different_lengths(spark):
     got = sorted((r.doc_id, r.text, r.n_lines, r.n_kept) for r in Q.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted(brute(rows))
     assert [r[3] for r in got] == [1, 0, 1, 0, 0, 1]
+
+
+def test_short_copies_collapse_in_the_query_and_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    from tessera.llm.queries import op8_lines
+
+    rows = [(1, "Les.\n\nWh the.\nLes."), (2, "Les.\n \n\nles."), (3, "été\nWh the."), (4, "the quick brown fox jumps\nété")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_kept) for r in op8_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: ("Les.\n\nWh the.", 4, 3), 2: (" \n\nles.", 4, 3), 3: ("été", 2, 1), 4: ("the quick brown fox jumps", 2, 1)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {i: t for i, (t, _, _) in got.items()}
