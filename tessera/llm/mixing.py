@@ -2,7 +2,8 @@
 
 A labelled table gives each of a bounded sample of documents a domain (toxic,
 good or low).  Naive Bayes over the most telling words (``MAX_WORDS`` of those
-whose rates differ significantly between domains) then gives every document a posterior over the
+in ``LEAST`` documents or more whose rates differ significantly between domains,
+however rare they are) then gives every document a posterior over the
 domains.  Rates r >= 0 minimise sum_d (A_d - T_d)^2 / M_d by projected
 gradient, where A_d = sum_i r_i t_i p_id is the expected token total of domain
 d, T_d its target and M_d its total at rate 1: in the token-weighted metric a
@@ -28,7 +29,9 @@ from .common import cut
 
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.85, "low": 0.15, "toxic": 0.0}
-SAMPLE, MAX_WORDS, BUCKETS, LEAST, MIN_RATE, SIGNIFICANT, ROUNDS, TOLERANCE = 20_000, 2_000, 32_768, 5, 0.08, 4.0, 40, 1e-4
+SAMPLE, MAX_WORDS, BUCKETS, LEAST, SIGNIFICANT, ROUNDS, TOLERANCE = 20_000, 2_000, 32_768, 5, 4.0, 40, 1e-4
+#: Documents that the rate over all domains counts as, in the rate of each domain.
+SMOOTH = 10.0
 
 
 def featured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -61,14 +64,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
     total = sum(size.values())
     prior = [math.log((size.get(d, 0) + 1) / (total + len(DOMAINS))) for d in DOMAINS]
     counts = rows.select("domain", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"), *[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]).where(F.col("n") >= LEAST)
-    counts = counts.where(F.greatest(*[F.col(d) / (size.get(d, 0) + 1) for d in DOMAINS]) >= MIN_RATE)
     telling = []
     for d in DOMAINS:
         own, rest = size.get(d, 0), total - size.get(d, 0)
         p, q, pooled = F.col(d) / (own + 1), (F.col("n") - F.col(d)) / (rest + 1), F.least(F.col("n") / (total + 1), F.lit(0.999))
         telling.append(F.abs(p - q) / F.sqrt(pooled * (1 - pooled) * (1 / (own + 1) + 1 / (rest + 1))))
     top = counts.withColumn("z", F.greatest(*telling)).where(F.col("z") > SIGNIFICANT).orderBy(F.desc("z"), "h").limit(MAX_WORDS).collect()
-    weights = {r["h"]: [round(math.log((r[d] + 0.5) / (size.get(d, 0) + 1)), 4) for d in DOMAINS] for r in top}
+    # each rate is drawn towards the rate over all domains, so that a rare chance word says little
+    pooled = {r["h"]: r["n"] / (total + 1) for r in top}
+    weights = {r["h"]: [round(math.log((r[d] + SMOOTH * pooled[r["h"]]) / (size.get(d, 0) + SMOOTH)), 4) for d in DOMAINS] for r in top}
     return prior, weights
 
 

@@ -87,3 +87,22 @@ def test_odd_rows(spark):
     assert {r.n_tokens for r in got if r.doc_id in (1000, 1001)} == {0}
     assert M.mix(d, lab.limit(0)).count() == len(docs)
     assert M.mix(d.limit(0), lab).count() == 0
+
+
+def test_toxic_words_that_are_each_rare(spark, monkeypatch):
+    monkeypatch.undo()
+    rng = random.Random(6)
+    common = ["river", "stone", "cloud", "paper", "green", "light", "table", "glass"]
+    slurs = [f"slur{k}" for k in range(40)]
+    docs, labels = [], []
+    for i in range(1500):
+        words = [rng.choice(common) for _ in range(30)]
+        # each slur in 5 % of the toxic documents; the others hold as many rare words
+        words[5], words[20] = rng.sample(slurs, 2) if i % 3 == 0 else (f"rare{rng.random()}", f"rare{rng.random()}")
+        docs.append((i, " ".join(words)))
+        if i < 1200:
+            labels.append((i, 1, int(i % 3 == 0)))
+    d, lab = frames(spark, docs, labels)
+    got = {r.doc_id: r.p_toxic for r in M.mix(d, lab).collect()}
+    assert sum(got[i] > 0.5 for i in range(1200, 1500, 3)) >= 95
+    assert sum(got[i] > 0.5 for i in range(1200, 1500) if i % 3) <= 4
