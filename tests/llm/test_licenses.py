@@ -88,3 +88,13 @@ def test_common_notice(spark):
     got = {r.path: r for r in L.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert all(got[f"hot/{i}"].license == "Apache-2.0" and got[f"hot/{i}"].license_from == "line" for i in range(40))
     assert got["gpl/x"].license == "GPL-3.0" and all(got[f"z{i}/x"].license is None and got[f"mit{i}/x"].license is None for i in range(20))
+
+
+def test_licence_texts_headers_and_tags(spark):
+    prose = "some words that say nothing much at all about anything in here number "
+    mit = "MIT License\n\nCopyright (c) 2020 Somebody\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\n" + prose
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n" + (prose + "\n") * 200
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n" + prose + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    rows = [("a/LICENSE", mit), ("a/b/c.py", prose), ("g/x.py", gpl), ("s/x.c", "// SPDX-License-Identifier: GPL-2.0-only\n" + prose), ("d/COPYING", bsd), ("z/x", prose)]
+    got = {r.path: (r.license, r.license_from) for r in L.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a/LICENSE": ("MIT", "passage"), "a/b/c.py": ("MIT", "directory"), "g/x.py": ("GPL-3.0", "passage"), "s/x.c": ("GPL-2.0", "passage"), "d/COPYING": ("BSD-3-Clause", "passage"), "z/x": (None, None)}
