@@ -13,13 +13,14 @@ from .common import cut, drop
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, root) for every id in edges(a, b): root is the smallest id reachable.
 
-    Each round hooks every node to the neighbour that is least under a random
-    mask, follows the hooks once more and contracts the edges.  The mask makes
-    the order a new one in each round, so a chain of ascending ids shrinks by a
-    constant factor as well.  The maps of the rounds are then composed and the
-    least id of each component taken.  Minima are combined before shuffles, and
-    each round is written to the shared folder, so neither a hub with very many
-    edges nor a lost executor holds a round up.  Null ids and loops are left out.
+    Each round gives every node the least label within two hops, under a random
+    mask, and contracts the edges by the labels: a star shrinks to one node in a
+    round, and as the mask makes the order a new one each time, a chain of
+    ascending ids shrinks by a constant factor as well.  The labels of the rounds
+    are then composed and the least id of each component taken.  Minima are
+    combined before shuffles, and each round is written to the shared folder, so
+    neither a hub with very many edges nor a lost executor holds a round up.
+    Null ids and loops are left out.
     """
     e = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
     draw = random.Random(11)
@@ -27,18 +28,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while not e.isEmpty():
         mask = F.lit(draw.getrandbits(64) - (1 << 63))
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(mask)).alias("m"))
-        hook = cut(low.select(F.col("a").alias("id"), F.least(F.col("a").bitwiseXOR(mask), "m").bitwiseXOR(mask).alias("p")), name)
-        hop = hook.select(F.col("id").alias("p"), F.col("p").alias("q"))
-        step = cut(hook.join(hop, "p").select("id", F.col("q").alias("p")), name)
-        nxt = e.join(step.select(F.col("id").alias("a"), F.col("p").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("p").alias("y")), "b")
+        near = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(mask)).alias("m")).select(F.col("a").alias("b"), F.least(F.col("a").bitwiseXOR(mask), "m").alias("m"))
+        label = cut(both.join(near, "b").groupBy(F.col("a").alias("id")).agg(F.min("m").bitwiseXOR(mask).alias("p")), name)
+        nxt = e.join(label.select(F.col("id").alias("a"), F.col("p").alias("x")), "a").join(label.select(F.col("id").alias("b"), F.col("p").alias("y")), "b")
         nxt = cut(nxt.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
-        drop(e, hook)
-        e = nxt
+        drop(e)
+        e, was = nxt, out
         if out is None:
-            out = step.select("id", F.col("p").alias("root"))
+            out = label.withColumnRenamed("p", "root")
+            out._scratch = label._scratch
         else:
-            out = cut(out.join(step.select(F.col("id").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root")), name)
+            out = cut(out.join(label.select(F.col("id").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root")), name)
+            drop(was, label)
     drop(e)
     if out is None:
         return e.sparkSession.createDataFrame([], edges.select(F.col("a").alias("id"), F.col("a").alias("root")).schema)

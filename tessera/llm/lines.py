@@ -1,30 +1,35 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations alone.
 
 A line is what stands between newlines; its shingles are all runs of
-``SHINGLE`` code points.  Every shingle is hashed; each of ``BANDS * ROWS``
-minima under a random mask (the hash nearest to it in the xor metric) agrees
-between two lines with the probability of their Jaccard similarity, and
-``BANDS`` keys of ``ROWS`` minima find a pair at similarity 0.8 with
-probability 0.997.  Equal lines have equal minima, so they meet in one row when
-minima are merged.  Minima of long lines come from the quarter of their shingles
-with two zero bits at the end of the hash, which is again a uniform sample of
-their union; lines are long by their count of distinct shingles, on which similarity
-stands, and around the border a line has both kinds.  Under each key every line is checked against the least and
-greatest line only; what those links leave in more than one component is then
-checked pair by pair.  Four bits of each minimum travel with the keys, and
-pairs whose minima differ too often are dropped inside the join.  Exact Jaccard similarity decides each link, a
-distributed union-find joins them, and the first line of each component (by
-document id, then place) is kept.
-
-Lines shorter than a shingle have none: they stay, or with ``short`` those with
-more than blanks are one shingle each, so that equal ones collapse by their
-hash.  Lines are known by a
-64-bit hash: two of a billion different lines share one with probability 0.03.
-
-Defined results: a null text stays null and has no line; rows with the same id
-and text count as one document and keep the same lines; null ids come first in
-order; extra columns pass through, and one with the name of a result column is
-replaced.
+``SHINGLE`` code points, and a shorter line is one shingle.  Every shingle is
+hashed; each of ``BANDS * ROWS`` minima under a random mask (the hash nearest to
+it in the xor metric) agrees between two lines with the probability of their
+Jaccard similarity, and ``BANDS`` keys of ``ROWS`` minima find a pair at
+similarity 0.8 with probability 0.997.  Equal lines meet in one row when minima
+are merged.  Long lines are sampled by levels: at level k only hashes with 2k
+zero bits at the end count, a uniform sample of the union of two lines, and a
+line takes the level that leaves it 50 shingles or more; on the border between
+levels it takes both.  Levels follow the number of shingles by place; a line
+whose sample shows far fewer distinct ones (a line that repeats itself) is
+signed once more by its distinct shingles.
+
+Candidates are verified in two passes.  First every line of a key meets the
+key's hub alone, the line that shares most keys with others, so a group of
+copies costs one pair a line.  What those links leave in different components is
+then compared inside the keys, each pair under the first key that it shares.  A
+sketch goes before the texts: ``WORDS * 64`` bits, each the parity of the shingle
+hashes that fall on it.  Where two sketches differ, the shingle sets do, at least
+as often; similarity 0.8 allows a ninth of both sizes, so no pair that has it is
+lost.  Exact Jaccard similarity decides each link, a distributed union-find joins
+them, and the first line of each component (by document id, then place) is kept.
+
+Lines are known by a 64-bit hash, as are documents by id and text: two of a
+billion share one with probability 0.03.
+
+Defined results: a null text stays null and has no line; a line without a word
+always stays; rows with the same id and text count as one document and keep the
+same lines; null ids come first in order; extra columns pass through, and one
+with the name of a result column is replaced.
 """
 
 from __future__ import annotations
@@ -38,10 +43,13 @@ from .common import cut, drop
 from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 8, 3, 0.8
-#: A pair goes on to the exact check if so many of its minima differ at most: 24 minima at similarity 0.8 do so with probability 0.999.
-DIFFER = 11
-#: Lines of so many distinct shingles take part with a quarter of them, told by their hash; those up to a quarter longer also with all.
-LONG = 200
+#: Shingles from which level 1 is taken, and below which level 0 is; four times as many for each level more.
+LONG, SHORT = 200, 250
+LEVELS = 13  # 200 * 4 ** 12 is more than a text can hold
+#: A line whose sample speaks for a smaller share of distinct shingles is signed again, if it may belong to a lower level.
+REPEATS = 2 / 3
+WORDS = 16
+WORD = r"[^\x20\x09-\x0D]"
 _draw = random.Random(1)
 MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
 
@@ -49,106 +57,134 @@ MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """Hashes of the distinct shingles of a line."""
     one = F.array(F.encode(line, "UTF-32"))  # four bytes a code point; in an array, so that it is encoded once
-    hashes = F.transform(one, lambda wide: F.transform(F.sequence(F.lit(0), (F.length(wide) / 4).cast("int") - size), lambda i: F.xxhash64(F.substring(wide, 4 * i + 1, F.lit(4 * size)))))
+    hashes = F.transform(one, lambda wide: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(wide) / 4).cast("int") - size)), lambda i: F.xxhash64(F.substring(wide, 4 * i + 1, F.lit(4 * size)))))
     return F.array_distinct(hashes[0])
 
 
-def split_lines(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(doc, at, line, id) of the lines that have a shingle; doc identifies the row."""
-    rows = docs.select("_doc", F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    return rows.where(F.length("line") >= size).withColumn("id", F.xxhash64("line"))
+def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(_doc, line, id) of the lines that hold a word."""
+    return docs.select("_doc", F.explode(F.split(F.col(text), "\n")).alias("line")).where(F.col("line").rlike(WORD)).withColumn("id", F.xxhash64("line"))
 
 
-def signatures(lines: DataFrame, size: int = SHINGLE, masks: list[int] = MASKS) -> DataFrame:
-    """(id, kind, m0, m1, ...): the minima of each distinct line."""
-    # equal counts or counts in the ratio 0.8 share a kind; 200 hashes have none in the quarter with probability 1e-25
-    sets = lines.select("id", shingles(F.col("line"), size).alias("hs"))
-    n = F.size("hs")
-    kinds = F.array_compact(F.array(F.when(n < LONG * 5 // 4, 0), F.when(n >= LONG, 1)))
-    hashed = sets.select("id", "hs", F.explode(kinds).alias("kind"))
-    hashed = hashed.select("id", "kind", F.explode("hs").alias("h")).where((F.col("kind") == 0) | (F.col("h").bitwiseAND(F.lit(3)) == 0))
-    return hashed.groupBy("id", "kind").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)])
+def level(n: Column, least: int) -> Column:
+    """How many of least, 4 * least, 16 * least, ... n reaches."""
+    return sum((F.when(n >= least * 4**k, 1).otherwise(0) for k in range(LEVELS)), F.lit(0))
 
 
-def band_keys(marks: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, s0, s1, key) for each band of each line; s0 and s1 hold four bits of each minimum."""
-    keys = F.array(*[F.xxhash64(F.lit(b), "kind", *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
+def levels(n: Column) -> Column:
+    return F.array_distinct(F.array(level(n, LONG), level(n, SHORT)))
 
-    def sketch(which: range) -> Column:
-        out = F.lit(0).cast("long")
-        for place, k in enumerate(which):
-            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"m{k}"), 8).bitwiseAND(F.lit(15)), 4 * place))
+
+def minima(hashed: DataFrame, masks: list[int]) -> DataFrame:
+    """From (id, level, n, _doc, i, h): the minima of each line's sample, a bitmap of it, and one document that holds the line.
+
+    The first shingle always has a row, without a hash where it is not in the sample.
+    """
+    taken = hashed.withColumn("h", F.expr("if((h & (shiftleft(1L, 2 * level) - 1)) = 0, h, null)")).where("h is not null or i = 0")
+    bits = [F.expr(f"bit_or(if((shiftrightunsigned(h, 40) & 3) = {j}, shiftleft(1L, cast(shiftrightunsigned(h, 42) & 63 as int)), 0L))").alias(f"b{j}") for j in range(4)]
+    return taken.groupBy("id", "level").agg(F.max("n").alias("n"), F.min("_doc").alias("_doc"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)], *bits)
+
+
+def band_keys(marks: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(id, _doc, keys, again): a key for each band; again: whether the line repeats itself and may belong to a lower level."""
+    keys = F.array(*[F.xxhash64(F.lit(b), "level", *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
+    full = F.bit_count("b0") + F.bit_count("b1") + F.bit_count("b2") + F.bit_count("b3")
+    size = F.pow(F.lit(4.0), F.col("level")) * -256 * F.log1p(-F.least(full, F.lit(255)) / 256.0)
+    border = SHORT / 4 * F.pow(F.lit(4.0), F.col("level"))
+    again = (F.col("level") > 0) & (F.col("n") >= border) & (size < F.least(F.col("n") * REPEATS, border))
+    return marks.select("id", "_doc", F.when(F.col("m0").isNotNull(), keys).alias("keys"), F.coalesce(again, F.lit(True)).alias("again"))
+
+
+def signatures(lines: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, _doc, keys) of each distinct line, a row for each of its levels."""
+    masks = MASKS[: bands * rows]
+    wide = lines.select("id", "_doc", F.encode("line", "UTF-32").alias("w"))
+    wide = wide.withColumn("n", F.greatest(F.lit(1), (F.length("w") / 4).cast("int") - (size - 1)))
+    wide = wide.withColumn("level", F.explode(levels(F.col("n")))).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    first = cut(band_keys(minima(wide.withColumn("h", F.expr(f"xxhash64(substring(w, 4 * i + 1, {4 * size}))")), masks), bands, rows), "line-signatures")
+    out = first.where("keys is not null").select("id", "_doc", "keys")
+    again = first.where("again").select("id", "_doc").distinct()
+    if again.isEmpty():
         return out
+    sets = lines.join(again, ["id", "_doc"], "left_semi").select("id", "_doc", shingles(F.col("line"), size).alias("hs")).withColumn("n", F.size("hs"))
+    sets = sets.select("*", F.explode(levels(F.col("n"))).alias("level")).select("id", "_doc", "n", "level", F.posexplode("hs").alias("i", "h"))
+    return out.unionAll(band_keys(minima(sets, masks), bands, rows).where("keys is not null").select("id", "_doc", "keys"))
+
 
-    half = bands * rows // 2
-    return marks.select("id", sketch(range(half)).alias("s0"), sketch(range(half, bands * rows)).alias("s1"), F.explode(keys).alias("key"))
+def sketches(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(id, n, x0, x1, ...): the number of distinct shingles of each line, and the parities of their hashes."""
+    h = texts.select("id", F.explode(shingles(F.col("line"), size)).alias("h"))
+    word = [F.expr(f"bit_xor(if((shiftrightunsigned(h, 30) & {WORDS - 1}) = {j}, shiftleft(1L, cast(shiftrightunsigned(h, 50) & 63 as int)), 0L))").alias(f"x{j}") for j in range(WORDS)]
+    return h.groupBy("id").agg(F.count("*").alias("n"), *word)
 
 
-def differ(a0: str, a1: str, b0: str, b1: str) -> Column:
-    """How many minima of two sketches differ."""
+def near(similarity: float) -> Column:
+    """Whether the sketches of a pair (a_n, a_x0, ..., b_n, b_x0, ...) leave room for that similarity."""
+    differ = sum((F.bit_count(F.col(f"a_x{j}").bitwiseXOR(F.col(f"b_x{j}"))) for j in range(WORDS)), F.lit(0))
+    return differ <= (F.col("a_n") + F.col("b_n")) * ((1 - similarity) / (1 + similarity) + 1e-9)
 
-    def one(a, b):
-        x = F.col(a).bitwiseXOR(F.col(b))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
-    return one(a0, b0) + one(a1, b1)
+def sided(known: DataFrame, side: str, *more: str) -> DataFrame:
+    return known.select(*more, F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *[f"x{j}" for j in range(WORDS)])])
 
 
-def verify(pairs: DataFrame, lines: DataFrame, similarity: float, size: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose lines have that Jaccard similarity."""
-    known = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    text = cut(lines.select("id", "line").join(known.hint("shuffle_hash"), "id").groupBy("id").agg(F.any_value("line").alias("line")), "lines-known")
-    both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    sets = both.select("a", "b", shingles(F.col("x"), size).alias("p"), shingles(F.col("y"), size).alias("q"))
-    common = F.size(F.array_intersect("p", "q"))
-    return sets.where(common >= similarity * (F.size("p") + F.size("q") - common)).select("a", "b")
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float, size: int = SHINGLE) -> DataFrame:
+    """The pairs whose lines have that Jaccard similarity."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    sets = both.select(*pairs.columns, shingles(F.col("x"), size).alias("hx"), shingles(F.col("y"), size).alias("hy"))
+    common = F.size(F.array_intersect("hx", "hy"))
+    return sets.where(common >= similarity * (F.size("hx") + F.size("hy") - common)).select(*pairs.columns)
 
 
 def line_components(lines: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """(id, root) of the lines that are similar to others."""
-    keys = band_keys(signatures(lines, size, MASKS[: bands * rows]), bands, rows)
-    # one shuffle by key serves the least and greatest line of each key and the join with them
-    keys = keys.repartition("key")
-    ends = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    shared = cut(keys.join(ends.hint("shuffle_hash"), "key"), "line-keys")
-    hub = shared.where("id = low OR id = high").groupBy("key", "id").agg(F.any_value("s0").alias("t0"), F.any_value("s1").alias("t1")).withColumnRenamed("id", "hub")
-    stars = shared.select("key", F.col("id").alias("a"), "s0", "s1").join(hub, "key").where((F.col("a") != F.col("hub")) & (differ("s0", "s1", "t0", "t1") <= DIFFER)).select("a", F.col("hub").alias("b"))
-    stars = cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-stars")
-    links = cut(verify(stars, lines, similarity, size), "line-links")
+    marks = cut(signatures(lines, size, bands, rows), "line-marks")
+    # one shuffle by key serves the size of each key and the join with it
+    keys = marks.select("id", "_doc", F.explode("keys").alias("key")).repartition("key")
+    several = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
+    shared = cut(keys.join(several.hint("shuffle_hash"), "key"), "line-keys")
+    of = shared.groupBy("id").agg(F.min("_doc").alias("_doc"), F.sum("size").alias("weight"), F.collect_set("key").alias("keys"))
+    # by line and document, so that a very common line is not one task's
+    texts = lines.select("id", "_doc", "line").join(of.select("id", "_doc").hint("shuffle_hash"), ["id", "_doc"]).groupBy("id", "_doc", "line").agg(F.lit(1)).select("id", "line")
+    texts = cut(texts, "line-texts")
+    known = cut(sketches(texts, size).join(of.select("id", "weight", "keys"), "id"), "line-sketches")
+    hub = shared.select("key", "id").join(known.select("id", "weight"), "id").groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("hub"))
+    stars = shared.join(hub, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    stars = cut(stars.join(sided(known, "a"), "a").join(sided(known, "b"), "b").where(near(similarity)).select("a", "b"), "line-stars")
+    links = cut(verify(stars, texts, similarity, size), "line-links")
     roots = cut(components(links, "line-roots"), "line-roots")
     # keys whose lines are not all in one component yet
-    member = shared.select("key", "id", "s0", "s1").join(roots, "id", "left").select("key", "id", "s0", "s1", F.coalesce("root", "id").alias("root"))
-    open_ = member.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
-    left = cut(member.join(open_, "key"), "line-open")
-    x = left.select("key", F.col("id").alias("a"), F.col("root").alias("p"), "s0", "s1")
-    y = left.select("key", F.col("id").alias("b"), F.col("root").alias("q"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
-    near = (x["key"] == y["key"]) & (F.col("p") < F.col("q")) & (differ("s0", "s1", "t0", "t1") <= DIFFER)
-    pairs = x.join(y, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    member = shared.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    open_ = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    left = cut(member.join(open_, "key").join(known.drop("weight"), "id"), "line-open")
+    x, y = sided(left, "a", "key", F.col("root").alias("p"), F.col("keys").alias("a_keys")), sided(left, "b", "key", F.col("root").alias("q"), F.col("keys").alias("b_keys"))
+    both = (x["key"] == y["key"]) & (F.col("p") < F.col("q")) & near(similarity) & (F.get(F.array_intersect("a_keys", "b_keys"), F.lit(0)) == x["key"])
+    pairs = x.join(y, both).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "p", "q")
     pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"), "line-pairs")
-    if not pairs.isEmpty():
-        more = cut(verify(pairs, lines, similarity, size), "line-links")
-        if not more.isEmpty():
-            roots = cut(components(links.unionAll(more), "line-roots"), "line-roots")
-    drop(shared, stars, left, pairs)
-    return roots
-
-
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
-    """docs with the lines kept as text, and n_lines and n_kept; short: whether equal lines shorter than a shingle collapse too."""
+    more = cut(verify(pairs, texts, similarity, size).select(F.col("p").alias("a"), F.col("q").alias("b")), "line-links")
+    drop(shared, texts, known, stars, links, left, pairs)
+    if more.isEmpty():
+        return roots
+    # components of components; a line without a link so far is one of its own
+    merged = cut(components(more, "line-roots"), "line-roots")
+    drop(more)
+    out = roots.join(merged.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    return out.unionAll(merged.join(roots, "id", "left_anti").select("id", "root"))
+
+
+def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """docs with the lines kept as text, and n_lines and n_kept."""
     rows = docs.withColumn("_doc", F.xxhash64(F.col(id), F.col(text)))
-    lines = split_lines(rows.select("_doc", text), text)
-    roots = line_components(lines, similarity)
-    place = rows.select("_doc", F.col(id).alias("_id"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    place = place.where((F.length("line") >= SHINGLE) | (F.lit(short) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))).select("_id", "_doc", "at", F.xxhash64("line").alias("id"))
-    place = place.join(roots, "id", "left").select("_id", "_doc", "at", F.coalesce("root", "id").alias("root"))
-    place = cut(place, "line-places")
-    first = place.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_doc", "at")).alias("first")).where("n > 1").select("root", "first")
-    gone = place.join(first, "root").where(~(F.struct("_id", "_doc", "at").eqNullSafe(F.col("first")))).groupBy("_doc").agg(F.collect_set("at").alias("_gone"))
-    out = rows.join(gone.hint("shuffle_hash"), "_doc", "left")
-    parts = F.split(F.col(text), "\n")
-    kept = F.when(F.col("_gone").isNull(), parts).otherwise(F.filter(parts, lambda line, i: ~F.array_contains("_gone", i)))
-    out = out.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "_kept": kept})
-    out = out.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long"), "n_kept": F.when(F.col(text).isNull(), 0).otherwise(F.size("_kept")).cast("long"), text: F.when(F.col(text).isNotNull(), F.array_join("_kept", "\n"))})
-    return out.drop("_doc", "_gone", "_kept")
+    roots = line_components(split_lines(rows, text), similarity)
+    place = rows.select("_doc", F.col(id).alias("_id"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line")).where(F.col("line").rlike(WORD))
+    place = place.select(F.xxhash64("line").alias("id"), F.struct("_id", "_doc", "at").alias("place"))
+    # equal lines first, and of each component one place alone: no join meets a common line's places
+    first = place.groupBy("id").agg(F.min("place").alias("place")).join(roots, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("place").alias("place"))
+    kept = first.groupBy(F.col("place._doc").alias("_doc")).agg(F.collect_set("place.at").alias("_at"))
+    out = rows.join(kept.hint("shuffle_hash"), "_doc", "left").withColumn("_parts", F.split(F.col(text), "\n"))
+    blank = F.filter(F.sequence(F.lit(0), F.size("_parts") - 1), lambda i: ~F.get("_parts", i).rlike(WORD))
+    out = out.withColumn("_at", F.when(F.col(text).isNotNull(), F.sort_array(F.concat(F.coalesce("_at", F.array().cast("array<int>")), blank))))
+    counts = {"n_lines": F.size("_parts"), "n_kept": F.size("_at")}
+    out = out.withColumns({c: F.when(F.col(text).isNull(), 0).otherwise(n).cast("long") for c, n in counts.items()})
+    out = out.withColumn(text, F.array_join(F.transform("_at", lambda i: F.get("_parts", i)), "\n"))
+    return out.drop("_doc", "_at", "_parts")
