@@ -53,6 +53,11 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def free(df: DataFrame) -> None:
+    """Let the driver collect the plans of finished steps, so that their shuffle files go from the executors' disks."""
+    df.sparkSession._jvm.java.lang.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

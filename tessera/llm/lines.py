@@ -10,8 +10,8 @@ are merged.  Long lines are sampled by levels: at level k only hashes with 2k
 zero bits at the end count, a uniform sample of the union of two lines, and a
 line takes the level that leaves it 50 shingles or more; on the border between
 levels it takes both.  Levels follow the number of shingles by place; a line
-whose sample shows far fewer distinct ones (a line that repeats itself) is
-signed once more by its distinct shingles.
+whose sample shows fewer distinct ones (a line that repeats itself) is signed
+once more by its distinct shingles.
 
 Candidates are verified in two passes.  First every line of a key meets the
 key's hub alone, the line that shares most keys with others, so a group of
@@ -34,20 +34,20 @@ with the name of a result column is replaced.
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, free
 from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 8, 3, 0.8
 #: Shingles from which level 1 is taken, and below which level 0 is; four times as many for each level more.
 LONG, SHORT = 200, 250
-LEVELS = 13  # 200 * 4 ** 12 is more than a text can hold
-#: A line whose sample speaks for a smaller share of distinct shingles is signed again, if it may belong to a lower level.
-REPEATS = 2 / 3
+#: A line that has a smaller share of distinct shingles in its sample is signed again, if it may belong to a lower level.
+REPEATS = 0.8
 WORDS = 16
 WORD = r"[^\x20\x09-\x0D]"
 _draw = random.Random(1)
@@ -62,53 +62,73 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
 
 
 def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(_doc, line, id) of the lines that hold a word."""
-    return docs.select("_doc", F.explode(F.split(F.col(text), "\n")).alias("line")).where(F.col("line").rlike(WORD)).withColumn("id", F.xxhash64("line"))
+    """(line, id) of the lines that hold a word."""
+    return docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).where(F.col("line").rlike(WORD)).withColumn("id", F.xxhash64("line"))
 
 
-def level(n: Column, least: int) -> Column:
-    """How many of least, 4 * least, 16 * least, ... n reaches."""
-    return sum((F.when(n >= least * 4**k, 1).otherwise(0) for k in range(LEVELS)), F.lit(0))
+def levels(n: Column) -> Column:
+    """The levels of a line of n shingles."""
 
+    def level(least: int) -> Column:
+        return F.when(n < least, 0).otherwise(F.floor(F.log(n / least) / math.log(4)).cast("int") + 1)
 
-def levels(n: Column) -> Column:
-    return F.array_distinct(F.array(level(n, LONG), level(n, SHORT)))
+    return F.array_distinct(F.array(level(LONG), level(SHORT)))
 
 
 def minima(hashed: DataFrame, masks: list[int]) -> DataFrame:
-    """From (id, level, n, _doc, i, h): the minima of each line's sample, a bitmap of it, and one document that holds the line.
+    """From (id, level, i, h): the minima of each line's sample, a bitmap of it, how many shingles it took and from how many lines.
 
     The first shingle always has a row, without a hash where it is not in the sample.
     """
     taken = hashed.withColumn("h", F.expr("if((h & (shiftleft(1L, 2 * level) - 1)) = 0, h, null)")).where("h is not null or i = 0")
     bits = [F.expr(f"bit_or(if((shiftrightunsigned(h, 40) & 3) = {j}, shiftleft(1L, cast(shiftrightunsigned(h, 42) & 63 as int)), 0L))").alias(f"b{j}") for j in range(4)]
-    return taken.groupBy("id", "level").agg(F.max("n").alias("n"), F.min("_doc").alias("_doc"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)], *bits)
+    return taken.groupBy("id", "level").agg(F.count("h").alias("taken"), F.sum((F.col("i") == 0).cast("long")).alias("lines"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)], *bits)
 
 
 def band_keys(marks: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, _doc, keys, again): a key for each band; again: whether the line repeats itself and may belong to a lower level."""
+    """(id, keys, again): a key for each band; again: whether the line repeats itself and may belong to a lower level.
+
+    The distinct shingles of the sample are told by the bits that they set.
+    """
     keys = F.array(*[F.xxhash64(F.lit(b), "level", *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
     full = F.bit_count("b0") + F.bit_count("b1") + F.bit_count("b2") + F.bit_count("b3")
-    size = F.pow(F.lit(4.0), F.col("level")) * -256 * F.log1p(-F.least(full, F.lit(255)) / 256.0)
-    border = SHORT / 4 * F.pow(F.lit(4.0), F.col("level"))
-    again = (F.col("level") > 0) & (F.col("n") >= border) & (size < F.least(F.col("n") * REPEATS, border))
-    return marks.select("id", "_doc", F.when(F.col("m0").isNotNull(), keys).alias("keys"), F.coalesce(again, F.lit(True)).alias("again"))
+    distinct = -256 * F.log1p(-F.least(full, F.lit(255)) / 256.0)
+    again = (F.col("level") > 0) & (distinct < F.least(F.col("taken") / F.col("lines") * REPEATS, F.lit(SHORT / 4)))
+    return marks.select("id", F.when(F.col("m0").isNotNull(), keys).alias("keys"), (F.col("m0").isNull() | again).alias("again"))
 
 
 def signatures(lines: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, _doc, keys) of each distinct line, a row for each of its levels."""
+    """(id, keys) of each distinct line, a row for each of its levels."""
     masks = MASKS[: bands * rows]
-    wide = lines.select("id", "_doc", F.encode("line", "UTF-32").alias("w"))
-    wide = wide.withColumn("n", F.greatest(F.lit(1), (F.length("w") / 4).cast("int") - (size - 1)))
-    wide = wide.withColumn("level", F.explode(levels(F.col("n")))).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    n = F.greatest(F.lit(1), F.length("line") - (size - 1))
+    wide = lines.select("id", "line", n.alias("n")).select("id", "line", "n", F.explode(levels(F.col("n"))).alias("level"))
+    # encoded before the shingles are dealt out: once a line
+    wide = wide.select("id", "level", "n", F.encode("line", "UTF-32").alias("w")).select("id", "level", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     first = cut(band_keys(minima(wide.withColumn("h", F.expr(f"xxhash64(substring(w, 4 * i + 1, {4 * size}))")), masks), bands, rows), "line-signatures")
-    out = first.where("keys is not null").select("id", "_doc", "keys")
-    again = first.where("again").select("id", "_doc").distinct()
+    free(first)
+    out = first.where("keys is not null").select("id", "keys")
+    again = first.where("again").select("id").distinct()
     if again.isEmpty():
         return out
-    sets = lines.join(again, ["id", "_doc"], "left_semi").select("id", "_doc", shingles(F.col("line"), size).alias("hs")).withColumn("n", F.size("hs"))
-    sets = sets.select("*", F.explode(levels(F.col("n"))).alias("level")).select("id", "_doc", "n", "level", F.posexplode("hs").alias("i", "h"))
-    return out.unionAll(band_keys(minima(sets, masks), bands, rows).where("keys is not null").select("id", "_doc", "keys"))
+    # the texts are written first: else their shingles would be taken before the join
+    texts = cut(texts_of(lines, again), "line-again")
+    sets = texts.select("id", shingles(F.col("line"), size).alias("hs")).select("id", "hs", F.explode(levels(F.size("hs"))).alias("level"))
+    sets = sets.select("id", "level", F.posexplode("hs").alias("i", "h"))
+    return out.unionAll(band_keys(minima(sets, masks), bands, rows).where("keys is not null").select("id", "keys"))
+
+
+def texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, line) of the lines with those distinct ids.
+
+    A bitmap of the ids, of 2**20 words at most, goes to every task and holds
+    back most other lines; equal lines are combined before they are shuffled.
+    """
+    words = min(1 << 20, max(1 << 10, 1 << (ids.count() // 8).bit_length()))
+    word = F.shiftrightunsigned("id", 6).bitwiseAND(F.lit(words - 1))
+    bit = F.expr("shiftleft(1L, cast(id & 63 as int))")
+    held = ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    some = lines.select("id", "line", word.alias("word")).join(F.broadcast(held), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    return some.select("id", "line").distinct().join(ids.select("id"), "id")
 
 
 def sketches(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -140,14 +160,14 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY, bands: int
     """(id, root) of the lines that are similar to others."""
     marks = cut(signatures(lines, size, bands, rows), "line-marks")
     # one shuffle by key serves the size of each key and the join with it
-    keys = marks.select("id", "_doc", F.explode("keys").alias("key")).repartition("key")
+    keys = marks.select("id", F.explode("keys").alias("key")).repartition("key")
     several = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
     shared = cut(keys.join(several.hint("shuffle_hash"), "key"), "line-keys")
-    of = shared.groupBy("id").agg(F.min("_doc").alias("_doc"), F.sum("size").alias("weight"), F.collect_set("key").alias("keys"))
-    # by line and document, so that a very common line is not one task's
-    texts = lines.select("id", "_doc", "line").join(of.select("id", "_doc").hint("shuffle_hash"), ["id", "_doc"]).groupBy("id", "_doc", "line").agg(F.lit(1)).select("id", "line")
-    texts = cut(texts, "line-texts")
-    known = cut(sketches(texts, size).join(of.select("id", "weight", "keys"), "id"), "line-sketches")
+    of = cut(shared.groupBy("id").agg(F.sum("size").alias("weight"), F.collect_set("key").alias("keys")), "line-shared")
+    free(shared)
+    texts = cut(texts_of(lines, of), "line-texts")
+    known = cut(sketches(texts, size).join(of, "id"), "line-sketches")
+    drop(marks, of)
     hub = shared.select("key", "id").join(known.select("id", "weight"), "id").groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("hub"))
     stars = shared.join(hub, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     stars = cut(stars.join(sided(known, "a"), "a").join(sided(known, "b"), "b").where(near(similarity)).select("a", "b"), "line-stars")
@@ -163,6 +183,7 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY, bands: int
     pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"), "line-pairs")
     more = cut(verify(pairs, texts, similarity, size).select(F.col("p").alias("a"), F.col("q").alias("b")), "line-links")
     drop(shared, texts, known, stars, links, left, pairs)
+    free(more)
     if more.isEmpty():
         return roots
     # components of components; a line without a link so far is one of its own
@@ -181,10 +202,11 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", similar
     # equal lines first, and of each component one place alone: no join meets a common line's places
     first = place.groupBy("id").agg(F.min("place").alias("place")).join(roots, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("place").alias("place"))
     kept = first.groupBy(F.col("place._doc").alias("_doc")).agg(F.collect_set("place.at").alias("_at"))
-    out = rows.join(kept.hint("shuffle_hash"), "_doc", "left").withColumn("_parts", F.split(F.col(text), "\n"))
+    # texts are split before the join: each once
+    out = rows.withColumn("_parts", F.split(F.col(text), "\n")).drop(text).join(kept.hint("shuffle_hash"), "_doc", "left")
     blank = F.filter(F.sequence(F.lit(0), F.size("_parts") - 1), lambda i: ~F.get("_parts", i).rlike(WORD))
-    out = out.withColumn("_at", F.when(F.col(text).isNotNull(), F.sort_array(F.concat(F.coalesce("_at", F.array().cast("array<int>")), blank))))
+    out = out.withColumn("_at", F.when(F.col("_parts").isNotNull(), F.sort_array(F.concat(F.coalesce("_at", F.array().cast("array<int>")), blank))))
     counts = {"n_lines": F.size("_parts"), "n_kept": F.size("_at")}
-    out = out.withColumns({c: F.when(F.col(text).isNull(), 0).otherwise(n).cast("long") for c, n in counts.items()})
+    out = out.withColumns({c: F.when(F.col("_parts").isNull(), 0).otherwise(n).cast("long") for c, n in counts.items()})
     out = out.withColumn(text, F.array_join(F.transform("_at", lambda i: F.get("_parts", i)), "\n"))
-    return out.drop("_doc", "_at", "_parts")
+    return out.select(*[c for c in docs.columns if c not in counts], *counts)
