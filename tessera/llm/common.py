@@ -16,11 +16,13 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
     ``spark.checkpoint.dir`` of the session names it; only where that is unset
-    (tests, a laptop) a private temporary folder takes its place.
+    and the master is local a private temporary folder takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")

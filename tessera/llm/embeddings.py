@@ -28,11 +28,12 @@ from .common import cut
 from .components import Forest, components
 
 COSINE = 0.98
-SAMPLE, CELL, MAX_CELLS, BLOCK, ROUNDS = 20_000, 2_000, 64, 1_024, 12
+SAMPLE, CELL, BLOCK, ROUNDS = 20_000, 2_000, 1_024, 12
 
 
 def unit(a: np.ndarray) -> np.ndarray:
     a = a.astype(np.float64)
+    a = a / np.abs(a).max(1, keepdims=True)  # or squares might overflow or vanish
     return a / np.sqrt((a * a).sum(1, keepdims=True))
 
 
@@ -63,7 +64,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> dict[tuple, np.ndarray]:
-    """Centroids of each (label, dim) that has more vectors than a cell holds."""
+    """Centroids of each (label, dim) that has more vectors than a cell holds: a cell for so many vectors, up to a quarter of the sample."""
     total = vectors.count()
     rows = vectors.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("label", "dim", "emb").collect()
     by: dict[tuple, list] = {}
@@ -71,7 +72,7 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> dict[tupl
         by.setdefault((r.label, r.dim), []).append(r.emb)
     out = {}
     for key, own in by.items():
-        k = min(MAX_CELLS, len(own), math.ceil(len(own) * total / max(1, len(rows)) / cell))
+        k = min(len(own) // 4, math.ceil(len(own) * total / max(1, len(rows)) / cell))
         if k > 1:
             out[key] = spherical_kmeans(unit(np.array(own)), k)
     return out
@@ -89,7 +90,7 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", embedding: str = "embeddi
     kind = distinct.schema["label"].dataType.simpleString()
 
     def assign(batches):
-        for b in batches:
+        for b in (part.slice(i, BLOCK) for part in batches for i in range(0, part.num_rows, BLOCK)):
             label, dim = b.column(0).to_pylist(), b.column(2).to_pylist()
             cells = [[0]] * b.num_rows
             groups: dict[tuple, list[int]] = {}

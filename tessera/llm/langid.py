@@ -4,9 +4,9 @@ Each word has character n-gram features with word ends marked (so affixes are
 among them) and a lexicon feature for frequent words; learned transitions tie
 neighbours together, so the words of code-switched text get labels of their
 own by forward-backward.  The model is fitted on a bounded sample of labelled
-documents (``PER_LANG`` documents of each language by hash of the id, the
-first ``SAMPLE_CHARS`` characters of each), spliced into sequences that switch
-language, and is then a few megabytes at most; every text is labelled whole.
+documents (``PER_LANG`` whole documents of each language by hash of the id),
+spliced from random windows into sequences that switch language, and is then
+half a megabyte for each language; every text is labelled whole.
 
 Forward-backward runs over all words of a record batch at once: products of
 transfer matrices over blocks of ``SPAN`` words, a scan over the blocks of each
@@ -14,8 +14,9 @@ text, then all blocks side by side.
 
 Defined results: a null text and a text without a letter are ``und`` with
 score 0; with no labelled document at all, every text is ``und``; a null id is
-never held out; repeated rows are labelled one by one; languages beyond
-``MAX_LANGS`` (the rarest) are not learned; other columns are not read.
+never held out; repeated rows are labelled one by one; of languages with equal
+shares the first by name wins; every lang that occurs is learned; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ from .tokens import blocks
 from .words import codes, sums, text_of, word_strings, words_of
 
 FOLDS = 5
-PER_LANG, SAMPLE_CHARS, MAX_LANGS = 600, 3_000, 200
+PER_LANG = 600
 HASH_BITS, LEXICON, NGRAMS = 17, 4_000, (1, 2, 3, 4)
-SEQUENCES, SEQUENCE_WORDS, EPOCHS, SPAN = 1_200, 96, 4, 32
+#: Sequences to learn from: so many, or so many for each language.
+SEQUENCES, PER_LANG_SEQUENCES, SEQUENCE_WORDS, EPOCHS, SPAN = 1_200, 300, 96, 4, 32
 OPEN, CLOSE = 2, 3  # word ends
 
 _letters: list[np.ndarray] = []
@@ -198,10 +200,11 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     weights = np.zeros(((1 << HASH_BITS) + max(1, len(lexicon)), k), np.float32)
     transition = np.zeros((k, k))
     if k > 1 and by_ok:
+        count = max(SEQUENCES, PER_LANG_SEQUENCES * k)
         wg, tg = np.full_like(weights, 1e-6), np.full((k, k), 1e-6)
-        words = np.zeros((SEQUENCES, SEQUENCE_WORDS), np.int64)
-        truth = np.zeros((SEQUENCES, SEQUENCE_WORDS), np.int64)
-        for s in range(SEQUENCES):
+        words = np.zeros((count, SEQUENCE_WORDS), np.int64)
+        truth = np.zeros((count, SEQUENCE_WORDS), np.int64)
+        for s in range(count):
             at, j = 0, int(rng.choice(by_ok))
             while at < SEQUENCE_WORDS:
                 i = by[j][rng.integers(len(by[j]))]
@@ -210,8 +213,8 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
                 words[s, at : at + n], truth[s, at : at + n] = code[a : a + n], j
                 at, j = at + n, int(rng.choice(by_ok))
         for epoch in range(EPOCHS):
-            order = rng.permutation(SEQUENCES)
-            for part in np.array_split(order, max(1, SEQUENCES // 60)):
+            order = rng.permutation(count)
+            for part in np.array_split(order, max(1, count // 60)):
                 own, back = np.unique(words[part], return_inverse=True)
                 back = back.reshape(len(part), -1)
                 rows = np.concatenate([np.arange(f.first[w], f.first[w + 1]) for w in own])
@@ -270,8 +273,8 @@ def held_out(id: str = "doc_id"):
 
 def sample(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
     """The bounded sample of labelled documents outside the held-out fold."""
-    rows = docs.select(F.col(id).alias("i"), F.substring(text, 1, SAMPLE_CHARS).alias("t"), F.col(lang).alias("l"), held_out(id).alias("out")).where("l is not null and t is not null and not out")
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()}
+    rows = docs.select(F.col(id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"), held_out(id).alias("out")).where("l is not null and t is not null and not out")
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
     grain = 1_000_000
@@ -299,7 +302,7 @@ def identify(docs: DataFrame, model: Model | None, id: str = "doc_id", text: str
     rows = docs.select(F.col(id).alias("doc_id"), held_out(id).alias("held_out"), F.col(text).alias("text"))
     if model is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # HASH_BITS and MAX_LANGS bound its size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # half a megabyte a language
 
     def run(batches):
         for b in batches:

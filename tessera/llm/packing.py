@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, cut, flat_string, map_arrow
-from .tokens import blocks, encoder
+from .tokens import blocks, encoder, with_ends
 
 SIZE, GRAIN, END_ID = 2048, 8, 1
-BUCKET_ROWS, ROUNDS = 100_000, 4000
+BUCKET_ROWS, MIN_BUCKETS, ROUNDS = 20_000, 16, 4000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SI
             col = flat_string(b.column(1))
             for i, j in blocks(col):
                 ids, n = encode(col.slice(i, j - i))
-                ids = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
+                ids = with_ends(ids, np.cumsum(n), end_id).astype("<u4", copy=False)
                 n = n + 1
                 count = -(-n // size)
                 row = np.repeat(np.arange(len(n)), count)
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SIZE
     cut_up = cut(pieces(docs, tokenizer, end_id, size, id, text), "pieces").withColumn("cls", cls)
     counts = {r["cls"]: r["n"] for r in cut_up.groupBy("cls").agg(F.count("*").alias("n")).collect()}  # size / grain rows at most
     table = slots(cutting_stock(counts, size // grain), size // grain)
-    buckets = 1 + sum(counts.values()) // BUCKET_ROWS
+    buckets = MIN_BUCKETS + sum(counts.values()) // BUCKET_ROWS
     dealt = cut_up.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     many = dealt.groupBy("cls", "bucket").agg(F.count("*").alias("n"))
     before = many.select("cls", "bucket", (F.sum("n").over(Window.partitionBy("cls").orderBy("bucket")) - F.col("n")).alias("before"))

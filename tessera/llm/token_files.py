@@ -1,7 +1,7 @@
 """Token ids in Arrow stream files of fixed-size-list batches.
 
 Documents are dealt out by ranges of their id, so files follow each other in
-ascending order and one key never decides a partition's size.  Each task writes
+ascending order; rows of one id, and all rows without an id, are in one file.  Each task writes
 one Arrow IPC file: record batches of equal-length sequences
 (``fixed_size_list<uint16 or uint32>[L]``) with a bit mask of the same shape,
 false on the padding of the last sequence, and the ids and starts of the
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, cut, flat_string
-from .tokens import blocks, encoder
+from .tokens import blocks, encoder, with_ends
 
 SEQUENCE, ROWS = 2048, 128
 MANIFEST = "part long, file string, n_docs long, n_tokens long"
@@ -47,19 +47,22 @@ class Writer:
         self.out = pa.ipc.new_file(sink, self.schema)
         self.ids: list[np.ndarray] = []
         self.docs: list[np.ndarray] = []
+        self.nulls: list[np.ndarray] = []
         self.starts: list[np.ndarray] = []
         self.done = self.held = 0
 
-    def add(self, doc_ids: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, doc_ids: np.ndarray, nulls: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         self.starts.append(self.done + self.held + np.cumsum(sizes) - sizes)
         self.docs.append(doc_ids)
-        self.ids.append(ids.astype(self.kind))
+        self.nulls.append(nulls)
+        self.ids.append(ids.astype(self.kind, copy=False))
         self.held += len(ids)
         if self.held >= ROWS * self.length:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids, docs, starts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.ids, self.docs, self.starts))
+        ids, docs, nulls, starts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.ids, self.docs, self.nulls, self.starts))
+        nulls = nulls.astype(bool)
         for_now = len(ids) if last else len(ids) // (ROWS * self.length) * ROWS * self.length
         for at in range(0, for_now, ROWS * self.length):
             part = ids[at : min(at + ROWS * self.length, for_now)].astype(self.kind)
@@ -70,13 +73,14 @@ class Writer:
             lead = self.done + at + np.arange(rows + 1) * self.length
             bounds = np.searchsorted(starts, lead)
             bounds[-1] = np.searchsorted(starts, self.done + at + n) if last and at + n == for_now else bounds[-1]
-            lists = [pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(x[bounds[0] : bounds[-1]], pa.int64(), from_pandas=True)) for x in (docs, starts)]
+            own = slice(bounds[0], bounds[-1])
+            lists = [pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), x) for x in (pa.array(docs[own], pa.int64(), mask=nulls[own]), pa.array(starts[own], pa.int64()))]
             mask = pa.array(np.arange(rows * self.length) < n)
             self.out.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(full), self.length), pa.FixedSizeListArray.from_arrays(mask, self.length), *lists], schema=self.schema))
         self.ids, self.held = [ids[for_now:]], len(ids) - for_now
         self.done += for_now
         kept = starts >= self.done
-        self.docs, self.starts = [docs[kept]], [starts[kept]]
+        self.docs, self.nulls, self.starts = [docs[kept]], [nulls[kept]], [starts[kept]]
 
     def close(self) -> int:
         self._flush(True)
@@ -106,11 +110,11 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
                 writer = Writer(sink, length, encode.tokenizer.get_vocab_size() > 1 << 16)
             col = flat_string(b.column(1))
             known = b.column(0)
-            doc_ids = known.to_numpy(zero_copy_only=False)
+            doc_ids, nulls = known.fill_null(0).to_numpy(zero_copy_only=False), known.is_null().to_numpy(zero_copy_only=False)
             for i, j in blocks(col):
                 ids, sizes = encode(col.slice(i, j - i))
                 ends = np.cumsum(sizes)
-                writer.add(doc_ids[i:j], np.insert(ids, ends, end_id), sizes + 1)
+                writer.add(doc_ids[i:j], nulls[i:j], with_ends(ids, ends, end_id), sizes + 1)
             n_docs += b.num_rows
         if writer is not None:
             total = writer.close()

@@ -122,6 +122,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def with_ends(ids: np.ndarray, ends: np.ndarray, end_id: int) -> np.ndarray:
+    """ids with end_id after each text."""
+    out = np.empty(len(ids) + len(ends), ids.dtype)
+    real = np.ones(len(out), bool)
+    last = ends + np.arange(len(ends))
+    real[last] = False
+    out[real] = ids
+    out[last] = end_id
+    return out
+
+
 def chunks_of(t: Text) -> tuple[np.ndarray, np.ndarray]:
     """Where chunks start, and the bounds of each text among them.  White space at the end of a text is a chunk."""
     gap = SPACE[t.data]

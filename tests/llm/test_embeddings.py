@@ -55,3 +55,11 @@ def test_odd_vectors(spark):
     want = sorted(brute(rows), key=key)
     assert got == want
     assert Q.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_huge_and_tiny_components(spark):
+    from tessera.llm import embeddings as E
+
+    rows = [(1, [1e200, 1e200], 0), (2, [1.0, 1.0], 0), (3, [1e-200, 1e-200], 0), (4, [1e200, -1e200], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}

@@ -93,3 +93,12 @@ def test_packing(spark):
         total += at
     assert len(by) * 2048 < 1.1 * total + 2 * 2048
     assert K.pack(df.limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_null_ids_beside_large_ones(spark, tmp_path):
+    from tessera.llm import token_files as T
+
+    rows = [(None, "a b"), (9007199254740993, "c"), (9007199254740995, "d e f"), (None, None)]
+    manifest = T.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path / "out"), P.path("byte_bpe_50k.json"))
+    got = sorted(((r.doc_id, r.start) for r in T.digest(manifest).collect()), key=lambda r: r[1])
+    assert [i for i, _ in got] == [None, None, 9007199254740993, 9007199254740995]
