@@ -6,12 +6,14 @@ kept; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import lines, mixing, packing, quality, simhash
 from tessera.llm.common import cut, table
 
+#: Shares of the tokens of good and low documents; a document is repeated MOST times at most.
+TARGETS, MOST = {"good": 0.85, "low": 0.15, "toxic": 0.0}, 4.0
 ORACLE_SQL = None  # hashes of shingles, union-find and tokenizers are beyond SQL
 
 
@@ -29,15 +31,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id; rows without an id stay."""
-    marks = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(marks, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component: the first by id, then by a hash of id and text; a null id comes last.
+
+    Rows are told apart by id and text, so rows that share an id are judged one by one, and of repeated rows one stays.
+    """
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    marks = simhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = rows.select("doc_id", "_row").join(marks, "_row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    kept = rows.join(first.hint("shuffle_merge"), "_row", "left_semi")
+    copy = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+    return kept.withColumn("_copy", copy).where("_copy = 1").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at their rates: expected toxic tokens go to nothing, those of other domains stay."""
-    rated = mixing.mix(docs, table(spark, sf_dir, "labels"), targets=None, most=1.0, nearest=True)
-    return rated.where("copies > 0").select(*docs.columns)
+    """Documents as often as their rates say: clean ones once to MOST times, so that good and low meet their target shares; toxic ones go."""
+    rated = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS, most=MOST, keep_clean=True)
+    return rated.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
