@@ -25,7 +25,7 @@ from .words import SPACE, Text, codes, strings, text_of
 #: White space beyond ASCII, and controls that some tables count as such (fixed values).
 OTHER_SPACE = "[\x00\x1c-\x1f\u0085  ᠎ -‏ -  ⁠　﻿]"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-MEMORY = 200_000
+MEMORY = 300_000
 BLOCK_BYTES = 6_000_000
 
 
