@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, cut, flat_string, map_arrow
-from .tokens import blocks, encoder, with_ends
+from .common import batch, cut, map_arrow, trim
+from .tokens import encoder, parts, with_ends
 
 SIZE, GRAIN, END_ID = 2048, 8, 1
 BUCKET_ROWS, MIN_BUCKETS, ROUNDS = 20_000, 16, 4000
@@ -37,9 +37,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SI
     def run(batches):
         for b in batches:
             encode = encoder(tokenizer)
-            col = flat_string(b.column(1))
-            for i, j in blocks(col):
-                ids, n = encode(col.slice(i, j - i))
+            for rows, col in parts(b):
+                ids, n = encode(col)
                 ids = with_ends(ids, np.cumsum(n), end_id).astype("<u4", copy=False)
                 n = n + 1
                 count = -(-n // size)
@@ -49,7 +48,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SI
                 at = ((np.cumsum(n) - n)[row] + start).tolist()
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at, length.tolist())]
-                yield batch({"doc_id": b.column(0).slice(i, j - i).take(pa.array(row)), "start": start, "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": n[row]})
+                yield batch({"doc_id": rows.column(0).take(pa.array(row)), "start": start, "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": n[row]})
+            trim()
 
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECE)
 

@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, cut, flat_string
-from .tokens import blocks, encoder, with_ends
+from .common import batch, cut, trim
+from .tokens import encoder, parts, with_ends
 
 SEQUENCE, ROWS = 2048, 128
 MANIFEST = "part long, file string, n_docs long, n_tokens long"
@@ -108,13 +108,11 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
                 draft = f"{name}.{uuid.uuid4().hex}"
                 sink = store.open_output_stream(draft)
                 writer = Writer(sink, length, encode.tokenizer.get_vocab_size() > 1 << 16)
-            col = flat_string(b.column(1))
-            known = b.column(0)
-            doc_ids, nulls = known.fill_null(0).to_numpy(zero_copy_only=False), known.is_null().to_numpy(zero_copy_only=False)
-            for i, j in blocks(col):
-                ids, sizes = encode(col.slice(i, j - i))
-                ends = np.cumsum(sizes)
-                writer.add(doc_ids[i:j], nulls[i:j], with_ends(ids, ends, end_id), sizes + 1)
+            for rows, col in parts(b):
+                known = rows.column(0)
+                ids, sizes = encode(col)
+                writer.add(known.fill_null(0).to_numpy(zero_copy_only=False), known.is_null().to_numpy(zero_copy_only=False), with_ends(ids, np.cumsum(sizes), end_id), sizes + 1)
+            trim()
             n_docs += b.num_rows
         if writer is not None:
             total = writer.close()

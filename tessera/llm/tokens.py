@@ -20,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import flat_string
 from .words import SPACE, Text, codes, strings, text_of
 
 #: White space beyond ASCII, and controls that some tables count as such (fixed values).
 OTHER_SPACE = "[\x00\x1c-\x1f\u0085  ᠎ -‏ -  ⁠　﻿]"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-MEMORY = 300_000
+MEMORY = 200_000
+ROWS = 2_048
 BLOCK_BYTES = 6_000_000
 
 
@@ -108,11 +110,17 @@ class Encoder:
         code, chunks = codes(strings(t.data, np.append(start, len(t.data))))
         known = self._known(chunks.to_pylist())
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        narrow = np.int32 if len(t.data) < 1 << 28 else np.int64  # a byte is a few tokens at most
         flat = np.frombuffer(b"".join(known), np.uint32)
         lead = np.cumsum(size) - size
         n = size[code]
         run = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(lead[code] - run[:-1], n) + np.arange(run[-1])] if len(code) else flat
+        if len(code):
+            at = np.repeat((lead[code] - run[:-1]).astype(narrow), n)
+            at += np.arange(run[-1], dtype=narrow)
+            ids = flat[at]
+        else:
+            ids = flat
         return ids, run[first[1:]] - run[first[:-1]]
 
 
@@ -144,6 +152,15 @@ def chunks_of(t: Text) -> tuple[np.ndarray, np.ndarray]:
     return start, np.searchsorted(start, t.offsets)
 
 
+def parts(rows: pa.RecordBatch, text: int = 1):
+    """(rows, texts) of a batch in parts of bounded size, so that a batch is never copied whole."""
+    for k in range(0, rows.num_rows, ROWS):
+        some = rows.slice(k, ROWS)
+        col = flat_string(some.column(text))
+        for i, j in blocks(col):
+            yield some.slice(i, j - i), col.slice(i, j - i)
+
+
 def blocks(col: pa.Array, size: int = BLOCK_BYTES) -> list[tuple[int, int]]:
     """Rows of a large string array in blocks of about so many bytes."""
     at = np.frombuffer(col.buffers()[1], np.int64)[: len(col) + 1]
