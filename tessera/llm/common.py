@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
+PART_ROWS = 2_048
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -102,6 +103,8 @@ def flat_string(col: pa.Array) -> pa.Array:
     return pa.concat_arrays([col.cast(pa.large_string())])
 
 
-def line_key(col):
-    """128 bits that stand for a text."""
-    return F.xxhash64(col), F.xxhash64(F.lit(1), col)
+def parts(rows: pa.RecordBatch, text, size: int = PART_ROWS):
+    """(rows, texts as flat_string) of a batch in parts, so that a batch is never copied whole."""
+    for k in range(0, rows.num_rows, size):
+        some = rows.slice(k, size)
+        yield some, flat_string(some.column(text))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, cut, map_arrow, trim
-from .tokens import encoder, parts, with_ends
+from .tokens import encoder, text_blocks, with_ends
 
 SIZE, GRAIN, END_ID = 2048, 8, 1
 BUCKET_ROWS, MIN_BUCKETS, ROUNDS = 20_000, 16, 4000
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SI
     def run(batches):
         for b in batches:
             encode = encoder(tokenizer)
-            for rows, col in parts(b):
+            for rows, col in text_blocks(b):
                 ids, n = encode(col)
                 ids = with_ends(ids, np.cumsum(n), end_id).astype("<u4", copy=False)
                 n = n + 1

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import flat_string, map_arrow
+from .common import map_arrow, parts
 from .words import SPACE, code_points, codes, sums, take_spans, text_of, word_strings, words_of
 
 #: Base rules.
 BASE_WINDOW, BASE_MIN_WORDS, BASE_MAX_PERCENT = 8, 20, 30
 #: The method: repeats of MIN_WORDS or more may cover so many percent of the words; the longest may have so many words.
 MIN_WORDS, MAX_PERCENT, MAX_LONGEST = 5, 40, 100
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 200_000
 
 RESULT = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("n_covered_words", "long"), ("longest_repeat", "long"), ("base_failed", "boolean"), ("kept", "boolean")]
 SYMBOL = np.zeros(256, bool)
@@ -161,12 +161,12 @@ def quality(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(c, T.LongType() if k == "long" else T.BooleanType()) for c, k in RESULT])
 
     def run(b: pa.RecordBatch) -> list[pa.RecordBatch]:
-        col = flat_string(b.column(text))
         out = []
-        for i, j in _blocks(col):
-            got = measure(col.slice(i, j - i), min_words, max_percent, max_longest)
-            rows = b.slice(i, j - i)
-            out.append(pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [pa.array(got[c]) for c in named], names=keep + named))
+        for some, col in parts(b, text):
+            for i, j in _blocks(col):
+                got = measure(col.slice(i, j - i), min_words, max_percent, max_longest)
+                rows = some.slice(i, j - i)
+                out.append(pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [pa.array(got[c]) for c in named], names=keep + named))
         return out
 
     return map_arrow(src, run, schema)

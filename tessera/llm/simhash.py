@@ -32,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, flat_string, map_arrow
+from .common import batch, cut, map_arrow, parts
 from .components import Forest, components
 from .words import LOWER, SPACE, Text, text_of, words_of
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 1_000_000
 
 
 def normal(t: Text) -> Text:
@@ -85,11 +85,14 @@ def fingerprint(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
     def run(b: pa.RecordBatch) -> list[pa.RecordBatch]:
-        col = flat_string(b.column(1))
-        size = np.frombuffer(col.buffers()[1], np.int64)[: len(col) + 1]
-        step = np.diff(size[:-1] // BLOCK_BYTES) if len(col) else np.zeros(0)
-        edges = [0, *(np.flatnonzero(step) + 1).tolist(), len(col)]
-        return [batch({"doc_id": b.column(0).slice(i, j - i), "fp": fingerprints(col.slice(i, j - i)).view(np.int64)}) for i, j in zip(edges, edges[1:]) if j > i]
+        out = []
+        for rows, col in parts(b, 1):
+            size = np.frombuffer(col.buffers()[1], np.int64)[: len(col) + 1]
+            edges = [0, *(np.flatnonzero(np.diff(size[:-1] // BLOCK_BYTES)) + 1).tolist(), len(col)]
+            for i, j in zip(edges, edges[1:]):
+                if j > i:
+                    out.append(batch({"doc_id": rows.column(0).slice(i, j - i), "fp": fingerprints(col.slice(i, j - i)).view(np.int64)}))
+        return out
 
     return map_arrow(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, fp long")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, cut, trim
-from .tokens import encoder, parts, with_ends
+from .tokens import encoder, text_blocks, with_ends
 
 SEQUENCE, ROWS = 2048, 128
 MANIFEST = "part long, file string, n_docs long, n_tokens long"
@@ -108,7 +108,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
                 draft = f"{name}.{uuid.uuid4().hex}"
                 sink = store.open_output_stream(draft)
                 writer = Writer(sink, length, encode.tokenizer.get_vocab_size() > 1 << 16)
-            for rows, col in parts(b):
+            for rows, col in text_blocks(b):
                 known = rows.column(0)
                 ids, sizes = encode(col)
                 writer.add(known.fill_null(0).to_numpy(zero_copy_only=False), known.is_null().to_numpy(zero_copy_only=False), with_ends(ids, np.cumsum(sizes), end_id), sizes + 1)

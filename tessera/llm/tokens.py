@@ -20,14 +20,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import flat_string
+from .common import parts
 from .words import SPACE, Text, codes, strings, text_of
 
 #: White space beyond ASCII, and controls that some tables count as such (fixed values).
 OTHER_SPACE = "[\x00\x1c-\x1f\u0085  ᠎ -‏ -  ⁠　﻿]"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 MEMORY = 200_000
-ROWS = 2_048
 BLOCK_BYTES = 6_000_000
 
 
@@ -152,11 +151,9 @@ def chunks_of(t: Text) -> tuple[np.ndarray, np.ndarray]:
     return start, np.searchsorted(start, t.offsets)
 
 
-def parts(rows: pa.RecordBatch, text: int = 1):
-    """(rows, texts) of a batch in parts of bounded size, so that a batch is never copied whole."""
-    for k in range(0, rows.num_rows, ROWS):
-        some = rows.slice(k, ROWS)
-        col = flat_string(some.column(text))
+def text_blocks(rows: pa.RecordBatch, text: int = 1):
+    """(rows, texts) of a batch in blocks of bounded size."""
+    for some, col in parts(rows, text):
         for i, j in blocks(col):
             yield some.slice(i, j - i), col.slice(i, j - i)
 
