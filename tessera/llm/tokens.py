@@ -124,9 +124,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
     """The encoder of this Python worker; tasks that follow each other share what it remembers."""
-    return Encoder(path)
+    return Encoder(path, memory)
 
 
 def with_ends(ids: np.ndarray, ends: np.ndarray, end_id: int) -> np.ndarray:
