@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SI
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at, length.tolist())]
                 yield batch({"doc_id": rows.column(0).take(pa.array(row)), "start": start, "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": n[row]})
-            del b, rows, col, ids, raw  # before the next batch comes
+            b = rows = col = ids = raw = None  # before the next batch comes
             trim()
 
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECE)

@@ -113,7 +113,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
                 ids, sizes = encode(col)
                 writer.add(known.fill_null(0).to_numpy(zero_copy_only=False), known.is_null().to_numpy(zero_copy_only=False), with_ends(ids, np.cumsum(sizes), end_id), sizes + 1)
             n_docs += b.num_rows
-            del b, rows, col, known, ids  # before the next batch comes
+            b = rows = col = known = ids = None  # before the next batch comes
             trim()
         if writer is not None:
             total = writer.close()
