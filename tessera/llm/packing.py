@@ -24,20 +24,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, cut, map_arrow, trim
-from .tokens import MEMORY, encoder, text_blocks, with_ends
+from .tokens import BLOCK_BYTES, MEMORY, encoder, text_blocks, with_ends
 
 SIZE, GRAIN, END_ID = 2048, 8, 1
 BUCKET_ROWS, MIN_BUCKETS, ROUNDS = 20_000, 16, 4000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SIZE, id: str = "doc_id", text: str = "text", memory: int = MEMORY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SIZE, id: str = "doc_id", text: str = "text", memory: int = MEMORY, block: int = BLOCK_BYTES) -> DataFrame:
     """Tokenize docs, cut them at multiples of size, and return a row a piece."""
 
     def run(batches):
         for b in batches:
             encode = encoder(tokenizer, memory)
-            for rows, col in text_blocks(b):
+            for rows, col in text_blocks(b, 1, block):
                 ids, n = encode(col)
                 ids = with_ends(ids, np.cumsum(n), end_id).astype("<u4", copy=False)
                 n = n + 1
@@ -150,10 +150,10 @@ def slots(plan: list[tuple[dict[int, int], int]], classes: int):
     return [np.array(r, np.int64).reshape(-1, 4) for r in rows]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SIZE, grain: int = GRAIN, id: str = "doc_id", text: str = "text", memory: int = MEMORY) -> DataFrame:
-    """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  memory: words whose ids a worker remembers."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SIZE, grain: int = GRAIN, id: str = "doc_id", text: str = "text", memory: int = MEMORY, block: int = BLOCK_BYTES) -> DataFrame:
+    """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  memory: words whose ids a worker remembers; block: bytes of text that it encodes at once."""
     cls = F.ceil(F.col("length") / grain).cast("int")
-    cut_up = cut(pieces(docs, tokenizer, end_id, size, id, text, memory), "pieces").withColumn("cls", cls)
+    cut_up = cut(pieces(docs, tokenizer, end_id, size, id, text, memory, block), "pieces").withColumn("cls", cls)
     counts = {r["cls"]: r["n"] for r in cut_up.groupBy("cls").agg(F.count("*").alias("n")).collect()}  # size / grain rows at most
     table = slots(cutting_stock(counts, size // grain), size // grain)
     buckets = MIN_BUCKETS + sum(counts.values()) // BUCKET_ROWS

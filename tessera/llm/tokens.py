@@ -151,10 +151,10 @@ def chunks_of(t: Text) -> tuple[np.ndarray, np.ndarray]:
     return start, np.searchsorted(start, t.offsets)
 
 
-def text_blocks(rows: pa.RecordBatch, text: int = 1):
+def text_blocks(rows: pa.RecordBatch, text: int = 1, size: int = BLOCK_BYTES):
     """(rows, texts) of a batch in blocks of bounded size."""
     for some, col in parts(rows, text):
-        for i, j in blocks(col):
+        for i, j in blocks(col, size):
             yield some.slice(i, j - i), col.slice(i, j - i)
 
 
