@@ -14,8 +14,8 @@ from tessera.llm.common import cut, table
 
 #: Shares of the tokens of good and low documents; a document is repeated MOST times at most.
 TARGETS, MOST = {"good": 0.85, "low": 0.15, "toxic": 0.0}, 4.0
-#: Words whose ids a packing worker remembers: executors have grown by the stages before.
-MEMORY = 80_000
+#: Words whose ids a packing worker remembers, and bytes that it encodes at once: executors have grown by the stages before.
+MEMORY, BLOCK = 80_000, 1_500_000
 ORACLE_SQL = None  # hashes of shingles, union-find and tokenizers are beyond SQL
 
 
@@ -56,7 +56,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of the documents, packed into sequences."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memory=MEMORY)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memory=MEMORY, block=BLOCK)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near duplicates", near_duplicates), ("mixing", mix_sources), ("packing", pack_sequences)]
