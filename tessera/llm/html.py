@@ -3,12 +3,13 @@
 Markup is stripped into lines, one for each block of the page.  A line weighs
 the text it holds outside links and outside boilerplate (navigation, headers,
 footers, sidebars, notices, adverts, forms, reader comments: by element, role,
-or class and id words); the weights are summed over a sliding window of
+or class and id words of an element that holds neither the title nor nearly all of the text); the weights are summed over a sliding window of
 ``WINDOW`` lines.  A run starts where that sum surges over a threshold and the
 next window still has text, and ends where it dives to nothing.  Inside an
 article or main element every line with text surges; without one, the runs
-that carry a fair share of the heaviest run's text are the main text.  Kept
-lines are whole: nothing is capped.
+that carry a fair share of the heaviest run's text, or lie in its container, are
+the main text.  Where nothing is left, the page is read again without regard to
+classes and ids.  Kept lines are whole: nothing is capped.
 
 Defined results: a null, empty or text-less page gives an empty text; unclosed
 elements end with their parent, and unclosed boilerplate at the next heading or
@@ -48,24 +49,27 @@ MARKS = set(
 )
 #: Marks that an article's own header may carry.
 OWN = {"banner"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"']+)))?")
+#: Words that make a class say what an element has or lacks, or which kind of article it is, rather than what it is.
+ABOUT = {"no", "has", "with", "without", "not", "tag", "category", "status", "format", "type", "elementor", "wp", "body", "page", "single"}
+#: A quote opens a value after an equals sign alone.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 COMMENTS = re.compile(r"(?:\d+\s+)?(?:reader\s+)?comments?(?:\s*\(?\d+\)?)?|leave a (?:comment|reply)", re.I)
 
 
-def _marked(tag: str, raw: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by its attributes; whether it says that it holds the main text."""
+def _marked(raw: str) -> tuple[bool, bool, bool]:
+    """Whether an element is boilerplate by its class or id, or by its other attributes; whether it says that it holds the main text."""
     if not raw or ("=" not in raw and "hidden" not in raw.lower()):
-        return False, False
-    boiler = main = False
+        return False, False, False
+    named = boiler = main = False
     for m in ATTRIBUTE.finditer(raw):
         name = m[1].lower()
         value = unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
-            words = {w.lower() for w in WORD.findall(value)}
-            whole = {w.lower() for w in value.split()}
-            boiler |= bool((words | whole) & MARKS)
+            for token in value.split():
+                words = {w.lower() for w in WORD.findall(token)} | {token.lower()}
+                named |= bool(words & MARKS) and not words & ABOUT
         elif name == "role":
             boiler |= value.strip().lower() in ROLES
             main |= value.strip().lower() in ("main", "article")
@@ -75,18 +79,18 @@ def _marked(tag: str, raw: str) -> tuple[bool, bool]:
             boiler = True
         elif name == "style":
             boiler |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    return boiler, main
+    return named, boiler, main
 
 
 class Line:
-    __slots__ = ("text", "weight", "boiler", "inside", "heading", "parent")
+    __slots__ = ("text", "weight", "boiler", "inside", "heading", "parent", "home")
 
-    def __init__(self, text, weight, boiler, inside, heading, parent):
-        self.text, self.weight, self.boiler, self.inside, self.heading, self.parent = text, weight, boiler, inside, heading, parent
+    def __init__(self, text, weight, boiler, inside, heading, parent, home):
+        self.text, self.weight, self.boiler, self.inside, self.heading, self.parent, self.home = text, weight, boiler, inside, heading, parent, home
 
 
-def lines_of(html: str) -> list[Line]:
-    """Blocks of the page in order, with their weights."""
+def lines_of(html: str, marks: bool = True) -> list[Line]:
+    """Blocks of the page in order, with their weights.  marks: whether classes and ids count."""
     tokens = []  # (start, end, closes, tag, attributes)
     at = 0
     while True:
@@ -102,7 +106,14 @@ def lines_of(html: str) -> list[Line]:
             tokens.append((at, stop, False, "", ""))
             at = stop
     # which opening tags have an end tag of their own
-    closed, open_ = set(), []
+    closed, open_ = {}, []
+    upto, before, last = [], 0, 0  # text of the page before each token
+    for start, end, _, _, _ in tokens:
+        before += max(0, len(html[last:start].strip()))
+        upto.append(before)
+        last = end
+    whole = before + len(html[last:].strip())
+    titles = [i for i, (_, _, ends, tag, _) in enumerate(tokens) if tag in ("h1", "main") and not ends]
     for i, (_, _, ends, tag, _) in enumerate(tokens):
         if not tag or tag in VOID:
             continue
@@ -111,11 +122,11 @@ def lines_of(html: str) -> list[Line]:
         else:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == tag:
-                    closed.add(open_[k][1])
+                    closed[open_[k][1]] = i
                     del open_[k:]
                     break
     out: list[Line] = []
-    stack: list[tuple[str, int, int, int, bool]] = []  # tag, boilerplate, inside, links, loose
+    stack: list[tuple[str, int, int, int, bool, int]] = []  # tag, boilerplate, inside, links, loose, token
     boiler = inside = links = 0
     parts: list[str] = []
     linked = 0
@@ -126,12 +137,12 @@ def lines_of(html: str) -> list[Line]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Line(text, 0 if boiler else max(0, len(text) - linked), boiler > 0, inside > 0, heading, len(stack)))
+                out.append(Line(text, 0 if boiler else max(0, len(text) - linked), boiler > 0, inside > 0, heading, len(stack), stack[-2][5] if len(stack) > 1 else -1))
         parts, linked = [], 0
 
     def pop():
         nonlocal boiler, inside, links
-        _, b, n, a, _ = stack.pop()
+        _, b, n, a, _, _ = stack.pop()
         boiler -= b
         inside -= n
         links -= a
@@ -168,14 +179,19 @@ def lines_of(html: str) -> list[Line]:
                         while len(stack) > k:
                             pop()
                         break
-            marked, main = _marked(tag, raw)
+            named, marked, main = _marked(raw)
+            if named and marks and tag not in ("html", "body", "h1", "article", "main") and not main:
+                # what holds the page's title or nearly all of its text is no boilerplate, whatever its class says
+                last = closed.get(i, len(tokens))
+                held = (upto[last] if last < len(tokens) else whole) - upto[i]
+                marked |= 10 * held <= 9 * whole and not any(i < k < last for k in titles)
             own = inside and tag == "header"
             b = int(tag in BOILER or tag in RAW or (tag == "header" and not inside) or (marked and not own and tag not in ("html", "body", "h1")))
             n = int((tag in ("article", "main") or main) and not boiler and not b)
             a = int(tag == "a")
             if raw.rstrip().endswith("/") and tag not in BLOCK:
                 continue
-            stack.append((tag, b, n, a, i not in closed))
+            stack.append((tag, b, n, a, i not in closed, i))
             boiler += b
             inside += n
             links += a
@@ -191,15 +207,14 @@ def lines_of(html: str) -> list[Line]:
     if at < len(html):
         parts.append(html[at:])
     flush()
-    # what follows a heading of reader comments, in the same parent, is theirs
-    level = None
-    for line in out:
-        if level is not None and line.parent < level:
-            level = None
+    # what follows a heading of reader comments, in the same parent, is theirs, if it is not most of the text
+    total = sum(len(x.text) for x in out if not x.boiler)
+    for k, line in enumerate(out):
         if line.heading and not line.boiler and COMMENTS.fullmatch(line.text):
-            level = line.parent
-        if level is not None:
-            line.boiler, line.weight = True, 0
+            end = next((j for j in range(k + 1, len(out)) if out[j].parent < line.parent), len(out))
+            if 2 * sum(len(x.text) for x in out[k:end] if not x.boiler) <= total:
+                for x in out[k:end]:
+                    x.boiler, x.weight = True, 0
     return out
 
 
@@ -223,7 +238,10 @@ def runs(weights: list[int], surge: int, window: int = WINDOW) -> list[tuple[int
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE, share: float = SHARE) -> str:
     if not html:
         return ""
-    lines = lines_of(html)
+    return _main(lines_of(html), window, surge, share) or _main(lines_of(html, False), window, surge, share)
+
+
+def _main(lines: list[Line], window: int, surge: int, share: float) -> str:
     if any(x.inside and not x.boiler for x in lines):
         kept = [x for x in lines if x.inside]
         found = runs([len(x.text) if not x.boiler else 0 for x in kept], 0, window)
@@ -232,7 +250,10 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE, share:
         weights = [x.weight for x in kept]
         found = runs(weights, surge, window) or runs(weights, 0, window)
         mass = [sum(weights[i:j]) for i, j in found]
-        found = [r for r, m in zip(found, mass) if m >= share * max(mass)]
+        # runs of the heaviest one's container belong to it, however short they are
+        heaviest = found[mass.index(max(mass))] if found else (0, 0)
+        homes = {x.home for x in kept[slice(*heaviest)] if x.weight}
+        found = [(i, j) for (i, j), m in zip(found, mass) if m >= share * max(mass) or any(x.home in homes for x in kept[i:j] if x.weight)]
     return "\n".join(x.text for i, j in found for x in kept[i:j] if not x.boiler)
 
 

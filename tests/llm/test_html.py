@@ -62,3 +62,28 @@ def test_extract(spark):
     assert got[1, "u"].text == "" and got[2, None].text == "é x" and got[2, None].n_chars == 3
     assert got[None, "v"].n_chars == 999_999
     assert M.extract(df).count() == 4 and M.extract(df.limit(0)).count() == 0
+
+
+def test_class_words_erase_no_page():
+    story = "".join(f"<p>Paragraph {i} of a story that goes on for a while, with commas, and more.</p>" for i in range(6))
+    want = "\n".join(f"Paragraph {i} of a story that goes on for a while, with commas, and more." for i in range(6))
+    for page in (
+        f'<div class="content no-sidebar">{story}</div>',
+        f'<div id="page" class="has-sidebar"><div class="sidebar">Other <a href="/">things</a></div>{story}</div>',
+        f'<div class="elementor-widget-container">{story}</div>',
+        f'<article class="post has-comments">{story}</article>',
+        f'<article class="status-publish tag-search">{story}</article>',
+        f'<div class="widget">{story}</div>',
+        f'<article>{story}</article><div class="comment-list"><p>First!</p></div>',
+    ):
+        assert M.main_text(page) == want, page
+
+
+def test_unquoted_values_and_sections():
+    assert M.main_text("<main><p title=it's>Alpha</p><p>gamma don't</p><p>omega</p></main>") == "Alpha\ngamma don't\nomega"
+    story = "".join(f"<p>Sentence {i} of an article about remarks that readers leave.</p>" for i in range(5))
+    assert M.main_text(f"<article><h2>Comments</h2>{story}</article>").count("Sentence") == 5
+    long = "".join(f"<p>Sentence {i} of a long story without an article element around it.</p>" for i in range(200))
+    box = "<form><p>a</p><p>b</p><p>c</p><p>d</p></form>"
+    end = "".join(f"<p>Closing part {i}, which is much shorter than the story before it.</p>" for i in range(4))
+    assert M.main_text(f"<body><div>{long}{box}{end}</div></body>").count("Closing part") == 4
