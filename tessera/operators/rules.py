@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import balance, worse_volatility
 
+#: Shapes of literals (fixed values).
+TAG, TOKEN = r'^([\p{L}\p{N}_]+:"[^"]*"\s*)+$', r"^[\p{L}\p{N}_.:@-]+$"
 ORDER = ["graph", "coupling", "duplication", "cycle", "layers", "unowned"]
 
 
@@ -62,15 +64,15 @@ def unowned(files: DataFrame) -> DataFrame:
 
 
 def duplication(literals: DataFrame, least: int = 12) -> DataFrame:
-    """Literals of at least so many characters that exactly two modules hold."""
-    own = literals.where((F.length("value") >= least) & (shape(F.col("value")) == "other") & F.col("module").isNotNull())
+    """Literals of at least so many characters that exactly two modules hold in production files."""
+    own = literals.where((F.length("value") >= least) & (shape(F.col("value")) == "other") & F.col("module").isNotNull() & (F.col("class") == "production"))
     pair = own.groupBy("value").agg(F.array_sort(F.collect_set("module")).alias("m")).where("size(m) = 2")
     return own.join(pair, "value").select(F.lit("duplication").alias("rule"), F.col("m")[0].alias("from"), F.col("m")[1].alias("to"), "file", F.lit(0).cast("long").alias("line"), "value")
 
 
 def shape(value: Column) -> Column:
-    """tag: one identifier-like token with separators; word: letters alone; other."""
-    return F.when(value.rlike(r"^[A-Za-z0-9_]+([-:./][A-Za-z0-9_]+)+$"), "tag").when(value.rlike(r"^\p{L}+$"), "word").otherwise("other")
+    """tag: pairs of a key and a quoted value; word: one token of letters, digits, and a few marks; other."""
+    return F.when(value.rlike(TAG), "tag").when(value.rlike(TOKEN), "word").otherwise("other")
 
 
 def errors_by_key(found: DataFrame) -> DataFrame:

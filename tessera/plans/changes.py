@@ -175,10 +175,10 @@ def suggest_name(f):
     return names.join(near, "name", "left").select("name", F.col("s.module").alias("suggestion"))
 
 
-@query("stale_reviews", "SELECT o_custkey AS reviewer, max(CAST(o_orderdate AS DATE)) AS last_review, CAST(DATE '2001-08-01' - max(CAST(o_orderdate AS DATE)) AS INT) AS days FROM orders GROUP BY o_custkey HAVING DATE '2001-08-01' - max(CAST(o_orderdate AS DATE)) > 90")
+@query("stale_reviews", "SELECT module, CAST(reviewed_at AS DATE) AS reviewed_at, CAST(DATE '2001-08-01' - CAST(reviewed_at AS DATE) AS INT) AS days FROM {:modules} m WHERE DATE '2001-08-01' - CAST(reviewed_at AS DATE) > 90")
 def stale_reviews(f):
-    by = f.orders.groupBy(F.col("o_custkey").alias("reviewer")).agg(F.max(F.col("o_orderdate").cast("date")).alias("last_review"))
-    return by.withColumn("days", F.datediff(F.to_date(F.lit("2001-08-01")), "last_review")).where("days > 90")
+    m = f.modules.select("module", F.col("reviewed_at").cast("date").alias("reviewed_at"))
+    return m.withColumn("days", F.datediff(F.to_date(F.lit("2001-08-01")), "reviewed_at")).where("days > 90")
 
 
 @query("draft_modules", "WITH p AS (SELECT DISTINCT target AS file FROM {:uses} u) SELECT CASE WHEN len(string_split(file, '/')) > 2 THEN split_part(file, '/', 1) || '/' || split_part(file, '/', 2) ELSE split_part(file, '/', 1) END AS module, count(*)::BIGINT AS files FROM p GROUP BY 1")

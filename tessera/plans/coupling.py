@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import DISTANCE_RANK, STRENGTH_RANK, VOLATILITY_RANK, pick
+from ..functions.columns import DISTANCE_RANK, STRENGTH_RANK, VOLATILITY_RANK, pick, severity
 from ..operators import classify as C
 from .registry import Facts, query
 from .rules import RANK
 
 VOL = "CASE WHEN volatility IS NOT NULL THEN volatility WHEN lower(subdomain) = 'core' THEN 'high' WHEN lower(subdomain) IN ('supporting', 'generic') THEN 'low' ELSE 'undeclared' END"
-MODS = f"(SELECT module, owner, deploy_unit, role, layer, {VOL} AS vol FROM {{:modules}} m)"
-STRENGTH = "CASE WHEN public AND qty % 2 = 0 THEN 'contract' WHEN qty > 46 THEN 'intrusive' WHEN qty = 45 THEN 'intrusive' WHEN qty % 7 = 0 AND hint = 'functional' THEN 'model' ELSE hint END"
+MODS = f"(SELECT module, owner, deploy_unit, role, layer, subdomain, {VOL} AS vol FROM {{:modules}} m)"
+HINT = "CASE WHEN qty > 46 THEN 'intrusive' ELSE hint END"
+STRENGTH = f"CASE WHEN public AND qty % 2 = 0 AND {HINT} = 'intrusive' THEN 'intrusive' WHEN public AND qty % 2 = 0 AND qty % 7 = 0 THEN 'model' WHEN public AND qty % 2 = 0 THEN 'contract' WHEN qty = 45 THEN 'intrusive' ELSE {HINT} END"
 DISTANCE = "CASE WHEN from_module = to_module THEN 'same_module' WHEN a.deploy_unit <> b.deploy_unit THEN 'different_deploy_unit' WHEN a.owner <> b.owner THEN 'different_owner' ELSE 'cross_module' END"
 ORD_S = "CASE strength WHEN 'contract' THEN 1 WHEN 'model' THEN 3 WHEN 'functional' THEN 8 WHEN 'symmetric' THEN 9 WHEN 'intrusive' THEN 10 END"
 ORD_D = "CASE distance WHEN 'same_module' THEN 2 WHEN 'unknown' THEN NULL ELSE 9 END"
 ORD_V = "CASE vol WHEN 'frozen' THEN 1 WHEN 'low' THEN 3 WHEN 'medium' THEN 6 ELSE 10 END"
-BASE = f"""c0 AS (SELECT e.*, {STRENGTH} AS strength, {DISTANCE} AS distance, a.vol AS from_vol, b.vol AS to_vol, a.role AS from_role, b.role AS to_role, a.owner AS from_owner, b.owner AS to_owner FROM {{:edges}} e LEFT JOIN {MODS} a ON a.module = from_module LEFT JOIN {MODS} b ON b.module = to_module),
+BASE = f"""c0 AS (SELECT e.*, {STRENGTH} AS strength, {DISTANCE} AS distance, a.vol AS from_vol, b.vol AS to_vol, a.role AS from_role, b.role AS to_role, a.owner AS from_owner, b.owner AS to_owner, b.subdomain AS to_subdomain FROM {{:edges}} e LEFT JOIN {MODS} a ON a.module = from_module LEFT JOIN {MODS} b ON b.module = to_module),
 c1 AS (SELECT *, CASE WHEN strength IN ('functional', 'symmetric') AND {RANK.format('from_vol')} > {RANK.format('to_vol')} THEN from_vol ELSE to_vol END AS vol FROM c0),
 c2 AS (SELECT *, {ORD_S} AS s, {ORD_D} AS d, {ORD_V} AS v FROM c1),
 c3 AS (SELECT *, CASE WHEN s IS NULL OR d IS NULL THEN NULL ELSE least(greatest(greatest(abs(s - d), 10 - v) + 1, 1), 10) END::INT AS balance FROM c2),
@@ -74,28 +75,50 @@ def book_score(f):
     return cube(f).select("strength", "distance", "vol", C.balance(F.col("strength"), F.col("distance"), F.col("vol")).cast("int").alias("balance"))
 
 
-@query("additive_score", f"""WITH k AS (SELECT *, s + d + v AS score, s - 1 AS g1, d - 2 AS g2, v - 1 AS g3 FROM {CUBE} WHERE s IS NOT NULL AND d IS NOT NULL)
-SELECT strength, distance, vol, score::INT AS score, CASE WHEN g1 >= g2 AND g1 >= g3 THEN 'strength' WHEN g2 >= g3 THEN 'distance' ELSE 'volatility' END AS move FROM k""")
+def _ranks(name: str, table: dict, lower: dict, keys: list[str], default=0) -> str:
+    """VALUES of a dimension: its key, its number, and the key one step lower."""
+    rows = ", ".join(f"('{k}', {table.get(k, default)}, {repr(lower[k]) if k in lower else 'NULL'})" for k in keys)
+    return f"(VALUES {rows}) {name}(k, n, low)"
+
+
+def _scored(score: str, weights: dict) -> str:
+    """Score and cheapest move of each cell, by joining every cell with its neighbours one step lower."""
+    rs, rd, rv = _ranks("s", C.RISK_STRENGTH, C.LOWER_STRENGTH, CUBE_S), _ranks("d", C.RISK_DISTANCE, C.LOWER_DISTANCE, CUBE_D), _ranks("v", weights, C.LOWER_VOLATILITY, CUBE_V)
+    return f"""WITH k AS (SELECT s.k AS strength, d.k AS distance, v.k AS vol, s.low AS ls, d.low AS ld, v.low AS lv, CASE WHEN d.k = 'same_module' THEN 0 ELSE {score} END::INT AS score FROM {rs}, {rd}, {rv}),
+b AS (SELECT *, CASE WHEN score <= 2 THEN 0 WHEN score <= 4 THEN 1 WHEN score <= 6 THEN 2 WHEN score <= 8 THEN 3 ELSE 4 END AS band FROM k),
+m AS (SELECT x.*, greatest(0, x.band - coalesce(s.band, 9)) AS a, greatest(0, x.band - coalesce(d.band, 9)) AS b, greatest(0, x.band - coalesce(v.band, 9)) AS c FROM b x LEFT JOIN b s ON (s.strength, s.distance, s.vol) = (x.ls, x.distance, x.vol) LEFT JOIN b d ON (d.strength, d.distance, d.vol) = (x.strength, x.ld, x.vol) LEFT JOIN b v ON (v.strength, v.distance, v.vol) = (x.strength, x.distance, x.lv))
+SELECT strength, distance, vol, score, CASE WHEN a + b + c = 0 THEN '' WHEN a >= b AND a >= c THEN 'reduce_strength' WHEN b >= c THEN 'reduce_distance' WHEN vol = 'undeclared' THEN 'declare_volatility' ELSE 'lower_volatility' END AS move FROM m"""
+
+
+def _scores(f: Facts, score):
+    k = (F.col("strength"), F.col("distance"), F.col("vol"))
+    return cube(f).select(*k, score(*k).cast("int").alias("score"), C.cheapest_move(score, *k).alias("move"))
+
+
+@query("additive_score", _scored("least(10, greatest(0, s.n + d.n - v.n))", C.DISCOUNT))
 def additive_score(f):
-    k = cube(f).where("s IS NOT NULL AND d IS NOT NULL")
-    move = C.cheapest({"strength": F.col("s") - 1, "distance": F.col("d") - 2, "volatility": F.col("v") - 1})
-    return k.select("strength", "distance", "vol", (F.col("s") + F.col("d") + F.col("v")).cast("int").alias("score"), move.alias("move"))
+    return _scores(f, C.additive)
 
 
-@query("multiplicative_score", f"""WITH k AS (SELECT *, round(s * d * v / 10.0) AS score, s * d * v - 1 * d * v AS g1, s * d * v - s * 2 * v AS g2, s * d * v - s * d AS g3 FROM {CUBE} WHERE s IS NOT NULL AND d IS NOT NULL)
-SELECT strength, distance, vol, greatest(1, score)::INT AS score, CASE WHEN g1 >= g2 AND g1 >= g3 THEN 'strength' WHEN g2 >= g3 THEN 'distance' ELSE 'volatility' END AS move FROM k""")
+@query("multiplicative_score", _scored("greatest(CASE WHEN s.k = 'intrusive' THEN 3 ELSE 0 END, round(10 * ((1 - abs(s.n / 8.0::DOUBLE - least(d.n / 5.0::DOUBLE, 1))) * v.n::DOUBLE)))", C.WEIGHT))
 def multiplicative_score(f):
-    k = cube(f).where("s IS NOT NULL AND d IS NOT NULL").withColumn("p", F.col("s") * F.col("d") * F.col("v"))
-    move = C.cheapest({"strength": F.col("p") - F.col("d") * F.col("v"), "distance": F.col("p") - F.col("s") * 2 * F.col("v"), "volatility": F.col("p") - F.col("s") * F.col("d")})
-    return k.select("strength", "distance", "vol", F.greatest(F.lit(1), F.round(F.col("p") / 10)).cast("int").alias("score"), move.alias("move"))
+    return _scores(f, C.multiplicative)
 
 
-HYPO = "CASE WHEN s IS NULL OR d IS NULL THEN 'abstain' WHEN s >= 8 AND d >= 9 AND v >= 10 THEN 'reduce strength' WHEN s >= 8 AND d >= 9 THEN 'move closer' WHEN s < 8 AND d < 9 AND v >= 10 THEN 'separate' ELSE 'balanced' END"
+BOOK = "CASE WHEN s IS NULL OR d IS NULL THEN NULL ELSE least(greatest(greatest(abs(s - d), 10 - v) + 1, 1), 10) END"
+HYPO = """CASE WHEN balance IS NULL THEN '' WHEN balance > 6 THEN CASE WHEN strength IN ('functional', 'symmetric', 'intrusive') THEN 'accept_low_volatility' ELSE 'balanced' END
+  WHEN cohesive AND strength <> 'intrusive' THEN 'expected_by_role' WHEN vol IN ('undeclared', 'unknown') THEN 'declare_volatility' WHEN strength = 'intrusive' THEN 'introduce_contract' WHEN strength = 'symmetric' THEN 'move_functionality'
+  WHEN strength IN ('functional', 'model') THEN CASE WHEN public THEN 'introduce_contract' ELSE 'move_functionality' END ELSE '' END"""
+FLAGS = "(VALUES (true, true), (true, false), (false, true), (false, false)) g(public, cohesive)"
 
 
-@query("hypothesis", f"SELECT strength, distance, vol, {HYPO} AS hypothesis FROM {CUBE}")
+@query("hypothesis", f"SELECT strength, distance, vol, public, cohesive, {HYPO} AS hypothesis FROM (SELECT *, {BOOK} AS balance FROM {CUBE}, {FLAGS})")
 def hypothesis(f):
-    return cube(f).select("strength", "distance", "vol", F.expr(HYPO).alias("hypothesis"))
+    flags = f.spark.createDataFrame([(a, b) for a in (True, False) for b in (True, False)], "public boolean, cohesive boolean")
+    k = cube(f).crossJoin(flags)  # four rows
+    band = C.balance(F.col("strength"), F.col("distance"), F.col("vol"))
+    move = C.hypothesis(F.col("strength"), F.col("vol"), severity(band), F.col("public"), F.col("cohesive"))
+    return k.select("strength", "distance", "vol", "public", "cohesive", move.alias("hypothesis"))
 
 
 @query("balance_driver", f"SELECT strength, distance, vol, CASE WHEN abs(s - d) > 10 - v THEN 'strength_distance' WHEN abs(s - d) < 10 - v THEN 'volatility' ELSE 'tie' END AS driver FROM {CUBE} WHERE s IS NOT NULL AND d IS NOT NULL")
@@ -104,9 +127,9 @@ def balance_driver(f):
     return cube(f).where("s IS NOT NULL AND d IS NOT NULL").select("strength", "distance", "vol", F.when(gap > 10 - F.col("v"), "strength_distance").when(gap < 10 - F.col("v"), "volatility").otherwise("tie").alias("driver"))
 
 
-@query("contract_recommended", f"{W} SELECT {ID} FROM c WHERE boundary AND strength IN ('functional', 'symmetric', 'intrusive') AND vol = 'high'")
+@query("contract_recommended", f"{W} SELECT {ID} FROM c WHERE strength <> 'contract' AND distance <> 'same_module' AND lower(to_subdomain) = 'generic'")
 def contract_recommended(f):
-    return classified(f).where(C.boundary(F.col("distance")) & F.col("strength").isin("functional", "symmetric", "intrusive") & (F.col("vol") == "high")).select(*IDS)
+    return classified(f).where((F.col("strength") != "contract") & (F.col("distance") != "same_module") & (F.lower("to_subdomain") == "generic")).select(*IDS)
 
 
 SR = "CASE strength WHEN 'contract' THEN 1 WHEN 'model' THEN 2 WHEN 'functional' THEN 3 WHEN 'symmetric' THEN 4 WHEN 'intrusive' THEN 5 ELSE 0 END"
@@ -160,14 +183,17 @@ def unrated_volatility(f):
     return ends.where("v = 'undeclared'").groupBy("module").agg(F.count("*").alias("edges"))
 
 
-@query("local_coupling", f"""{W}, k AS (SELECT *, row_number() OVER (PARTITION BY from_module ORDER BY balance, file, line) AS r FROM c WHERE balance IS NOT NULL)
-SELECT from_module AS module, count(*)::BIGINT AS edges, count(*) FILTER (s >= 8)::BIGINT AS strong, round(avg(balance), 6) AS mean, string_agg(CASE WHEN r <= 5 THEN line::STRING END, ',' ORDER BY r) AS worst FROM k GROUP BY from_module""")
+@query("local_coupling", f"""{W}, k AS (SELECT *, strength IN ('contract', 'model') AS complex FROM c WHERE distance = 'same_module'), o AS (SELECT from_module, line, row_number() OVER (PARTITION BY from_module ORDER BY balance, file, line) AS r FROM k WHERE severity <> '')
+SELECT from_module AS module, count(balance)::BIGINT AS scored, (count(*) - count(balance))::BIGINT AS abstained, count(balance) FILTER (complex)::BIGINT AS complexity, CASE WHEN count(balance) > 0 THEN 100 * count(balance) FILTER (complex) // count(balance) ELSE 0 END::BIGINT AS share_pct, coalesce(round(avg(balance), 6), 0.0) AS mean,
+(SELECT string_agg(line::STRING, ',' ORDER BY r) FROM o WHERE r <= 5 AND o.from_module = k.from_module) AS worst FROM k GROUP BY from_module""")
 def local_coupling(f):
-    e = C.ordinals(classified(f)).where("balance IS NOT NULL")
+    e = classified(f).where(F.col("distance") == "same_module")
+    complex_ = F.col("strength").isin("contract", "model") & F.col("balance").isNotNull()
+    by = e.groupBy("from_module").agg(F.count("balance").alias("scored"), (F.count("*") - F.count("balance")).alias("abstained"), F.count_if(complex_).alias("complexity"), F.coalesce(F.round(F.avg("balance"), 6), F.lit(0.0)).alias("mean"))
+    by = by.withColumn("share_pct", F.coalesce(F.expr("try_divide(100 * complexity - (100 * complexity) % nullif(scored, 0), scored)").cast("long"), F.lit(0)))
     top = F.row_number().over(Window.partitionBy("from_module").orderBy("balance", "file", "line"))
-    worst = e.select("from_module", "line", top.alias("r")).where("r <= 5").groupBy("from_module").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"].cast("string")), ",").alias("worst"))
-    by = e.groupBy("from_module").agg(F.count("*").alias("edges"), F.count_if(F.col("s") >= 8).alias("strong"), F.round(F.avg("balance"), 6).alias("mean"))
-    return by.join(worst, "from_module").withColumnRenamed("from_module", "module")
+    worst = e.where("severity <> ''").select("from_module", "line", top.alias("r")).where("r <= 5").groupBy("from_module").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"].cast("string")), ",").alias("worst"))
+    return by.join(worst, "from_module", "left").withColumnRenamed("from_module", "module")
 
 
 @query("connascence", f"{W}, x AS (SELECT DISTINCT {ID}, unnest(CASE WHEN qty % 3 = 0 THEN ['name', 'type'] WHEN qty % 3 = 1 THEN ['position'] ELSE [NULL] END) AS kind FROM c) SELECT coalesce(kind, 'abstained') AS kind, count(*)::BIGINT AS edges FROM x GROUP BY 1")
@@ -192,11 +218,11 @@ def bc_rollup(f):
     return k.groupBy(*key).agg(F.count("*").alias("members"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 8, F.col("site")))), ",").alias("sample"))
 
 
-@query("fingerprints", "SELECT DISTINCT from_module, to_module, substr(sha256(from_module || chr(0) || to_module), 1, 32) AS seam_id, sha256('edge' || chr(0) || from_module || chr(0) || to_module) AS finding_id FROM {:edges} e")
+@query("fingerprints", "SELECT DISTINCT from_module, to_module, sha256('seam.v1' || chr(0) || from_module || chr(0) || to_module) AS seam_id, sha256('edge' || chr(0) || from_module || chr(0) || to_module) AS finding_id FROM {:edges} e")
 def fingerprints(f):
     z = F.char(F.lit(0))
     p = f.edges.select("from_module", "to_module").distinct()
-    return p.select("from_module", "to_module", F.substring(F.sha2(F.concat("from_module", z, "to_module"), 256), 1, 32).alias("seam_id"), F.sha2(F.concat(F.lit("edge"), z, "from_module", z, "to_module"), 256).alias("finding_id"))
+    return p.select("from_module", "to_module", F.sha2(F.concat(F.lit("seam.v1"), z, "from_module", z, "to_module"), 256).alias("seam_id"), F.sha2(F.concat(F.lit("edge"), z, "from_module", z, "to_module"), 256).alias("finding_id"))
 
 
 @query("volatility_provenance", "SELECT CASE WHEN volatility IS NOT NULL THEN 'declared' WHEN subdomain IS NOT NULL THEN 'inherited' ELSE 'undeclared' END AS provenance, count(*)::BIGINT AS modules, string_agg(module, ',' ORDER BY module) AS names FROM {:modules} m GROUP BY 1")

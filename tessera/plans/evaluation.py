@@ -86,10 +86,9 @@ def signals_union(f):
     return a.unionByName(b).select("source", "module", "n")
 
 
-@query("fill_forward", "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN user_id END IGNORE NULLS) OVER (PARTITION BY event_id // 64 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS author FROM events")
+@query("fill_forward", "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN user_id END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS author FROM events")
 def fill_forward(f):
-    w = Window.partitionBy(F.expr("event_id div 64")).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return f.events.select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("user_id")), True).over(w).alias("author"))
+    return T.carried(f.events.select("event_id", F.when(F.col("event_type") == "signup", F.col("user_id")).alias("author")), "event_id", "author")
 
 
 @query("first_source_wins", "WITH s AS (SELECT p_brand AS module, 'manifest' AS source, 0 AS priority, min(p_type) AS unit FROM part WHERE p_size < 3 GROUP BY p_brand UNION ALL SELECT p_brand, 'image', 1, max(p_type) FROM part WHERE p_size < 30 GROUP BY p_brand UNION ALL SELECT p_brand, 'cluster', 2, p_brand FROM part GROUP BY p_brand) SELECT module, arg_min(source, priority) AS source, arg_min(unit, priority) AS unit FROM s GROUP BY module")
@@ -148,7 +147,7 @@ def literal_scan(f):
 CODE = "CASE doc_id % 4 WHEN 0 THEN 'importlib.import_module(\"a.' || source || '\")' WHEN 1 THEN 'x = require(''' || lang || ''')' WHEN 2 THEN 'import os' ELSE 'const y = import( \"m\" )' END"
 
 
-@query("dynamic_imports", f"""SELECT 'd' || doc_id AS file, regexp_extract(c, '(?:importlib\\.import_module|__import__|require|import)\\s*\\(\\s*[''"]([^''"]+)[''"]\\s*\\)', 1) AS target FROM (SELECT doc_id, {CODE} AS c FROM documents) WHERE regexp_extract(c, '(?:importlib\\.import_module|__import__|require|import)\\s*\\(\\s*[''"]([^''"]+)[''"]\\s*\\)', 1) <> ''""")
+@query("dynamic_imports", f"""SELECT 'd' || doc_id AS file, regexp_extract(c, '(?:^|[^\\w.$])(?:importlib\\.import_module|__import__|require|import)\\s*\\(\\s*[''"]([^''"]+)[''"]\\s*\\)', 1) AS target FROM (SELECT doc_id, {CODE} AS c FROM documents) WHERE regexp_extract(c, '(?:^|[^\\w.$])(?:importlib\\.import_module|__import__|require|import)\\s*\\(\\s*[''"]([^''"]+)[''"]\\s*\\)', 1) <> ''""")
 def dynamic_imports(f):
     k = F.col("doc_id") % 4
     code = F.when(k == 0, F.concat(F.lit('importlib.import_module("a.'), "source", F.lit('")'))).when(k == 1, F.concat(F.lit("x = require('"), "lang", F.lit("')"))).when(k == 2, F.lit("import os")).otherwise(F.lit('const y = import( "m" )'))
@@ -163,7 +162,7 @@ def added_lines(f):
     return T.added_lines(f.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), diff.alias("text")))
 
 
-@query("file_class", "WITH p AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'vendor/a' || doc_id || '.go' WHEN 1 THEN 'src/a_test.go' WHEN 2 THEN 'src/mocks/m.go' WHEN 3 THEN 'src/x.pb.go' WHEN 4 THEN 'tests/test_a.py' ELSE 'src/main.go' END AS path, CASE WHEN doc_id % 11 = 0 THEN '// Code generated by tool; DO NOT EDIT.' ELSE 'package x' END AS content FROM documents) SELECT CASE WHEN content LIKE '%generated%' OR path LIKE '%.pb.go' THEN 'generated' WHEN path LIKE '%/mocks/%' THEN 'mock' WHEN path LIKE 'vendor/%' THEN 'vendor' WHEN path LIKE '%!_test.go' ESCAPE '!' OR path LIKE '%/test!_%.py' ESCAPE '!' THEN 'test' ELSE 'production' END AS class, count(*)::BIGINT AS files FROM p GROUP BY 1")
+@query("file_class", "WITH p AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'vendor/a' || doc_id || '.go' WHEN 1 THEN 'src/a_test.go' WHEN 2 THEN 'src/mocks/m.go' WHEN 3 THEN 'src/x.pb.go' WHEN 4 THEN 'tests/test_a.py' ELSE 'src/main.go' END AS path, CASE WHEN doc_id % 11 = 0 THEN '// Code generated by tool; DO NOT EDIT.' ELSE 'package x' END AS content FROM documents) SELECT CASE WHEN content LIKE '%generated%' OR path LIKE '%.pb.go' THEN 'generated' WHEN path LIKE '%/mocks/%' THEN 'generated' WHEN path LIKE 'vendor/%' THEN 'vendor' WHEN path LIKE '%!_test.go' ESCAPE '!' OR path LIKE '%/test!_%.py' ESCAPE '!' THEN 'test' ELSE 'production' END AS class, count(*)::BIGINT AS files FROM p GROUP BY 1")
 def file_class(f):
     k = F.col("doc_id") % 7
     path = F.when(k == 0, F.concat(F.lit("vendor/a"), F.col("doc_id").cast("string"), F.lit(".go"))).when(k == 1, "src/a_test.go").when(k == 2, "src/mocks/m.go").when(k == 3, "src/x.pb.go").when(k == 4, "tests/test_a.py").otherwise("src/main.go")

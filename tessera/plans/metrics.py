@@ -10,13 +10,13 @@ from .registry import query
 
 
 @query("encapsulation", f"""{W}, k AS (SELECT count(*) FILTER (strength = 'contract') AS a, count(*) FILTER (strength = 'intrusive') AS b, count(*) AS n FROM c WHERE boundary)
-SELECT a::BIGINT AS contract, b::BIGINT AS intrusive, CASE WHEN a + b = 0 THEN NULL ELSE round(a / (a + b), 6) END AS value, CASE WHEN a + b = 0 THEN 'n/a' WHEN (a + b) / n >= 0.8 THEN 'high' WHEN (a + b) / n >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM k""")
+SELECT a::BIGINT AS contract, b::BIGINT AS intrusive, CASE WHEN b = 0 THEN NULL ELSE round(a / (a + b), 6) END AS value, CASE WHEN b = 0 THEN 'n/a' WHEN (a + b) / n >= 0.8 THEN 'high' WHEN (a + b) / n >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM k""")
 def encapsulation(f):
     e = classified(f).where(C.boundary(F.col("distance")))
     k = e.agg(F.count_if(F.col("strength") == "contract").alias("contract"), F.count_if(F.col("strength") == "intrusive").alias("intrusive"), F.count("*").alias("n"))
     ab = F.col("contract") + F.col("intrusive")
     share = F.when(ab > 0, ab / F.when(F.col("n") > 0, F.col("n")))
-    return k.select("contract", "intrusive", F.when(ab > 0, F.round(F.col("contract") / F.when(ab > 0, ab), 6)).alias("value"), F.when(ab == 0, "n/a").when(share >= 0.8, "high").when(share >= 0.5, "medium").otherwise("low").alias("confidence"))
+    return k.select("contract", "intrusive", F.when(F.col("intrusive") > 0, F.round(F.col("contract") / F.when(ab > 0, ab), 6)).alias("value"), F.when(F.col("intrusive") == 0, "n/a").when(share >= 0.8, "high").when(share >= 0.5, "medium").otherwise("low").alias("confidence"))
 
 
 @query("unbalanced_edge", f"""{W}, k AS (SELECT count(*) FILTER (strength = 'intrusive' AND vol = 'high') AS n, count(*) FILTER (vol NOT IN ('undeclared', 'unknown')) AS known FROM c WHERE boundary)
@@ -44,15 +44,15 @@ def coverage_gaps(f):
     return tools(f).where("seen < applicable OR unresolved > 0").select("tool", (F.col("applicable") - F.col("seen")).alias("missing"), "unresolved")
 
 
-SCORE = "least(round(100 * (avg(balance) - 1) / 9), CASE WHEN count(*) FILTER (mono) >= 0.05 * count(*) THEN 40 WHEN count(*) FILTER (severity = 'critical') > 0 THEN 60 ELSE 100 END)"
+SCORE = "least(round(100 * (avg(balance) - 1) / 9), CASE WHEN count(*) FILTER (mono) > 0 AND count(*) FILTER (mono) >= 0.05 * count(*) THEN 40 WHEN count(*) FILTER (severity = 'critical') > 0 THEN 60 ELSE 100 END)"
 
 
-@query("coupling_balance", f"""{W}, k AS (SELECT *, {MONO} AS mono FROM c WHERE boundary AND balance IS NOT NULL), s AS (SELECT round(avg(balance), 6) AS mean, {SCORE}::INT AS score, count(*)::BIGINT AS edges FROM k)
+@query("coupling_balance", f"""{W}, k AS (SELECT *, {MONO} AS mono FROM c WHERE boundary), s AS (SELECT round(avg(balance), 6) AS mean, {SCORE}::INT AS score, count(balance)::BIGINT AS edges, count(*) - count(balance) AS abstained FROM k)
 SELECT mean, score, edges, CASE WHEN edges = 0 THEN 'n/a' WHEN score <= 20 THEN 'critical' WHEN score <= 40 THEN 'poor' WHEN score <= 60 THEN 'mixed' WHEN score <= 80 THEN 'serviceable' ELSE 'strong' END AS band FROM s""")
 def coupling_balance(f):
-    k = classified(f).where(C.boundary(F.col("distance")) & F.col("balance").isNotNull()).withColumn("mono", C.monolith())
-    cap = F.when(F.count_if("mono") >= 0.05 * F.count("*"), 40).when(F.count_if(F.col("severity") == "critical") > 0, 60).otherwise(100)
-    s = k.agg(F.round(F.avg("balance"), 6).alias("mean"), F.least(F.round(100 * (F.avg("balance") - 1) / 9), cap).cast("int").alias("score"), F.count("*").alias("edges"))
+    k = classified(f).where(C.boundary(F.col("distance"))).withColumn("mono", C.monolith())  # abstained edges count for the share
+    cap = F.when((F.count_if("mono") > 0) & (F.count_if("mono") >= 0.05 * F.count("*")), 40).when(F.count_if(F.col("severity") == "critical") > 0, 60).otherwise(100)
+    s = k.agg(F.round(F.avg("balance"), 6).alias("mean"), F.least(F.round(100 * (F.avg("balance") - 1) / 9), cap).cast("int").alias("score"), F.count("balance").alias("edges"))
     x = F.col("score")
     return s.withColumn("band", F.when(F.col("edges") == 0, "n/a").when(x <= 20, "critical").when(x <= 40, "poor").when(x <= 60, "mixed").when(x <= 80, "serviceable").otherwise("strong"))
 

@@ -104,8 +104,8 @@ LAYERS = """SELECT 'layers' AS rule, from_module AS "from", to_module AS "to", f
 DENYS = f"""SELECT id AS rule, from_module AS "from", to_module AS "to", file, line FROM {{:uses}} u JOIN {DENIED} ON regexp_matches(from_module, from_regex) AND regexp_matches(to_module, to_regex) WHERE from_module <> to_module"""
 ONLYS = f"""SELECT id AS rule, from_module AS "from", root AS "to", file, line FROM ({LIBS}) l JOIN {ALLOWED} ON (library = root OR starts_with(library, root || '/')) AND NOT regexp_matches(from_module, in_regex)"""
 UNOWNED = f"""SELECT 'unowned' AS rule, file AS "from", '' AS "to", file, 0::BIGINT AS line FROM ({OWNER}) o WHERE production AND module IS NULL"""
-OTHER = r"NOT regexp_matches(value, '^[A-Za-z0-9_]+([-:./][A-Za-z0-9_]+)+$') AND NOT regexp_matches(value, '^\pL+$')"
-DUPLICATION = f"""SELECT 'duplication' AS rule, p.a AS "from", p.b AS "to", l.file, 0::BIGINT AS line, l.value FROM {{:literals}} l JOIN (SELECT value, min(module) AS a, max(module) AS b FROM {{:literals}} x WHERE {OTHER} GROUP BY value HAVING count(DISTINCT module) = 2) p USING (value)"""
+OTHER = r"""NOT regexp_matches(value, '^([\p{L}\p{N}_]+:"[^"]*"\s*)+$') AND NOT regexp_matches(value, '^[\p{L}\p{N}_.:@-]+$')"""
+DUPLICATION = f"""SELECT 'duplication' AS rule, p.a AS "from", p.b AS "to", l.file, 0::BIGINT AS line, l.value FROM {{:literals}} l JOIN (SELECT value, min(module) AS a, max(module) AS b FROM {{:literals}} x WHERE {OTHER} AND class = 'production' GROUP BY value HAVING count(DISTINCT module) = 2) p USING (value) WHERE l.class = 'production'"""
 
 
 def libraries(f: Facts):
@@ -227,15 +227,14 @@ def literal_index(f):
     return f.literals.groupBy("value").agg(F.count("*").alias("places"), F.count_distinct("module").alias("modules"))
 
 
-@query("literal_shape", r"SELECT value, CASE WHEN regexp_matches(value, '^[A-Za-z0-9_]+([-:./][A-Za-z0-9_]+)+$') THEN 'tag' WHEN regexp_matches(value, '^\pL+$') THEN 'word' ELSE 'other' END AS shape FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS value FROM documents) WHERE length(value) >= 12")
+@query("literal_shape", r"""SELECT value, CASE WHEN regexp_matches(value, '^([\p{L}\p{N}_]+:"[^"]*"\s*)+$') THEN 'tag' WHEN regexp_matches(value, '^[\p{L}\p{N}_.:@-]+$') THEN 'word' ELSE 'other' END AS shape FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS value FROM documents) WHERE length(value) >= 12""")
 def literal_shape(f):
     return f.documents.select(F.explode(F.split("text", " ")).alias("value")).distinct().where(F.length("value") >= 12).select("value", R.shape(F.col("value")).alias("shape"))
 
 
-@query("edge_imports", "SELECT file, coalesce(line, 0)::BIGINT AS line, target FROM (SELECT file, unnest(CASE WHEN len(lines) > 3 THEN [NULL] ELSE lines END) AS line, target FROM (SELECT file, target, list(DISTINCT line) AS lines FROM {:uses} u GROUP BY file, target))")
+@query("edge_imports", "SELECT DISTINCT file, line::BIGINT AS line, target FROM {:uses} u")
 def edge_imports(f):
     edges = f.uses.groupBy("file", "target").agg(F.collect_set("line").alias("lines"))
-    edges = edges.withColumn("lines", F.when(F.size("lines") <= 3, F.col("lines")))  # an edge that lost its places
     return edges.select("file", F.explode_outer("lines").alias("line"), "target").fillna(0, ["line"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed patterns.
-LAZY = r"(?:importlib\.import_module|__import__|require|import)\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"
+LAZY = r"(?:^|[^\w.$])(?:importlib\.import_module|__import__|require|import)\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"
 QUOTED = r"\"([^\"\n]*)\""
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 GENERATED = r"(?i)code generated .* do not edit"
@@ -23,8 +23,7 @@ def literals(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def dynamic_imports(files: DataFrame, text: str = "text") -> DataFrame:
-    found = lines(files, text).select("file", "line", F.regexp_extract("content", LAZY, 1).alias("target"))
-    return found.where("target <> ''")
+    return lines(files, text).select("file", "line", F.explode(F.regexp_extract_all("content", F.lit(LAZY), F.lit(1))).alias("target"))
 
 
 def added_lines(diffs: DataFrame, text: str = "text") -> DataFrame:
@@ -42,8 +41,8 @@ def added_lines(diffs: DataFrame, text: str = "text") -> DataFrame:
 def lcov(files: DataFrame, text: str = "text") -> DataFrame:
     """(file, source, covered, total) from LCOV records."""
     w = Window.partitionBy("file").orderBy("line")
-    rows = lines(files, text).withColumn("source", F.last(F.when(F.col("content").startswith("SF:"), F.substring("content", 4, 4096)), True).over(w)).where("startswith(content, 'DA:')")
-    parts = F.split(F.substring("content", 4, 4096), ",")
+    rows = lines(files, text).withColumn("source", F.last(F.when(F.col("content").startswith("SF:"), F.expr("substring(content, 4)")), True).over(w)).where("startswith(content, 'DA:')")
+    parts = F.split(F.expr("substring(content, 4)"), ",")
     by = rows.select("file", "source", parts[0].cast("long").alias("at"), parts[1].cast("long").alias("hits")).groupBy("file", "source", "at").agg(F.max("hits").alias("hits"))
     return by.groupBy("file", "source").agg(F.count_if(F.col("hits") > 0).alias("covered"), F.count("*").alias("total"))
 
@@ -51,10 +50,20 @@ def lcov(files: DataFrame, text: str = "text") -> DataFrame:
 def file_class(path: Column, content: Column) -> Column:
     """Class of a file: the first rule that applies."""
     return (
-        F.when(content.rlike(GENERATED), "generated").when(path.rlike(r"(?:_gen|\.pb)\.[a-z]+$"), "generated").when(path.rlike(r"(?:^|/)(?:mocks?|testdata)(?:/|$)"), "mock").when(path.rlike(r"(?:^|/)(?:vendor|node_modules)/"), "vendor").when(path.rlike(r"(?:_test\.go|\.test\.ts|(?:^|/)test_[^/]*\.py)$"), "test").otherwise("production")
+        F.when(content.rlike(GENERATED), "generated").when(path.rlike(r"(?:_gen|\.pb)\.[a-z]+$"), "generated").when(path.rlike(r"(?:^|/)(?:mocks|__mocks__)/"), "generated").when(path.rlike(r"(?:^|/)(?:vendor|node_modules)/"), "vendor").when(path.rlike(r"(?:_test\.go|\.test\.ts|(?:^|/)test_[^/]*\.py)$"), "test").otherwise("production")
     )
 
 
+def carried(rows: DataFrame, at: str, value: str, block: int = 4096) -> DataFrame:
+    """rows with the last value at or before each place.  Blocks of places carry on their own; one row a block carries between them."""
+    rows = rows.withColumn("_block", F.expr(f"{at} div {block}"))
+    inside = Window.partitionBy("_block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.where(F.col(value).isNotNull()).groupBy("_block").agg(F.max_by(value, at).alias("_end"))
+    ends = rows.select("_block").distinct().join(ends, "_block", "left")
+    before = ends.select("_block", F.last("_end", True).over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    return rows.withColumn("_own", F.last(value, True).over(inside)).join(before, "_block").select(at, F.coalesce("_own", "_before").alias(value))
+
+
 def sanitized(text: Column, most: int = 200) -> Column:
     """Text without terminal escapes and control characters, at most so many code points."""
     plain = F.regexp_replace(F.regexp_replace(text, r"\x1b\[[0-9;]*[A-Za-z]", ""), r"[\x00-\x1f\x7f]+", " ")

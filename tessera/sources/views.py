@@ -15,7 +15,8 @@ CUTOFF = "1998-04-01"
 VIEWS = {
     "modules": """SELECT n_name AS module, n_nationkey AS num, r_name AS layer, r_regionkey AS layer_pos, 'team' || CAST(n_nationkey % 6 AS STRING) AS owner,
       'unit' || CAST(n_nationkey % 8 AS STRING) AS deploy_unit, CASE n_nationkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN NULL ELSE 'medium' END AS volatility,
-      CASE n_nationkey % 3 WHEN 0 THEN 'Core' WHEN 1 THEN 'supporting' ELSE NULL END AS subdomain, CASE n_nationkey % 5 WHEN 0 THEN 'facade' WHEN 1 THEN 'shared_kernel' ELSE 'plain' END AS role
+      CASE n_nationkey % 6 WHEN 0 THEN 'Core' WHEN 1 THEN 'supporting' WHEN 3 THEN 'Generic' WHEN 4 THEN 'supporting' ELSE NULL END AS subdomain,
+      CASE WHEN n_nationkey % 7 = 6 THEN NULL ELSE CAST('2001-08-01' AS DATE) - INTERVAL '17' DAY * n_nationkey END AS reviewed_at, CASE n_nationkey % 5 WHEN 0 THEN 'facade' WHEN 1 THEN 'shared_kernel' ELSE 'plain' END AS role
       FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""",
     "uses": """SELECT 'src/' || lower(n1.n_name) || '/f' || CAST(l_suppkey % 7 AS STRING) || '.go' AS file, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS line,
       'src/' || lower(n2.n_name) || '/' || CASE WHEN l_partkey % 3 = 0 THEN 'api' ELSE 'impl' END || '/g' || CAST(l_partkey % 5 AS STRING) || '.go' AS target,
@@ -30,7 +31,7 @@ VIEWS = {
     "pairs": "SELECT from_module AS a, to_module AS b FROM {:uses} u WHERE from_module <> to_module AND (from_num < to_num OR from_num = to_num + 1) GROUP BY from_module, to_module HAVING count(*) % 4 = 1",
     "edges": """SELECT from_module, to_module, file, line, from_num, to_num, CASE flag WHEN 'A' THEN 'contract' WHEN 'N' THEN CASE WHEN public THEN 'model' ELSE 'functional' END ELSE CASE WHEN qty > 40 THEN 'unknown' WHEN qty > 25 THEN 'intrusive' ELSE 'symmetric' END END AS hint,
       public, qty, part, status FROM {:uses} u""",
-    "literals": "SELECT DISTINCT source AS module, 'd' || CAST(doc_id AS STRING) AS file, line AS value, doc_id FROM (SELECT source, doc_id, {unnest} AS line FROM {documents}) t WHERE length(line) >= 12",
+    "literals": "SELECT DISTINCT source AS module, 'd' || CAST(doc_id AS STRING) AS file, line AS value, doc_id, CASE doc_id % 10 WHEN 3 THEN 'test' WHEN 7 THEN 'generated' ELSE 'production' END AS class FROM (SELECT source, doc_id, {unnest} AS line FROM {documents}) t WHERE length(line) >= 12",
 }
 _SPARK = {"unnest": "explode(split(text, '\\n'))"}
 _DUCK = {"unnest": "unnest(string_split(text, chr(10)))"}

@@ -70,3 +70,48 @@ def test_text_facts(spark):
     diff = "+++ b/x\n@@ -1,3 +1,4 @@\n same\n+++ one\n-gone\n+two\n@@ -9,0 +20,2 @@\n+x\n+y"
     df = spark.createDataFrame([("d", diff)], "file string, text string")
     assert sorted(r.line for r in text.added_lines(df).collect()) == [2, 3, 20, 21]
+
+
+def test_strength_precedence(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.classify import strength
+
+    cases = [
+        (True, False, "functional", None, "contract"), (True, False, "intrusive", None, "intrusive"), (True, False, "functional", "model", "model"), (True, True, "symmetric", None, "contract"),
+        (False, True, "contract", None, "intrusive"), (False, False, "symmetric", "model", "symmetric"), (False, False, "unknown", None, "unknown"), (True, False, "intrusive", "model", "intrusive"),
+    ]
+    df = spark.createDataFrame(cases, "public boolean, internal boolean, hint string, data string, want string")
+    assert all(r.got == r.want for r in df.select("want", strength(F.col("public"), F.col("internal"), F.col("hint"), F.col("data")).alias("got")).collect())
+
+
+def test_calibration_scores(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import classify as C
+
+    cases = [
+        ("intrusive", "different_deploy_unit", "high", 10, 10, "reduce_strength"), ("functional", "different_owner", "medium", 7, 6, "reduce_strength"), ("contract", "cross_module", "low", 0, 2, ""),
+        ("intrusive", "cross_module", "low", 7, 3, None), ("functional", "same_module", "high", 0, 0, ""), ("model", "external", "undeclared", 8, 3, None), ("unknown", "unknown", "unknown", 5, 5, None),
+    ]
+    df = spark.createDataFrame(cases, "s string, d string, v string, a int, m int, move string")
+    k = (F.col("s"), F.col("d"), F.col("v"))
+    for r in df.select("*", C.additive(*k).alias("ga"), C.multiplicative(*k).alias("gm"), C.cheapest_move(C.additive, *k).alias("gmove")).collect():
+        assert (r.ga, r.gm) == (r.a, r.m), r
+        assert r.move is None or r.gmove == r.move, r
+
+
+def test_shapes_and_carry(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.rules import shape
+    from tessera.sources.text import carried, dynamic_imports
+
+    values = {'json:"id" xml:"x"': "tag", "snake_case_name": "word", "a.b:c@d-e": "word", "two words": "other", "slash/path": "other", "été": "word"}
+    got = {r.v: r.s for r in spark.createDataFrame([(v,) for v in values], "v string").select("v", shape(F.col("v")).alias("s")).collect()}
+    assert got == values
+    rows = [(i, i if i in (3, 900) else None) for i in range(2000)]
+    got = {r.at: r.x for r in carried(spark.createDataFrame(rows, "at long, x long"), "at", "x", 64).collect()}
+    assert got == {i: None if i < 3 else 3 if i < 900 else 900 for i in range(2000)}
+    files = spark.createDataFrame([("a", "x = require('m'); y = myrequire('no'); require(\"n\")")], "file string, text string")
+    assert sorted(r.target for r in dynamic_imports(files).collect()) == ["m", "n"]
