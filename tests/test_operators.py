@@ -92,7 +92,7 @@ def test_calibration_scores(spark):
 
     cases = [
         ("intrusive", "different_deploy_unit", "high", 10, 10, "reduce_strength"), ("functional", "different_owner", "medium", 7, 6, "reduce_strength"), ("contract", "cross_module", "low", 0, 2, ""),
-        ("intrusive", "cross_module", "low", 7, 3, None), ("functional", "same_module", "high", 0, 0, ""), ("model", "external", "undeclared", 8, 3, None), ("unknown", "unknown", "unknown", 5, 5, None),
+        ("intrusive", "cross_module", "low", 7, 3, None), ("functional", "same_module", "high", 0, 0, ""), ("model", "external", "undeclared", 8, 1, None), ("unknown", "unknown", "unknown", 5, 5, None),
     ]
     df = spark.createDataFrame(cases, "s string, d string, v string, a int, m int, move string")
     k = (F.col("s"), F.col("d"), F.col("v"))
