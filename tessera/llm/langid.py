@@ -4,9 +4,10 @@ Each word has character n-gram features with word ends marked (so affixes are
 among them) and a lexicon feature for frequent words; learned transitions tie
 neighbours together, so the words of code-switched text get labels of their
 own by forward-backward.  The model is fitted on a bounded sample of labelled
-documents (``PER_LANG`` whole documents of each language by hash of the id),
-spliced from random windows into sequences that switch language, and is then
-half a megabyte for each language; every text is labelled whole.
+documents (``PER_LANG`` documents of each language by hash of the id; of a longer
+text a window of ``WINDOW_CHARS`` characters anywhere in it, by another hash),
+spliced into sequences that switch language, and is then half a megabyte for each
+language; every text is labelled whole.
 
 Forward-backward runs over all words of a record batch at once: products of
 transfer matrices over blocks of ``SPAN`` words, a scan over the blocks of each
@@ -34,7 +35,7 @@ from .tokens import blocks
 from .words import codes, sums, text_of, word_strings, words_of
 
 FOLDS = 5
-PER_LANG = 600
+PER_LANG, WINDOW_CHARS = 600, 3_000
 HASH_BITS, LEXICON, NGRAMS = 17, 4_000, (1, 2, 3, 4)
 #: Sequences to learn from: so many, or so many for each language.
 SEQUENCES, PER_LANG_SEQUENCES, SEQUENCE_WORDS, EPOCHS, SPAN = 1_200, 300, 96, 4, 32
@@ -273,7 +274,8 @@ def held_out(id: str = "doc_id"):
 
 def sample(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
     """The bounded sample of labelled documents outside the held-out fold."""
-    rows = docs.select(F.col(id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"), held_out(id).alias("out")).where("l is not null and t is not null and not out")
+    at = F.pmod(F.xxhash64(F.col(id), F.lit("window")), F.greatest(F.lit(1), F.length(text) - WINDOW_CHARS + 1)).cast("int") + 1
+    rows = docs.select(F.col(id).alias("i"), F.substring(text, at, F.lit(WINDOW_CHARS)).alias("t"), F.col(lang).alias("l"), held_out(id).alias("out")).where("l is not null and t is not null and not out")
     counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []

@@ -10,7 +10,7 @@ and M_d its total at rate 1: in the token-weighted metric a step of 1 is safe,
 for the posteriors of a document sum to one.  Documents whose posteriors agree to
 ``1 / GRAIN`` share a rate, so one aggregate of a few thousand rows holds all that
 the least squares need; accelerated projected gradient runs on it until no step
-within the bounds moves a rate by more than ``TOLERANCE``.
+within the bounds moves a rate by more than ``TOLERANCE`` (or for ``ROUNDS`` steps).
 
 With ``keep_clean`` no document that is more likely good or low than toxic may
 have a rate under 1: targets are then met by repeating documents and by leaving
@@ -38,7 +38,7 @@ from .common import cut
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.85, "low": 0.15, "toxic": 0.0}
 SAMPLE, MAX_WORDS, BUCKETS, LEAST, SIGNIFICANT = 20_000, 2_000, 32_768, 5, 4.0
-GRAIN, ROUNDS, TOLERANCE = 100, 100_000, 1e-7
+GRAIN, ROUNDS, TOLERANCE = 100, 20_000, 1e-7
 #: Documents that the rate over all domains counts as, in the rate of each domain.
 SMOOTH = 10.0
 
