@@ -99,14 +99,14 @@ def test_odd_texts(spark):
 
 
 def test_samples_are_windows_anywhere_in_a_text(spark):
-    rows = [(i, "x" * Q.WINDOW_CHARS + "y" * Q.WINDOW_CHARS, "aa") for i in range(1, 60)] + [(100 + i, "short", "bb") for i in range(20)]
-    texts, langs = Q.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rows = [(i, "x" * G.WINDOW_CHARS + "y" * G.WINDOW_CHARS, "aa") for i in range(1, 60)] + [(100 + i, "short", "bb") for i in range(20)]
+    texts, langs = G.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     long = [t for t, x in zip(texts, langs) if x == "aa"]
-    assert all(len(t) == Q.WINDOW_CHARS for t in long) and {"short"} == {t for t, x in zip(texts, langs) if x == "bb"}
+    assert all(len(t) == G.WINDOW_CHARS for t in long) and {"short"} == {t for t, x in zip(texts, langs) if x == "bb"}
     assert sum("y" in t for t in long) > len(long) // 2 and sum("x" in t for t in long) > len(long) // 2
 
 
 def test_no_language_is_left_out(spark):
     rows = [(i, f"wort{i % 230} zeichen{i % 230} ding{i % 230}", f"l{i % 230:03d}") for i in range(1000)]
-    _, langs = Q.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    _, langs = G.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(set(langs)) > 200
