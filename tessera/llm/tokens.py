@@ -26,8 +26,9 @@ from .words import SPACE, Text, codes, strings, text_of
 #: White space beyond ASCII, and controls that some tables count as such (fixed values).
 OTHER_SPACE = "[\x00\x1c-\x1f\u0085  ᠎ -‏ -  ⁠　﻿]"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-MEMORY = 200_000
-BLOCK_BYTES = 6_000_000
+MEMORY = 250_000
+PART_ROWS = 3_072
+BLOCK_BYTES = 12_000_000
 
 
 class Encoder:
@@ -153,7 +154,7 @@ def chunks_of(t: Text) -> tuple[np.ndarray, np.ndarray]:
 
 def text_blocks(rows: pa.RecordBatch, text: int = 1, size: int = BLOCK_BYTES):
     """(rows, texts) of a batch in blocks of bounded size."""
-    for some, col in parts(rows, text):
+    for some, col in parts(rows, text, PART_ROWS):
         for i, j in blocks(col, size):
             yield some.slice(i, j - i), col.slice(i, j - i)
 
