@@ -100,12 +100,6 @@ def first_source_wins(f):
     return a.unionByName(b).unionByName(c).groupBy(F.col("p_brand").alias("module")).agg(F.min_by("source", "priority").alias("source"), F.min_by("unit", "priority").alias("unit"))
 
 
-@query("freshness", "WITH d AS (SELECT source, count(*) AS named, count(*) FILTER (doc_id % 50 <> 0) AS present, bool_and(n_chars > 12) AS same FROM documents GROUP BY source) SELECT source, CASE WHEN source LIKE '%7' THEN 'unverified' WHEN present < named OR NOT same THEN 'stale' ELSE 'matched' END AS freshness FROM d")
-def freshness(f):
-    d = f.documents.groupBy("source").agg(F.count("*").alias("named"), F.count_if(F.col("doc_id") % 50 != 0).alias("present"), F.bool_and(F.col("n_chars") > 12).alias("same"))
-    return d.select("source", F.when(F.col("source").like("%7"), "unverified").when((F.col("present") < F.col("named")) | ~F.col("same"), "stale").otherwise("matched").alias("freshness"))
-
-
 HINT = "CASE hint WHEN 'contract' THEN 1 WHEN 'model' THEN 2 WHEN 'functional' THEN 3 WHEN 'symmetric' THEN 4 WHEN 'intrusive' THEN 5 ELSE 0 END"
 
 
@@ -144,17 +138,6 @@ def literal_scan(f):
     return T.literals(p, "html").groupBy(F.col("file").alias("page_id"), "value").agg(F.count("*").alias("n"))
 
 
-CODE = "CASE doc_id % 4 WHEN 0 THEN 'importlib.import_module(\"a.' || source || '\")' WHEN 1 THEN 'x = require(''' || lang || ''')' WHEN 2 THEN 'import os' ELSE 'const y = import( \"m\" )' END"
-
-
-@query("dynamic_imports", f"""SELECT 'd' || doc_id AS file, regexp_extract(c, '(?:^|[^\\w.$])(?:importlib\\.import_module|__import__|require|import)\\s*\\(\\s*[''"]([^''"]+)[''"]\\s*\\)', 1) AS target FROM (SELECT doc_id, {CODE} AS c FROM documents) WHERE regexp_extract(c, '(?:^|[^\\w.$])(?:importlib\\.import_module|__import__|require|import)\\s*\\(\\s*[''"]([^''"]+)[''"]\\s*\\)', 1) <> ''""")
-def dynamic_imports(f):
-    k = F.col("doc_id") % 4
-    code = F.when(k == 0, F.concat(F.lit('importlib.import_module("a.'), "source", F.lit('")'))).when(k == 1, F.concat(F.lit("x = require('"), "lang", F.lit("')"))).when(k == 2, F.lit("import os")).otherwise(F.lit('const y = import( "m" )'))
-    d = f.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), code.alias("text"))
-    return T.dynamic_imports(d).select("file", "target")
-
-
 @query("added_lines", "SELECT 'd' || doc_id AS file, unnest([doc_id % 50 + 2, doc_id % 50 + 4, doc_id % 9 + 100])::BIGINT AS line FROM documents")
 def added_lines(f):
     a, b = (F.col("doc_id") % 50 + 1).cast("string"), (F.col("doc_id") % 9 + 100).cast("string")
@@ -162,14 +145,6 @@ def added_lines(f):
     return T.added_lines(f.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), diff.alias("text")))
 
 
-@query("file_class", "WITH p AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'vendor/a' || doc_id || '.go' WHEN 1 THEN 'src/a_test.go' WHEN 2 THEN 'src/mocks/m.go' WHEN 3 THEN 'src/x.pb.go' WHEN 4 THEN 'tests/test_a.py' ELSE 'src/main.go' END AS path, CASE WHEN doc_id % 11 = 0 THEN '// Code generated by tool; DO NOT EDIT.' ELSE 'package x' END AS content FROM documents) SELECT CASE WHEN content LIKE '%generated%' OR path LIKE '%.pb.go' THEN 'generated' WHEN path LIKE '%/mocks/%' THEN 'generated' WHEN path LIKE 'vendor/%' THEN 'vendor' WHEN path LIKE '%!_test.go' ESCAPE '!' OR path LIKE '%/test!_%.py' ESCAPE '!' THEN 'test' ELSE 'production' END AS class, count(*)::BIGINT AS files FROM p GROUP BY 1")
-def file_class(f):
-    k = F.col("doc_id") % 7
-    path = F.when(k == 0, F.concat(F.lit("vendor/a"), F.col("doc_id").cast("string"), F.lit(".go"))).when(k == 1, "src/a_test.go").when(k == 2, "src/mocks/m.go").when(k == 3, "src/x.pb.go").when(k == 4, "tests/test_a.py").otherwise("src/main.go")
-    content = F.when(F.col("doc_id") % 11 == 0, "// Code generated by tool; DO NOT EDIT.").otherwise("package x")
-    return f.documents.select(T.file_class(path, content).alias("class")).groupBy("class").agg(F.count("*").alias("files"))
-
-
 @query("file_facts", "WITH r AS (SELECT DISTINCT a.p_brand AS from_module, b.p_brand AS to_module, a.p_partkey AS f FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 JOIN part a ON a.p_partkey = x.l_partkey JOIN part b ON b.p_partkey = y.l_partkey WHERE a.p_brand <> b.p_brand) SELECT p_brand AS module, count(*)::BIGINT AS files, max(o.out_degree) AS out_degree, max(i.fan_in) AS fan_in FROM part LEFT JOIN (SELECT from_module, count(DISTINCT to_module)::BIGINT AS out_degree FROM r GROUP BY 1) o ON o.from_module = p_brand LEFT JOIN (SELECT to_module, count(DISTINCT from_module)::BIGINT AS fan_in FROM r GROUP BY 1) i ON i.to_module = p_brand GROUP BY p_brand")
 def file_facts(f):
     p = f.part.select("p_partkey", "p_brand")

@@ -1,4 +1,4 @@
-"""Facts from raw text: literals, lazy imports, unified diffs, LCOV."""
+"""Facts from raw text: literals, unified diffs, carried values."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed patterns.
-LAZY = r"(?:^|[^\w.$])(?:importlib\.import_module|__import__|require|import)\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"
 QUOTED = r"\"([^\"\n]*)\""
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-GENERATED = r"(?i)code generated .* do not edit"
 
 
 def lines(files: DataFrame, text: str = "text") -> DataFrame:
@@ -22,10 +20,6 @@ def literals(files: DataFrame, text: str = "text") -> DataFrame:
     return found.select("file", "line", F.explode(F.regexp_extract_all("content", F.lit(QUOTED), F.lit(1))).alias("value"))
 
 
-def dynamic_imports(files: DataFrame, text: str = "text") -> DataFrame:
-    return lines(files, text).select("file", "line", F.explode(F.regexp_extract_all("content", F.lit(LAZY), F.lit(1))).alias("target"))
-
-
 def added_lines(diffs: DataFrame, text: str = "text") -> DataFrame:
     """(file, line) of lines that a unified diff adds; hunks are counted, so a line like a header is content."""
     w = Window.partitionBy("file").orderBy("line")
@@ -38,22 +32,6 @@ def added_lines(diffs: DataFrame, text: str = "text") -> DataFrame:
     return rows.where("head = '' AND startswith(content, '+')").select("file", F.col("place").alias("line"))
 
 
-def lcov(files: DataFrame, text: str = "text") -> DataFrame:
-    """(file, source, covered, total) from LCOV records."""
-    w = Window.partitionBy("file").orderBy("line")
-    rows = lines(files, text).withColumn("source", F.last(F.when(F.col("content").startswith("SF:"), F.expr("substring(content, 4)")), True).over(w)).where("startswith(content, 'DA:')")
-    parts = F.split(F.expr("substring(content, 4)"), ",")
-    by = rows.select("file", "source", parts[0].cast("long").alias("at"), parts[1].cast("long").alias("hits")).groupBy("file", "source", "at").agg(F.max("hits").alias("hits"))
-    return by.groupBy("file", "source").agg(F.count_if(F.col("hits") > 0).alias("covered"), F.count("*").alias("total"))
-
-
-def file_class(path: Column, content: Column) -> Column:
-    """Class of a file: the first rule that applies."""
-    return (
-        F.when(content.rlike(GENERATED), "generated").when(path.rlike(r"(?:_gen|\.pb)\.[a-z]+$"), "generated").when(path.rlike(r"(?:^|/)(?:mocks|__mocks__)/"), "generated").when(path.rlike(r"(?:^|/)(?:vendor|node_modules)/"), "vendor").when(path.rlike(r"(?:_test\.go|\.test\.ts|(?:^|/)test_[^/]*\.py)$"), "test").otherwise("production")
-    )
-
-
 def carried(rows: DataFrame, at: str, value: str, block: int = 4096) -> DataFrame:
     """rows with the last value at or before each place.  Blocks of places carry on their own; one row a block carries between them."""
     rows = rows.withColumn("_block", F.expr(f"{at} div {block}"))

@@ -64,9 +64,6 @@ def test_module_of_takes_the_most_specific(spark):
 
 
 def test_text_facts(spark):
-    lcov = "TN:\nSF:a.go\nDA:1,2\nDA:2,0\nDA:1,0\nend_of_record\nSF:b.go\nDA:7,1\nend_of_record"
-    df = spark.createDataFrame([("r", lcov)], "file string, text string")
-    assert sorted(tuple(r) for r in text.lcov(df).collect()) == [("r", "a.go", 1, 2), ("r", "b.go", 1, 1)]
     diff = "+++ b/x\n@@ -1,3 +1,4 @@\n same\n+++ one\n-gone\n+two\n@@ -9,0 +20,2 @@\n+x\n+y"
     df = spark.createDataFrame([("d", diff)], "file string, text string")
     assert sorted(r.line for r in text.added_lines(df).collect()) == [2, 3, 20, 21]
@@ -105,7 +102,7 @@ def test_shapes_and_carry(spark):
     from pyspark.sql import functions as F
 
     from tessera.operators.rules import shape
-    from tessera.sources.text import carried, dynamic_imports
+    from tessera.sources.text import carried
 
     values = {'json:"id" xml:"x"': "tag", "snake_case_name": "word", "a.b:c@d-e": "word", "two words": "other", "slash/path": "other", "été": "word"}
     got = {r.v: r.s for r in spark.createDataFrame([(v,) for v in values], "v string").select("v", shape(F.col("v")).alias("s")).collect()}
@@ -113,5 +110,3 @@ def test_shapes_and_carry(spark):
     rows = [(i, i if i in (3, 900) else None) for i in range(2000)]
     got = {r.at: r.x for r in carried(spark.createDataFrame(rows, "at long, x long"), "at", "x", 64).collect()}
     assert got == {i: None if i < 3 else 3 if i < 900 else 900 for i in range(2000)}
-    files = spark.createDataFrame([("a", "x = require('m'); y = myrequire('no'); require(\"n\")")], "file string, text string")
-    assert sorted(r.target for r in dynamic_imports(files).collect()) == ["m", "n"]
