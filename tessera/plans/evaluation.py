@@ -110,19 +110,6 @@ def hint_fold(f):
     return f.edges.groupBy("from_module", "to_module").agg(F.max_by("hint", pick(F.col("hint"), STRENGTH_RANK, 0)).alias("hint"), F.count("*").alias("edges"))
 
 
-OWNERS = [(0, "^src/", "everyone"), (1, "^src/nation_1", "team-one"), (2, "/api/", "api"), (3, "^src/nation_1[0-3]/impl/", "core"), (4, "g4[.]go$", "four")]
-OWN = "(VALUES " + ", ".join(f"({p}, '{r}', '{o}')" for p, r, o in OWNERS) + ") o(pos, regex, owner)"
-
-
-@query("last_match_owner", f"WITH m AS (SELECT DISTINCT to_module AS module, target FROM {{:uses}} u), k AS (SELECT module, target, arg_max(owner, pos) AS owner FROM m JOIN {OWN} ON regexp_matches(target, regex) GROUP BY ALL), n AS (SELECT module, owner, count(*) AS files FROM k GROUP BY ALL) SELECT module, arg_min(owner, (100000 - files) || owner) AS owner, max(files)::BIGINT AS files FROM n GROUP BY module")
-def last_match_owner(f):
-    o = F.broadcast(f.spark.createDataFrame(OWNERS, "pos int, regex string, owner string"))
-    m = f.uses.select(F.col("to_module").alias("module"), "target").distinct()
-    k = m.join(o, F.expr("target RLIKE regex")).groupBy("module", "target").agg(F.max_by("owner", "pos").alias("owner"))
-    n = k.groupBy("module", "owner").agg(F.count("*").alias("files"))
-    return n.groupBy("module").agg(F.min_by("owner", F.struct(-F.col("files"), "owner")).alias("owner"), F.max("files").alias("files"))
-
-
 def files(f: Facts):
     return f.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), "text")
 
