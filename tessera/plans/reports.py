@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import code, coverage
+from ..sources import code, coverage, imports
 from .registry import Facts, query
 
 EXTENSIONS = ["info", "out", "json", "json", "xml"]
@@ -119,3 +119,26 @@ def freshness(f):
     digest = F.sha2(F.when(F.col("report") == F.col("first"), "").otherwise(F.coalesce("text", F.lit(""))), 256)
     sidecars = d.select("report", F.when(F.col("report") == F.col("last"), "0").otherwise(code.SIDECAR).alias("schema")).distinct()
     return code.attested(sidecars, d.select("report", "file", digest.alias("digest")), d.select("file", "text"), d).select(F.col("report").alias("source"), "freshness")
+
+
+@query("go_imports", """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS i, l_returnflag AS r, sum(CASE l_returnflag WHEN 'N' THEN 4 WHEN 'R' THEN 2 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag ROWS UNBOUNDED PRECEDING) AS line FROM lineitem),
+p AS (SELECT DISTINCT 'm' || (l_orderkey % 50) AS package FROM lineitem)
+SELECT 'm' || (o % 50) || '/o' || o || '.go' AS file, line::BIGINT AS line, 'ex.org/app/m' || (i * 13) AS path, CASE WHEN 'm' || (i * 13) IN (SELECT package FROM p) THEN 'first_party' ELSE 'unresolved' END AS kind, 'm' || (i * 13) AS package FROM l WHERE r = 'A'
+UNION ALL SELECT 'm' || (o % 50) || '/o' || o || '.go', (line - 1)::BIGINT, 'ex.org/apples', 'external', NULL FROM l WHERE r = 'N'""")
+def go_imports(f):
+    near = F.concat(F.lit('import _ "ex.org/app/m'), (F.col("l_linenumber") * 13).cast("string"), F.lit('"'))
+    files = _file(f, "go", near, F.lit('import (\n\t// "c"\n\tx "ex.org/apples"\n)'), F.lit('/* import "a"\n*/ // import "b"'))
+    key = F.regexp_extract("file", "([0-9]+)", 1).cast("long")
+    files = files.select(F.concat(F.lit("m"), (key % 50).cast("string"), F.lit("/o"), key.cast("string"), F.lit(".go")).alias("file"), F.concat("text", F.lit('\nfunc f() { import "z" }')).alias("text"))
+    mod = f.spark.range(1).select(F.lit("go.mod").alias("file"), F.lit("// app\nmodule ex.org/app\n\ngo 1.22\n").alias("text"))
+    return imports.go_targets(imports.go_imports(files), imports.go_modules(mod), files)
+
+
+@query("script_imports", """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS i, l_returnflag AS r, sum(CASE l_returnflag WHEN 'A' THEN 2 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag ROWS UNBOUNDED PRECEDING) AS line FROM lineitem),
+x AS (SELECT *, 'src/o' || (o + i) || '.ts' AS t, (o + i) IN (SELECT l_orderkey FROM lineitem) AS there FROM l)
+SELECT 'src/o' || o || '.ts' AS file, line::BIGINT AS line, CASE r WHEN 'A' THEN '../src/o' || (o + i) WHEN 'N' THEN '@app/o' || (o + i) || '.js?raw' ELSE 'lib' || i || '/x' END AS spec, CASE WHEN r = 'R' THEN 'external' WHEN there THEN 'file' ELSE 'unknown' END AS kind, CASE WHEN r <> 'R' AND there THEN t END AS target FROM x""")
+def script_imports(f):
+    to = (F.col("l_orderkey") + F.col("l_linenumber")).cast("string")
+    near = F.concat(F.lit('import { a, // from "b"\n b } from "../src/o'), to, F.lit('"'))
+    files = _file(f, "ts", near, F.concat(F.lit("export * from '@app/o"), to, F.lit(".js?raw'")), _c('const p = `from "q"`, r = require("lib', None, '/x"); my.require("s")'))
+    return imports.script_targets(imports.script_imports(files), files, aliases=[("@app/*", ["src/*"])])
