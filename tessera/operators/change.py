@@ -20,7 +20,7 @@ def added(base: DataFrame, head: DataFrame, lines: DataFrame) -> DataFrame:
 
 def covered(errors: DataFrame, exceptions: DataFrame, today: str) -> DataFrame:
     """errors with covered: an exception of their rule that holds today names them, by its rule's form."""
-    e = F.broadcast(exceptions.where(F.col("expires").isNull() | (F.col("expires") >= F.to_date(F.lit(today)))))
+    e = exceptions.where(F.col("expires").isNull() | (F.col("expires") >= F.to_date(F.lit(today))))
     hit = errors.alias("e").join(e.alias("x"), _named(), "left_semi").select(*[F.col(f"e.{c}") for c in KEY]).distinct().withColumn("covered", F.lit(True))
     return errors.join(hit, KEY, "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
@@ -35,7 +35,7 @@ def _named():
 
 def expired_errors(errors: DataFrame, exceptions: DataFrame, today: str) -> DataFrame:
     """Exceptions past their last day whose code is still broken: (rule, from, to, expires, errors)."""
-    gone = F.broadcast(exceptions.where(F.col("expires") < F.to_date(F.lit(today))))
+    gone = exceptions.where(F.col("expires") < F.to_date(F.lit(today)))
     hit = errors.alias("e").join(gone.alias("x"), _named())
     return hit.groupBy(F.col("x.rule").alias("rule"), F.col("x.from").alias("from"), F.col("x.to").alias("to"), F.col("x.expires").alias("expires")).agg(F.count_distinct(F.struct("e.rule", "e.from", "e.to")).alias("errors"))
 

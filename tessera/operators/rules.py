@@ -29,7 +29,7 @@ def coupled(uses: DataFrame, modules: DataFrame) -> DataFrame:
     """uses with their balance: contract past a public surface, else functional; functional takes the worse volatility."""
     vol = F.coalesce("volatility", F.when(F.lower("subdomain") == "core", "high").when(F.lower("subdomain").isin("supporting", "generic"), "low"), F.lit("high"))
     m = modules.select("module", vol.alias("v"))
-    both = crossing(uses).join(F.broadcast(m.withColumnsRenamed({"module": "from_module", "v": "from_v"})), "from_module").join(F.broadcast(m.withColumnsRenamed({"module": "to_module", "v": "to_v"})), "to_module")
+    both = crossing(uses).join(m.withColumnsRenamed({"module": "from_module", "v": "from_v"}), "from_module").join(m.withColumnsRenamed({"module": "to_module", "v": "to_v"}), "to_module")
     both = both.withColumn("strength", F.when(F.col("public"), "contract").otherwise("functional"))
     both = both.withColumn("volatility", F.when(F.col("strength") == "contract", F.col("to_v")).otherwise(worse_volatility(F.col("to_v"), F.col("from_v"))))
     return both.withColumn("balance", balance(F.col("strength"), F.lit("cross_module"), F.col("volatility")).cast("int"))
@@ -42,19 +42,19 @@ def coupling(uses: DataFrame, modules: DataFrame, min_balance: int = 7) -> DataF
 def layers(uses: DataFrame, modules: DataFrame) -> DataFrame:
     """Dependencies from an inner layer on an outer one."""
     m = modules.select("module", "layer_pos")
-    both = crossing(uses).join(F.broadcast(m.withColumnsRenamed({"module": "from_module", "layer_pos": "p"})), "from_module").join(F.broadcast(m.withColumnsRenamed({"module": "to_module", "layer_pos": "q"})), "to_module")
+    both = crossing(uses).join(m.withColumnsRenamed({"module": "from_module", "layer_pos": "p"}), "from_module").join(m.withColumnsRenamed({"module": "to_module", "layer_pos": "q"}), "to_module")
     return errors(both.where("p < q"), "layers")
 
 
 def deny(uses: DataFrame, denied: DataFrame) -> DataFrame:
     """denied: (pos, id, from_regex, to_regex).  One error for each use and rule."""
-    hit = crossing(uses).join(F.broadcast(denied), F.expr("from_module RLIKE from_regex AND to_module RLIKE to_regex"))
+    hit = crossing(uses).join(denied, F.expr("from_module RLIKE from_regex AND to_module RLIKE to_regex"))
     return errors(hit, F.col("id"))
 
 
 def only(uses: DataFrame, allowed: DataFrame) -> DataFrame:
     """allowed: (id, root, in_regex): libraries under root are for some modules alone."""
-    hit = uses.join(F.broadcast(allowed), F.expr("(library = root OR startswith(library, concat(root, '/'))) AND NOT from_module RLIKE in_regex"))
+    hit = uses.join(allowed, F.expr("(library = root OR startswith(library, concat(root, '/'))) AND NOT from_module RLIKE in_regex"))
     return hit.select(F.col("id").alias("rule"), F.col("from_module").alias("from"), F.col("root").alias("to"), "file", "line")
 
 

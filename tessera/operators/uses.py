@@ -18,7 +18,7 @@ def paths_table(spark: SparkSession, globs: list[tuple[str, str]]) -> DataFrame:
 
 def glob_matches(files: DataFrame, paths: DataFrame) -> DataFrame:
     """files x matching globs; the prefix prunes before the regex runs."""
-    return files.join(F.broadcast(paths), F.expr("startswith(file, prefix) AND file RLIKE regex"))
+    return files.join(paths, F.expr("startswith(file, prefix) AND file RLIKE regex"))
 
 
 def module_of(files: DataFrame, paths: DataFrame) -> DataFrame:
@@ -59,8 +59,8 @@ def public_use(uses: DataFrame, public: DataFrame) -> DataFrame:
     """uses with public: the target, or its directory, matches a public glob of its module; all of a module without such globs is public."""
     target = uses.select("target", "to_module").distinct()
     declared = public.select(F.col("module").alias("to_module")).distinct().withColumn("declared", F.lit(True))
-    p = F.broadcast(public.select(F.col("module").alias("m"), "regex"))
+    p = public.select(F.col("module").alias("m"), "regex")
     on = (F.col("to_module") == F.col("m")) & F.expr("target RLIKE regex OR regexp_replace(target, '/[^/]*$', '') RLIKE regex")
     hit = target.join(p, on, "left_semi").withColumn("hit", F.lit(True))
-    known = target.join(F.broadcast(declared), "to_module", "left").join(hit, ["target", "to_module"], "left")
+    known = target.join(declared, "to_module", "left").join(hit, ["target", "to_module"], "left")
     return uses.join(known.select("target", "to_module", (F.col("declared").isNull() | F.col("hit").isNotNull()).alias("is_public")), ["target", "to_module"])

@@ -92,13 +92,13 @@ PLACE = "CASE WHEN specifier IS NOT NULL THEN regexp_replace(file, '/[^/]*$', ''
 
 @query("unknown_added", f"""WITH b AS (SELECT {PLACE} AS place, coalesce(specifier, '') AS s, cause, count(*) AS n FROM ({_unknown('base')}) GROUP BY ALL), h AS (SELECT *, {PLACE} AS place, coalesce(specifier, '') AS s FROM ({_unknown('head')})),
 m AS (SELECT h.place, h.s, h.cause, count(*) AS n FROM h GROUP BY ALL), x AS (SELECT m.* FROM m LEFT JOIN b USING (place, s, cause) WHERE m.n > coalesce(b.n, 0))
-SELECT DISTINCT file, specifier, h.cause FROM h LEFT JOIN x ON x.place = h.place AND x.s = h.s AND x.cause = h.cause WHERE h.cause = 'tool' OR x.n IS NOT NULL OR file IN (SELECT file FROM {{:added}} a WHERE file LIKE '%f3.go')""")
+SELECT DISTINCT file, specifier, h.cause FROM h LEFT JOIN x ON x.place = h.place AND x.s = h.s AND x.cause = h.cause WHERE h.cause = 'tool' OR x.n IS NOT NULL OR file IN (SELECT file FROM {{:added}} a)""")
 def unknown_added(f):
     def unknown(d):
         cause = F.when(F.col("qty") % 10 == 1, "tool").when(F.col("qty") % 3 == 0, "base").otherwise("import")
         return d.where("qty > 30").select("file", F.when(F.col("qty") % 2 == 0, F.col("target")).alias("specifier"), cause.alias("cause"))
 
-    return C.unknown_added(unknown(f.base), unknown(f.head), f.added.where("file LIKE '%f3.go'"))
+    return C.unknown_added(unknown(f.base), unknown(f.head), f.added)
 
 
 RULE_RANK = "CASE rule WHEN 'graph' THEN 0 WHEN 'coupling' THEN 1 WHEN 'layers' THEN 4 ELSE 6 END"
@@ -128,14 +128,14 @@ def repo_state(f):
     return out.withColumn("state", F.when(F.col("expired") > 0, "expired").when(F.col("drift") > 0, "drift").otherwise("clean"))
 
 
-QUESTIONS = "SELECT m.module AS from_module, n.module AS to_module, m.layer_pos AS p, n.layer_pos AS q FROM {:modules} m JOIN {:modules} n ON m.num <= 4 AND n.num % 3 = 0 AND m.module <> n.module"
+QUESTIONS = "SELECT m.module AS from_module, n.module AS to_module, m.layer_pos AS p, n.layer_pos AS q FROM {:modules} m JOIN {:modules} n ON m.module <> n.module"
 
 
 @query("can_answer", f"""WITH q AS ({QUESTIONS}), d AS (SELECT q.*, EXISTS (SELECT 1 FROM {{:depends_on}} d WHERE d.module = from_module AND d.target = to_module) AS ok, min(balance) AS worst, max(balance) AS best FROM q LEFT JOIN ({COUPLED}) c USING (from_module, to_module) GROUP BY ALL)
 SELECT from_module, to_module, CASE WHEN NOT ok OR p < q THEN 'no' WHEN worst IS NULL OR (worst < 7 AND best >= 7) THEN 'unknown' WHEN worst < 7 THEN 'no' ELSE 'yes' END AS answer, CASE WHEN NOT ok THEN 'graph' WHEN p < q THEN 'layers' WHEN worst < 7 AND best < 7 THEN 'coupling' END AS rule FROM d""")
 def can_answer(f):
     m = f.modules.select("module", "num", "layer_pos")
-    q = m.where("num <= 4").select(F.col("module").alias("from_module"), F.col("layer_pos").alias("p")).join(F.broadcast(m.where("num % 3 = 0").select(F.col("module").alias("to_module"), F.col("layer_pos").alias("q"))), F.expr("from_module <> to_module"))
+    q = m.select(F.col("module").alias("from_module"), F.col("layer_pos").alias("p")).join(m.select(F.col("module").alias("to_module"), F.col("layer_pos").alias("q")), F.expr("from_module <> to_module"))
     ok = f.depends_on.select(F.col("module").alias("from_module"), F.col("target").alias("to_module"), F.lit(True).alias("ok"))
     seen = R.coupled(f.uses, f.modules).groupBy("from_module", "to_module").agg(F.min("balance").alias("worst"), F.max("balance").alias("best"))
     d = q.join(ok, ["from_module", "to_module"], "left").join(seen, ["from_module", "to_module"], "left").fillna(False, ["ok"])
@@ -153,7 +153,7 @@ def import_refusals(f):
 @query("rules_for_paths", """SELECT DISTINCT file, d.id AS rule FROM {:uses} u JOIN (VALUES ('no-teens', '^NATION_1[0-9]$'), ('no-seven', '^NATION_7$')) d(id, r) ON regexp_matches(from_module, r) UNION SELECT DISTINCT file, 'graph' FROM {:uses} u WHERE from_module NOT IN (SELECT module FROM {:depends_on} d)""")
 def rules_for_paths(f):
     u = f.uses.select("file", "from_module").distinct()
-    named = u.join(F.broadcast(denied(f)), F.expr("from_module RLIKE from_regex")).select("file", F.col("id").alias("rule"))
+    named = u.join(denied(f), F.expr("from_module RLIKE from_regex")).select("file", F.col("id").alias("rule"))
     free = u.join(f.depends_on.select(F.col("module").alias("from_module")).distinct(), "from_module", "left_anti").select("file", F.lit("graph").alias("rule"))
     return named.union(free).distinct()
 
@@ -171,7 +171,7 @@ SELECT name, (SELECT min(struct_pack(d := levenshtein(name, module), m := module
 def suggest_name(f):
     m = f.modules.select("module", "num")
     names = m.select(F.explode(F.array(F.concat(F.lit("NATON_"), F.col("num").cast("string")), F.concat(F.lit("NATION"), F.col("num").cast("string")), F.lit("Whatever"))).alias("name")).distinct()
-    near = names.join(F.broadcast(m.select("module")), F.expr("levenshtein(name, module) <= 2")).groupBy("name").agg(F.min(F.struct(F.levenshtein("name", "module").alias("d"), "module")).alias("s"))
+    near = names.join(m.select("module"), F.expr("levenshtein(name, module) <= 2")).groupBy("name").agg(F.min(F.struct(F.levenshtein("name", "module").alias("d"), "module")).alias("s"))
     return names.join(near, "name", "left").select("name", F.col("s.module").alias("suggestion"))
 
 

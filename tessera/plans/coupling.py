@@ -239,7 +239,7 @@ SYS = "(VALUES " + ", ".join(f"('{n}', '{r}')" for n, r in SYSTEMS) + ") s(syste
 def external_seams(f):
     lib = f.part.select(F.col("p_partkey").alias("part"), F.concat("p_brand", F.lit("/"), "p_type").alias("library"))
     s = f.spark.createDataFrame(SYSTEMS, "system string, regex string")
-    first = lib.select("library").distinct().join(F.broadcast(s), F.expr("library RLIKE regex")).groupBy("library").agg(F.min("system").alias("system"))
+    first = lib.select("library").distinct().join(s, F.expr("library RLIKE regex")).groupBy("library").agg(F.min("system").alias("system"))
     return f.uses.select("from_module", "part").join(lib, "part").join(first, "library").groupBy("from_module", "system").agg(F.count("*").alias("edges"))
 
 

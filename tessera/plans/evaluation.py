@@ -39,7 +39,7 @@ def freeze_requests(f):
 def asof_cutoff(f):
     cutoffs = f.spark.createDataFrame([("2024-01-08",), ("2024-01-15",), ("2024-01-25",)], "cutoff string").select(F.to_date("cutoff").alias("cutoff"))
     e = f.events.select("user_id", "event_id", "ts")
-    return e.join(F.broadcast(cutoffs), F.col("ts").cast("date") <= F.col("cutoff")).groupBy("user_id", "cutoff").agg(F.max_by("event_id", "ts").alias("event_id"))
+    return e.join(cutoffs, F.col("ts").cast("date") <= F.col("cutoff")).groupBy("user_id", "cutoff").agg(F.max_by("event_id", "ts").alias("event_id"))
 
 
 @query("copy_events", "WITH l AS (SELECT * FROM {:literals} x) SELECT a.value, a.file, min(b.module) AS other_module, count(DISTINCT b.module)::BIGINT AS holders FROM l a JOIN l b ON a.value = b.value AND a.module <> b.module WHERE a.doc_id % 2 = 1 AND b.doc_id % 2 = 0 GROUP BY ALL")
@@ -164,7 +164,7 @@ def stratified_sample(f):
     d = f.documents.select("doc_id", "lang", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))).alias("h"))
     size = d.groupBy("lang").agg(F.count("*").alias("stratum"))
     top = d.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where("r <= 20")
-    return top.join(F.broadcast(size), "lang").select("doc_id", "lang", "stratum", F.round(F.col("stratum") / F.least("stratum", F.lit(20)), 6).alias("weight"))
+    return top.join(size, "lang").select("doc_id", "lang", "stratum", F.round(F.col("stratum") / F.least("stratum", F.lit(20)), 6).alias("weight"))
 
 
 WILSON = "(p + z * z / (2 * n) {} z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)"

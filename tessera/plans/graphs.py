@@ -30,7 +30,7 @@ def rule_cycle(f):
 SELECT count(*)::BIGINT AS cycles, CASE WHEN count(*) = 0 THEN 'strong' WHEN bool_and(one) THEN 'poor' ELSE 'critical' END AS band FROM m""")
 def cycle_metric(f):
     lang = f.modules.select(F.col("module").alias("node"), (F.col("num") % 2).alias("lang"))
-    by = G.strong_components(f.pairs).join(F.broadcast(lang), "node").groupBy("component").agg((F.count_distinct("lang") == 1).alias("one"))
+    by = G.strong_components(f.pairs).join(lang, "node").groupBy("component").agg((F.count_distinct("lang") == 1).alias("one"))
     return by.agg(F.count("*").alias("cycles"), F.when(F.count("*") == 0, "strong").when(F.bool_and("one"), "poor").otherwise("critical").alias("band"))
 
 
@@ -53,7 +53,7 @@ SELECT module AS node, volatility, CASE WHEN module IN (SELECT node FROM h) THEN
 def volatility_cascade(f):
     m = f.modules
     num = m.select("module", "num")
-    s = f.pairs.join(F.broadcast(num.withColumnsRenamed({"module": "a", "num": "x"})), "a").join(F.broadcast(num.withColumnsRenamed({"module": "b", "num": "y"})), "b").where("(x + y) % 3 = 0")
+    s = f.pairs.join(num.withColumnsRenamed({"module": "a", "num": "x"}), "a").join(num.withColumnsRenamed({"module": "b", "num": "y"}), "b").where("(x + y) % 3 = 0")
     return G.cascade(m.select(F.col("module").alias("node"), "volatility"), s.select("a", "b"))
 
 
@@ -110,7 +110,7 @@ SELECT DISTINCT to_module || '/' || split_part(target, '/', 3) AS module, m.owne
 def augment_modules(f):
     m = f.modules.select("module", "owner", "volatility")
     inner = f.uses.select(F.col("to_module").alias("module"), F.split_part("target", F.lit("/"), F.lit(3)).alias("part")).distinct()
-    made = inner.join(F.broadcast(m), "module").select(F.concat_ws("/", "module", "part").alias("module"), "owner", "volatility", F.lit("synthetic").alias("origin"))
+    made = inner.join(m, "module").select(F.concat_ws("/", "module", "part").alias("module"), "owner", "volatility", F.lit("synthetic").alias("origin"))
     return m.withColumn("origin", F.lit("declared")).unionByName(made)
 
 

@@ -62,22 +62,9 @@ def effort_score(f):
     return classified(f).where("balance IS NOT NULL").groupBy(F.col("from_module").alias("module")).agg(F.round(F.sum(F.col("balance") * F.col("qty")) / F.sum("qty"), 6).alias("weighted"), F.sum("qty").cast("long").alias("weight")).where("weight > 0")
 
 
-REQUIRED = [("structure", "modules"), ("structure", "cycles"), ("coupling", "edges"), ("coupling", "owners"), ("testability", "coverage"), ("change_locality", "history")]
-REQ = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in REQUIRED) + ") q(dimension, fact)"
 SEEN = """(SELECT 'modules' AS fact, count(*) AS n FROM {:modules} m UNION ALL SELECT 'edges', count(*) FROM {:edges} e UNION ALL SELECT 'owners', count(DISTINCT owner) FROM {:modules} m UNION ALL SELECT 'coverage', count(*) FROM part)"""
 
 
-@query("promotion", f"""SELECT dimension, count(*)::BIGINT AS required, count(n)::BIGINT AS observed, CASE WHEN count(n) = count(*) THEN 'measured' WHEN count(n) > 0 THEN 'partial' ELSE 'unmeasured' END AS status, CASE WHEN count(n) = count(*) THEN 'high' WHEN count(n) > 0 THEN 'medium' ELSE 'unrated' END AS confidence FROM {REQ} LEFT JOIN {SEEN} s ON s.fact = q.fact AND s.n > 0 GROUP BY dimension""")
-def promotion(f):
-    def fact(name, df, n):
-        return df.agg(n.alias("n")).select(F.lit(name).alias("fact"), "n")
-
-    seen = fact("modules", f.modules, F.count("*")).unionAll(fact("edges", f.edges, F.count("*"))).unionAll(fact("owners", f.modules, F.count_distinct("owner"))).unionAll(fact("coverage", f.part, F.count("*")))
-    need = f.spark.createDataFrame(REQUIRED, "dimension string, fact string").join(F.broadcast(seen.where("n > 0")), "fact", "left")
-    all_, some = F.count("n") == F.count("*"), F.count("n") > 0
-    return need.groupBy("dimension").agg(F.count("*").alias("required"), F.count("n").alias("observed"), F.when(all_, "measured").when(some, "partial").otherwise("unmeasured").alias("status"), F.when(all_, "high").when(some, "medium").otherwise("unrated").alias("confidence"))
-
-
 @query("dimensions", f"""{W} SELECT 'structure' AS dimension, 'modules' AS name, count(*)::DOUBLE AS value FROM {{:modules}} m UNION ALL SELECT 'coupling', 'mean_balance', round(avg(balance), 6) FROM c WHERE boundary UNION ALL SELECT 'coupling', 'scored', count(balance)::DOUBLE FROM c WHERE boundary
 UNION ALL SELECT 'testability', 'files', count(*)::DOUBLE FROM part UNION ALL SELECT 'operations', 'deploy_units', count(DISTINCT deploy_unit)::DOUBLE FROM {{:modules}} m UNION ALL SELECT 'modularity', 'layers', count(DISTINCT layer)::DOUBLE FROM {{:modules}} m UNION ALL SELECT 'change_locality', 'collected', NULL""")
 def dimensions(f):

@@ -78,11 +78,11 @@ def dir_end(f):
     return U.dir_ends(owned(f))
 
 
-@query("longest_prefix", """WITH t AS (SELECT DISTINCT target AS path FROM {:uses} u), p AS (SELECT DISTINCT CASE WHEN line % 2 = 0 THEN regexp_replace(target, '/[^/]*$', '') ELSE regexp_replace(target, '/[^/]*/[^/]*$', '') END AS prefix FROM {:uses} u WHERE line % 11 = 0)
+@query("longest_prefix", """WITH t AS (SELECT DISTINCT target AS path FROM {:uses} u), p AS (SELECT DISTINCT CASE WHEN line % 2 = 0 THEN regexp_replace(target, '/[^/]*$', '') ELSE regexp_replace(target, '/[^/]*/[^/]*$', '') END AS prefix FROM {:uses} u)
 SELECT path, max_by(prefix, length(prefix)) AS prefix FROM t LEFT JOIN p ON path = prefix OR starts_with(path, prefix || '/') GROUP BY path""")
 def longest_prefix(f):
     u = f.uses
-    p = u.where("line % 11 = 0").select(F.when(F.col("line") % 2 == 0, directory(F.col("target"))).otherwise(F.regexp_replace("target", "/[^/]*/[^/]*$", "")).alias("prefix")).distinct()
+    p = u.select(F.when(F.col("line") % 2 == 0, directory(F.col("target"))).otherwise(F.regexp_replace("target", "/[^/]*/[^/]*$", "")).alias("prefix")).distinct()
     return U.longest_prefix(u.select(F.col("target").alias("path")).distinct(), p)
 
 
@@ -190,7 +190,7 @@ def public_use(f):
 
 @query("package_set_use", f"SELECT DISTINCT library, root FROM ({LIBS}) l JOIN {ALLOWED} ON library = root OR starts_with(library, root || '/')")
 def package_set_use(f):
-    return libraries(f).select("library").distinct().join(F.broadcast(allowed(f)), F.expr("library = root OR startswith(library, concat(root, '/'))")).select("library", "root")
+    return libraries(f).select("library").distinct().join(allowed(f), F.expr("library = root OR startswith(library, concat(root, '/'))")).select("library", "root")
 
 
 @query("language_of", "SELECT DISTINCT url, CASE regexp_extract(url, '\\.([a-z0-9]+)(?:[?#].*)?$', 1) WHEN 'go' THEN 'go' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'rs' THEN 'rust' WHEN 'cs' THEN 'dotnet' ELSE 'unknown' END AS language FROM (SELECT url FROM pages UNION ALL SELECT target FROM {:uses} u) x")
@@ -255,7 +255,7 @@ SELECT = "(VALUES " + ", ".join(f"('{s}', '{glob_regex(s)}')" for s in SELECTORS
 def module_select(f):
     s = f.spark.createDataFrame([(x, glob_regex(x)) for x in SELECTORS], "selector string, regex string")
     on = F.expr("CASE WHEN startswith(selector, 'layer:') THEN layer = substring(selector, 7) WHEN startswith(selector, 'role:') THEN role = substring(selector, 6) ELSE module RLIKE regex END")
-    return f.modules.join(F.broadcast(s), on).select("selector", "module")
+    return f.modules.join(s, on).select("selector", "module")
 
 
 @query("allowed_balances", f"SELECT from_module, to_module, min(balance)::INT AS worst, count(*)::BIGINT AS uses FROM ({COUPLED}) JOIN {{:depends_on}} d ON d.module = from_module AND d.target = to_module GROUP BY ALL")

@@ -14,6 +14,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:  # tests and laptops
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
     path = f"{root.rstrip('/')}/rounds/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
