@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import code, coverage, imports
+from ..operators import request
+from ..sources import code, coverage, imports, units
 from .registry import Facts, query
 
 EXTENSIONS = ["info", "out", "json", "json", "xml"]
@@ -142,3 +143,35 @@ def script_imports(f):
     near = F.concat(F.lit('import { a, // from "b"\n b } from "../src/o'), to, F.lit('"'))
     files = _file(f, "ts", near, F.concat(F.lit("export * from '@app/o"), to, F.lit(".js?raw'")), _c('const p = `from "q"`, r = require("lib', None, '/x"); my.require("s")'))
     return imports.script_targets(imports.script_imports(files), files, aliases=[("@app/*", ["src/*"])])
+
+
+@query("deploy_units", """SELECT 'svc/d' || p_partkey AS dir, CASE WHEN p_size % 7 = 0 AND p_size % 2 = 0 THEN 'mod' || p_partkey WHEN p_size % 3 = 0 THEN p_brand WHEN p_size % 2 = 0 THEN 'd' || p_partkey ELSE p_name END AS unit,
+CASE WHEN p_size % 7 = 0 AND p_size % 2 = 0 THEN 'go_main' WHEN p_size % 3 = 0 THEN 'pyproject' WHEN p_size % 2 = 0 THEN 'dockerfile' ELSE 'k8s' END AS source FROM part WHERE p_size % 2 = 0 OR p_size % 3 = 0 OR p_size % 5 = 0""")
+def deploy_units(f):
+    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    d = F.concat(F.lit("svc/d"), key)
+    def shown(when, name, text):
+        return F.when(size % when == 0, F.struct(F.concat(d, F.lit(f"/{name}")).alias("file"), text.alias("text")))
+
+    project = F.concat(F.lit("[project]\nname = '"), "p_brand", F.lit("'\n[tool]\nname = 'x'\n"))
+    deploy = F.concat(F.lit("kind: Service\n---\nkind: Deployment\nmetadata:\n  name: "), "p_name", F.lit("\n"))
+    made = F.array(shown(7, "main.go", F.lit("// svc\npackage main\n")), shown(3, "pyproject.toml", project), shown(2, "Dockerfile", F.lit("FROM x\n")), shown(5, "a.yaml", deploy))
+    files = f.part.select(F.explode(F.filter(made, lambda x: x.isNotNull())).alias("x")).select("x.file", "x.text")
+    # a program counts at its module's root alone
+    owners = f.part.select(d.alias("dir"), F.concat(F.lit("mod"), key).alias("module"), (size % 2 == 0).alias("is_root"))
+    return units.units(files, owners)
+
+
+TODAY = "1995-06-15"
+
+
+@query("requests", f"""WITH e AS (SELECT l_orderkey AS o, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT o_orderkey AS "check", CASE WHEN o_orderkey % 9 = 0 THEN 'no verdict' WHEN n IS NULL THEN 'nothing to ask' WHEN o_orderkey % 4 = 0 OR (x > greatest(d, DATE '{TODAY}') AND x <= DATE '{TODAY}' + 365) THEN 'request' ELSE 'bad date' END AS outcome, CASE WHEN o_orderkey % 9 <> 0 AND (o_orderkey % 4 = 0 OR (x > greatest(d, DATE '{TODAY}') AND x <= DATE '{TODAY}' + 365)) THEN coalesce(n, 0) ELSE 0 END::INT AS asked
+FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + 200 AS x FROM orders) LEFT JOIN e ON o = o_orderkey""")
+def requests(f):
+    day = F.col("o_orderdate").cast("date")
+    checks = f.orders.select(F.col("o_orderkey").alias("check"), F.when(F.col("o_orderkey") % 9 == 0, "unknown").otherwise("fail").alias("status"), day.alias("date"), F.when(F.col("o_orderkey") % 4 != 0, F.date_add(day, 200)).alias("expires"))
+    next_ = F.when(F.col("l_returnflag") == "R", "command").otherwise("fix")
+    errors = f.lineitem.select(F.col("l_orderkey").alias("check"), next_.alias("next"), F.lit("graph").alias("rule"), F.col("l_suppkey").alias("from"), F.col("l_partkey").alias("to"), F.lit("f").alias("file"), F.col("l_linenumber").alias("line"))
+    out = request.requests(checks, errors, TODAY)
+    return out.select("check", "outcome", F.coalesce(F.size("errors"), F.lit(0)).alias("asked"))
