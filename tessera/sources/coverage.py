@@ -29,23 +29,42 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+#: What the content of a format starts with.
+STARTS = {"go": "^mode:", "lcov": "^(?:TN|SF):", "coverage_py": r"^\{", "llvm_cov": r"^\{", "cobertura": "^<"}
+_ROOT = r"^(?:<\?[^>]*>\s*|<!--[\s\S]*?-->\s*|<![^>]*>\s*)*<(?:\w+:)?coverage[\s/>]"
+
+
+def _ext(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+
+
+def _body(text: Column) -> Column:
+    return _trim(F.regexp_replace(text, r"^\x{FEFF}", ""))
+
+
+def possible(path: Column, text: Column, name: str) -> Column:
+    """Whether a report may have a format, by its extension or first characters: without it `detect` gives another."""
+    return _ext(path).isin([x for x, names in BY_EXTENSION.items() if name in names]) | _body(text).rlike(STARTS[name])
+
+
 def detect(path: Column, text: Column) -> Column:
     """The one format that extension and content allow; null where none or several are left."""
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
-    named = reduce(lambda c, k: c.when(ext == k, F.array(*map(F.lit, BY_EXTENSION[k]))), BY_EXTENSION, F.when(F.lit(False), F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
-    body = _trim(F.regexp_replace(text, r"^\x{FEFF}", ""))
+    none = F.array().cast("array<string>")
+    ext, body = _ext(path), _body(text)
+    named = reduce(lambda c, k: c.when(ext == k, F.array(*map(F.lit, BY_EXTENSION[k]))), BY_EXTENSION, F.when(F.lit(False), F.array(F.lit("")))).otherwise(none)
     py = F.coalesce(F.size(F.map_keys(F.from_json(body, PY)["files"])) > 0, F.lit(False))
     llvm = F.coalesce(F.size(F.from_json(body, LLVM)["data"]) > 0, F.lit(False))
     shown = (
-        F.when(body.rlike(r"^(?:<\?[^>]*>\s*|<!--[\s\S]*?-->\s*|<![^>]*>\s*)*<(?:\w+:)?coverage[\s/>]"), F.array(F.lit("cobertura")))
-        .when(body.startswith("mode:"), F.array(F.lit("go")))
-        .when(body.rlike("^(?:TN|SF):"), F.array(F.lit("lcov")))
-        .when(body.startswith("{"), F.filter(F.array(F.when(py, "coverage_py"), F.when(llvm, "llvm_cov")), lambda x: x.isNotNull()))
-        .otherwise(F.array().cast("array<string>"))
+        F.when(body.rlike(_ROOT), F.array(F.lit("cobertura"))).when(body.rlike(STARTS["go"]), F.array(F.lit("go"))).when(body.rlike(STARTS["lcov"]), F.array(F.lit("lcov")))
+        .when(body.rlike(STARTS["llvm_cov"]), F.filter(F.array(F.when(py, "coverage_py"), F.when(llvm, "llvm_cov")), lambda x: x.isNotNull())).otherwise(none)
     )
-    shown = F.coalesce(shown, F.array().cast("array<string>"))
-    left = F.when(F.size(named) == 0, shown).when(F.size(shown) == 0, named).otherwise(F.array_intersect(named, shown))
-    return F.when(F.size(left) == 1, left[0])
+
+    def one(x):
+        left = F.when(F.size(x["named"]) == 0, x["shown"]).when(F.size(x["shown"]) == 0, x["named"]).otherwise(F.array_intersect(x["named"], x["shown"]))
+        return F.transform(F.array(left), lambda y: F.when(F.size(y) == 1, y[0]))[0]
+
+    # bound once: an expression of its parts would parse the text for each
+    return F.transform(F.array(F.struct(named.alias("named"), F.coalesce(shown, none).alias("shown"))), one)[0]
 
 
 def _rows(reports: DataFrame) -> DataFrame:
@@ -131,9 +150,9 @@ PARSERS = {"go": _go, "lcov": _lcov, "coverage_py": _coverage_py, "llvm_cov": _l
 
 
 def _parsed(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    known = reports.select("report", "text", detect(F.col("path"), F.col("text")).alias("format"))
-    rows = reduce(DataFrame.unionByName, [parse(known.where(F.col("format") == name)) for name, parse in PARSERS.items()])
-    return known, rows
+    path, text = F.col("path"), F.col("text")
+    rows = [parse(reports.where(possible(path, text, name)).where(detect(path, text) == name).select("report", "text")) for name, parse in PARSERS.items()]
+    return reports.select("report", detect(path, text).alias("format")), reduce(DataFrame.unionByName, rows)
 
 
 def facts(reports: DataFrame) -> DataFrame:
