@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import audit as q13
 from . import embeddings as q7
+from . import exact as q11
 from . import html as q1
 from . import langid as q10
 from . import licenses as q3
@@ -70,8 +72,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q10.identify(docs, q10.fit(docs))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q11.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q13.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_embeddings": op7_embeddings, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_language": op10_language}
+    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_embeddings": op7_embeddings, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_language": op10_language, "op11_exact": op11_exact, "op13_audit": op13_audit}
 
 
 def _covered(k: int) -> str:
@@ -87,6 +97,27 @@ def _covered(k: int) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_exact": r"""
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents) WINDOW g AS (PARTITION BY t)""",
+        "op13_audit": rf"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+known AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+fails AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+    len(ws) < {q13.MIN_WORDS}, 100 * len(list_distinct(ws)) < {q13.MIN_DISTINCT} * len(ws), 100 * len(regexp_extract_all(t, '[A-Z]')) > {q13.MAX_CAPITALS} * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)] AS f FROM w LEFT JOIN known USING (doc_id)),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+turns AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter, ascii(substr(filter_order, step, 1)) - 64 AS own,
+  list_transform(string_split(filter_order[1:step - 1], ''), lambda x: ascii(x) - 64) AS before FROM steps),
+replayed AS (SELECT part, filter_order, step, letter, good, toxic, f[own] AS failing, f[own] AND list_sum(list_transform(f, lambda x: x::INT)) = 1 AS only_here,
+  step > 1 AND list_bool_or(list_transform(before, lambda k: coalesce(f[k], false))) AS gone FROM fails, turns),
+sums AS (SELECT part, filter_order, step, letter, count(*) FILTER (NOT failing AND NOT gone) AS kept, count(*) FILTER (failing AND NOT gone) AS removed,
+  count(*) FILTER (failing AND gone) AS redundant, count(*) FILTER (only_here) AS unique_fails, count(*) FILTER (failing AND NOT gone AND good) AS good_lost,
+  count(*) FILTER (failing AND NOT gone AND toxic) AS toxic_lost FROM replayed GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM sums""",
         "op7_embeddings": f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e,
