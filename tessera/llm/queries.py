@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import alignment as q12
 from . import audit as q13
 from . import embeddings as q7
 from . import exact as q11
@@ -76,12 +77,18 @@ def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q11.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return q12.cross_align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q13.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_embeddings": op7_embeddings, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_language": op10_language, "op11_exact": op11_exact, "op13_audit": op13_audit}
+    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_embeddings": op7_embeddings, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_language": op10_language, "op11_exact": op11_exact, "op12_alignment": op12_alignment, "op13_audit": op13_audit}
 
 
 def _covered(k: int) -> str:
