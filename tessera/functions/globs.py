@@ -60,5 +60,11 @@ def literal_prefix(glob: str) -> str:
     return re.split(r"[*?\[{\\]", glob, maxsplit=1)[0]
 
 
+def literal_root(glob: str) -> str:
+    """The longest path on whole segments that is, or holds, every path that matches; '' where there is none."""
+    start = literal_prefix(glob)
+    return start if start == glob else start.rpartition("/")[0]
+
+
 def specificity(glob: str) -> int:
     return len(literal_prefix(glob).encode())

@@ -23,7 +23,7 @@ def volatility(explicit: Column, subdomain: Column) -> Column:
 
 
 def score_table(spark) -> DataFrame:
-    """(strength, distance, vol, balance, severity) for all cells: a join with it keeps generated code short."""
+    """(strength, distance, vol, balance, severity) for all 252 cells: a join with it keeps generated code short."""
     rows = []
     for s, a in {**STRENGTH, "unknown": None}.items():
         for d, b in {**DISTANCE, "unknown": None}.items():
@@ -45,7 +45,7 @@ def classified(edges: DataFrame, modules: DataFrame) -> DataFrame:
     s = strength(F.col("public") & (F.col("qty") % 2 == 0), F.col("qty") == 45, F.when(F.col("qty") > 46, "intrusive").otherwise(F.col("hint")), F.when(F.col("qty") % 7 == 0, "model"))
     e = e.withColumn("strength", s).withColumn("distance", distance(F.col("from_module") == F.col("to_module"), known, F.col("from_deploy_unit") != F.col("to_deploy_unit"), F.col("from_owner") != F.col("to_owner")))
     v = F.when(F.col("strength").isin("functional", "symmetric"), worse_volatility(F.col("to_vol"), F.col("from_vol"))).otherwise(F.col("to_vol"))
-    e = e.withColumn("vol", v).join(score_table(edges.sparkSession), ["strength", "distance", "vol"], "left")
+    e = e.withColumn("vol", v).join(F.broadcast(score_table(edges.sparkSession)), ["strength", "distance", "vol"], "left")
     return e.withColumn("explicitness", F.when(F.col("strength").isin("contract", "model"), "explicit").otherwise("implicit"))
 
 

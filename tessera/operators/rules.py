@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import balance, worse_volatility
+from .uses import ancestors, named
 
 #: Shapes of literals (fixed values).
 TAG, TOKEN = r'^([\p{L}\p{N}_]+:"[^"]*"\s*)+$', r"^[\p{L}\p{N}_.:@-]+$"
@@ -46,15 +47,17 @@ def layers(uses: DataFrame, modules: DataFrame) -> DataFrame:
     return errors(both.where("p < q"), "layers")
 
 
-def deny(uses: DataFrame, denied: DataFrame) -> DataFrame:
-    """denied: (pos, id, from_regex, to_regex).  One error for each use and rule."""
-    hit = crossing(uses).join(denied, F.expr("from_module RLIKE from_regex AND to_module RLIKE to_regex"))
-    return errors(hit, F.col("id"))
+def deny(uses: DataFrame, denied: DataFrame, modules: DataFrame) -> DataFrame:
+    """denied: (pos, id, from_regex, to_regex).  One error for each use and rule; patterns are resolved once a module, uses join by name."""
+    by = named(modules, denied)
+    both = crossing(uses).join(by.select(F.col("module").alias("from_module"), "deny_from").where("size(deny_from) > 0"), "from_module").join(by.select(F.col("module").alias("to_module"), "deny_to").where("size(deny_to) > 0"), "to_module")
+    hit = both.withColumn("_hit", F.explode(F.array_intersect("deny_from", "deny_to")))
+    return errors(hit, F.col("_hit.id"))
 
 
 def only(uses: DataFrame, allowed: DataFrame) -> DataFrame:
-    """allowed: (id, root, in_regex): libraries under root are for some modules alone."""
-    hit = uses.join(allowed, F.expr("(library = root OR startswith(library, concat(root, '/'))) AND NOT from_module RLIKE in_regex"))
+    """allowed: (id, root, in_regex): libraries under root are for some modules alone.  Joined by the leading parts of a library."""
+    hit = uses.withColumn("root", F.explode(ancestors(F.col("library")))).join(allowed, "root").where("NOT from_module RLIKE in_regex")
     return hit.select(F.col("id").alias("rule"), F.col("from_module").alias("from"), F.col("root").alias("to"), "file", "line")
 
 

@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import directory
-from ..functions.globs import glob_regex, literal_prefix, specificity
+from ..functions.globs import glob_regex, literal_root, specificity
 
-PATHS = "module string, glob string, regex string, prefix string, spec int"
+PATHS = "module string, glob string, regex string, root string, spec int"
+#: Rows of a policy table that are sent to every task at most; a larger one is joined by its key.
+POLICY_ROWS = 10_000
+
+
+def policy_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of a policy as a table, broadcast where they are few enough."""
+    out = spark.createDataFrame(rows, schema)
+    return F.broadcast(out) if len(rows) <= POLICY_ROWS else out
 
 
 def paths_table(spark: SparkSession, globs: list[tuple[str, str]]) -> DataFrame:
-    """Compiled (module, glob) pairs of a policy; a policy is a small hand-written document."""
-    return spark.createDataFrame([(m, g, glob_regex(g), literal_prefix(g), specificity(g)) for m, g in globs], PATHS)
+    """Compiled (module, glob) pairs of a policy."""
+    return policy_table(spark, [(m, g, glob_regex(g), literal_root(g), specificity(g)) for m, g in globs], PATHS)
+
+
+def ancestors(path: Column) -> Column:
+    """'' and every leading part of a path on whole segments, itself included."""
+    parts = F.split(path, "/")
+    return F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/")))
 
 
 def glob_matches(files: DataFrame, paths: DataFrame) -> DataFrame:
-    """files x matching globs; the prefix prunes before the regex runs."""
-    return files.join(paths, F.expr("startswith(file, prefix) AND file RLIKE regex"))
+    """files x matching globs: joined by the directory that a glob names literally, the regex on what is left."""
+    return files.withColumn("root", F.explode(ancestors(F.col("file")))).join(paths, "root").where("file RLIKE regex").drop("root")
 
 
 def module_of(files: DataFrame, paths: DataFrame) -> DataFrame:
@@ -43,7 +57,7 @@ def dead_globs(files: DataFrame, paths: DataFrame) -> DataFrame:
 
 def longest_prefix(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(path, prefix): the longest prefix on whole segments, by equi-join on the ancestors of a path."""
-    up = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split(F.col("path"), "/"), 1, k), "/"))).alias("prefix"))
+    up = paths.select("path", F.explode(ancestors(F.col("path"))).alias("prefix")).where("prefix <> ''")
     hit = up.join(prefixes.select("prefix"), "prefix").groupBy("path").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
     return paths.join(hit, "path", "left")
 
@@ -64,3 +78,14 @@ def public_use(uses: DataFrame, public: DataFrame) -> DataFrame:
     hit = target.join(p, on, "left_semi").withColumn("hit", F.lit(True))
     known = target.join(declared, "to_module", "left").join(hit, ["target", "to_module"], "left")
     return uses.join(known.select("target", "to_module", (F.col("declared").isNull() | F.col("hit").isNotNull()).alias("is_public")), ["target", "to_module"])
+
+
+def named(modules: DataFrame, denied: DataFrame) -> DataFrame:
+    """(module, deny_from, deny_to): the deny rules, as (pos, id), whose patterns name each module.  The rules travel as one row."""
+    every = denied.agg(F.collect_list(F.struct("pos", "id", "from_regex", "to_regex")).alias("rules"))
+
+    def of(side: str) -> Column:
+        hit = F.filter("rules", lambda r: F.rlike(F.col("module"), r[side]))
+        return F.transform(hit, lambda r: F.struct(r["pos"].alias("pos"), r["id"].alias("id")))
+
+    return modules.select("module").distinct().crossJoin(F.broadcast(every)).select("module", of("from_regex").alias("deny_from"), of("to_regex").alias("deny_to"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import change as C
 from ..operators import rules as R
+from ..operators.uses import named, policy_table
 from .registry import Facts, query
 from .rules import COUPLED, COUPLING, DENYS, DUPLICATION, GRAPH, LAYERS, _errors, denied
 
@@ -15,12 +16,12 @@ EXC = "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"DATE '{x
 
 
 def exceptions(f: Facts):
-    return f.spark.createDataFrame(EXCEPTIONS, "rule string, `from` string, `to` string, expires string, from_regex string").withColumn("expires", F.to_date("expires"))
+    return policy_table(f.spark, EXCEPTIONS, "rule string, `from` string, `to` string, expires string, from_regex string").withColumn("expires", F.to_date("expires"))
 
 
 def side(f: Facts, name: str):
     u = getattr(f, name)
-    return R.graph(u, f.depends_on).unionByName(R.coupling(u, f.modules)).unionByName(R.layers(u, f.modules)).unionByName(R.deny(u, denied(f)))
+    return R.graph(u, f.depends_on).unionByName(R.coupling(u, f.modules)).unionByName(R.layers(u, f.modules)).unionByName(R.deny(u, denied(f), f.modules))
 
 
 def _side(name: str) -> str:
@@ -153,9 +154,10 @@ def import_refusals(f):
 @query("rules_for_paths", """SELECT DISTINCT file, d.id AS rule FROM {:uses} u JOIN (VALUES ('no-teens', '^NATION_1[0-9]$'), ('no-seven', '^NATION_7$')) d(id, r) ON regexp_matches(from_module, r) UNION SELECT DISTINCT file, 'graph' FROM {:uses} u WHERE from_module NOT IN (SELECT module FROM {:depends_on} d)""")
 def rules_for_paths(f):
     u = f.uses.select("file", "from_module").distinct()
-    named = u.join(denied(f), F.expr("from_module RLIKE from_regex")).select("file", F.col("id").alias("rule"))
+    by = named(f.modules, denied(f)).select(F.col("module").alias("from_module"), F.explode("deny_from.id").alias("rule"))
+    found = u.join(by, "from_module").select("file", "rule")
     free = u.join(f.depends_on.select(F.col("module").alias("from_module")).distinct(), "from_module", "left_anti").select("file", F.lit("graph").alias("rule"))
-    return named.union(free).distinct()
+    return found.union(free).distinct()
 
 
 @query("policy_diff", """WITH b AS (SELECT module, target FROM {:depends_on} d WHERE module NOT LIKE '%1'), h AS (SELECT module, target FROM {:depends_on} d WHERE target NOT LIKE '%2')

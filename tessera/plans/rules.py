@@ -113,11 +113,11 @@ def libraries(f: Facts):
 
 
 def denied(f: Facts):
-    return f.spark.createDataFrame(DENY, "pos int, id string, from_regex string, to_regex string")
+    return U.policy_table(f.spark, DENY, "pos int, id string, from_regex string, to_regex string")
 
 
 def allowed(f: Facts):
-    return f.spark.createDataFrame(ONLY, "id string, root string, in_regex string")
+    return U.policy_table(f.spark, ONLY, "id string, root string, in_regex string")
 
 
 BY_KEY = 'SELECT rule, "from", "to", count(*)::BIGINT AS sites, min(struct_pack(f := file, l := line)).f AS first_file, min(struct_pack(f := file, l := line)).l AS first_line FROM (SELECT DISTINCT rule, "from", "to", file, line FROM ({})) GROUP BY ALL'
@@ -145,7 +145,7 @@ def rule_layers(f):
 
 @query("rule_deny", _errors(DENYS))
 def rule_deny(f):
-    return R.deny(f.uses, denied(f))
+    return R.deny(f.uses, denied(f), f.modules)
 
 
 @query("rule_only", _errors(ONLYS))
@@ -167,7 +167,7 @@ ALL = f"{_errors(GRAPH)} UNION ALL {_errors(COUPLING)} UNION ALL {_errors(LAYERS
 
 
 def judge(f: Facts, uses, libs):
-    found = [R.graph(uses, f.depends_on), R.coupling(uses, f.modules), R.layers(uses, f.modules), R.deny(uses, denied(f)), R.only(libs, allowed(f)), R.unowned(owned(f)), R.duplication(f.literals).drop("value")]
+    found = [R.graph(uses, f.depends_on), R.coupling(uses, f.modules), R.layers(uses, f.modules), R.deny(uses, denied(f), f.modules), R.only(libs, allowed(f)), R.unowned(owned(f)), R.duplication(f.literals).drop("value")]
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -190,7 +190,7 @@ def public_use(f):
 
 @query("package_set_use", f"SELECT DISTINCT library, root FROM ({LIBS}) l JOIN {ALLOWED} ON library = root OR starts_with(library, root || '/')")
 def package_set_use(f):
-    return libraries(f).select("library").distinct().join(allowed(f), F.expr("library = root OR startswith(library, concat(root, '/'))")).select("library", "root")
+    return libraries(f).select("library", F.explode(U.ancestors(F.col("library"))).alias("root")).distinct().join(allowed(f), "root").select("library", "root")
 
 
 @query("language_of", "SELECT DISTINCT url, CASE regexp_extract(url, '\\.([a-z0-9]+)(?:[?#].*)?$', 1) WHEN 'go' THEN 'go' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'rs' THEN 'rust' WHEN 'cs' THEN 'dotnet' ELSE 'unknown' END AS language FROM (SELECT url FROM pages UNION ALL SELECT target FROM {:uses} u) x")

@@ -31,6 +31,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query(spark, duck, name):
     out = catalogue.queries()[name](spark, DATA)
+    assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
     rows = out.collect()
     sql = catalogue.oracle_sql().get(name)
     if sql is None:
