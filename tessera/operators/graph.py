@@ -28,26 +28,33 @@ def reach(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     return known
 
 
-def _shrink(e: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
+def _shrink(e: DataFrame, salt: int) -> tuple[DataFrame, DataFrame | None]:
     """One round: sources and sinks go; of nodes with one edge in and one out, those drawn before their neighbours give way to an edge past them.
 
-    Returns the edges left and (v, pred, succ) of the nodes taken out.
+    Returns the edges left, e itself where nothing goes, and (v, pred, succ) of the nodes taken out, if any.
     """
     out = e.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("n_out"), F.min("b").alias("succ"))
     into = e.groupBy(F.col("b").alias("v")).agg(F.count("*").alias("n_in"), F.min("a").alias("pred"))
-    both = cut(out.join(into, "v").withColumn("chain", (F.col("n_out") == 1) & (F.col("n_in") == 1)), "degrees")
-    draw = both.where("chain").select("v", F.xxhash64("v", F.lit(salt)).alias("draw"))
-    near = both.where("chain").select("v", "pred", "succ").join(draw, "v")
-    for side in ("pred", "succ"):
-        near = near.join(draw.select(F.col("v").alias(side), F.struct("draw", F.col("v").alias("w")).alias(f"{side}_draw")), side, "left")
-    own = F.struct("draw", F.col("v").alias("w"))
-    first = (F.col("pred_draw").isNull() | (own > F.col("pred_draw"))) & (F.col("succ_draw").isNull() | (own > F.col("succ_draw")))
-    taken = cut(near.where(first).select("v", "pred", "succ"), "taken")
-    gone = taken.select("v")
-    kept = e.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti")
-    past = taken.where("pred <> succ").select(F.col("pred").alias("a"), F.col("succ").alias("b"))
-    live = both.select("v")
-    left = kept.select("a", "b").unionByName(past).distinct().join(live.withColumnRenamed("v", "a"), "a", "left_semi").join(live.withColumnRenamed("v", "b"), "b", "left_semi")
+    all_ = cut(out.join(into, "v", "full").withColumn("chain", F.coalesce((F.col("n_out") == 1) & (F.col("n_in") == 1), F.lit(False))), "degrees")
+    seen = all_.agg(F.count_if(F.col("n_out").isNull() | F.col("n_in").isNull()).alias("ends"), F.count_if("chain").alias("chain")).first()
+    if not seen.ends and not seen.chain:
+        return e, None
+    both = all_.where("n_out IS NOT NULL AND n_in IS NOT NULL")
+    taken, left = None, e
+    if seen.chain:
+        draw = both.where("chain").select("v", F.xxhash64("v", F.lit(salt)).alias("draw"))
+        near = both.where("chain").select("v", "pred", "succ").join(draw, "v")
+        for side in ("pred", "succ"):
+            near = near.join(draw.select(F.col("v").alias(side), F.struct("draw", F.col("v").alias("w")).alias(f"{side}_draw")), side, "left")
+        own = F.struct("draw", F.col("v").alias("w"))
+        first = (F.col("pred_draw").isNull() | (own > F.col("pred_draw"))) & (F.col("succ_draw").isNull() | (own > F.col("succ_draw")))
+        taken = cut(near.where(first).select("v", "pred", "succ"), "taken")
+        gone = taken.select("v")
+        kept = e.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti")
+        left = kept.select("a", "b").unionByName(taken.where("pred <> succ").select(F.col("pred").alias("a"), F.col("succ").alias("b"))).distinct()
+    if seen.ends:
+        live = both.select("v")
+        left = left.join(live.withColumnRenamed("v", "a"), "a", "left_semi").join(live.withColumnRenamed("v", "b"), "b", "left_semi")
     return cut(left.select("a", "b"), "edges"), taken
 
 
@@ -58,9 +65,9 @@ def _colours(e: DataFrame) -> DataFrame:
         over = e.join(c.select(F.col("node").alias("a"), "colour"), "a").groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("over"))
         step = c.join(over, "node", "left").select("node", F.col("colour").alias("was"), F.least("colour", F.coalesce("over", "colour")).alias("colour"))
         jump = c.select(F.col("node").alias("colour"), F.col("colour").alias("far"))
-        c2 = cut(step.join(jump, "colour").select("node", "was", F.least("colour", "far").alias("colour")), "colours")
-        c = c2.select("node", "colour")
-        if c2.where("was <> colour").isEmpty():
+        both = cut(step.join(jump, "colour").select("node", "was", F.least("colour", "far").alias("colour")), "colours")
+        c = both.select("node", "colour")
+        if both.where("was <> colour").isEmpty():
             return c
 
 
@@ -97,9 +104,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
     n, salt = e.count(), 0
     while n:
         salt += 1
-        e, out = _shrink(e, salt)
-        taken.append(out)
-        was, n = n, e.count()
+        left, out = _shrink(e, salt)
+        if out is not None:
+            taken.append(out)
+        was, n = n, n if left is e else left.count()
+        e = left
         if n and n > 0.8 * was:
             part, e = _rooted(e, _colours(e))
             parts.append(part)

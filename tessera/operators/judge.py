@@ -75,21 +75,27 @@ def _hits(modes: dict[str, str], min_balance: int) -> Column:
     return F.concat(F.array_compact(F.array(*one)) if one else none, F.coalesce(deny, none), F.coalesce(only, none), file)
 
 
-def pass_over(uses: DataFrame, policy: DataFrame, modes: dict[str, str], min_balance: int) -> DataFrame:
-    """(rule, from, to, symbol, own, base_sites, head_sites, added_sites) of every error key and candidate; written.
+def sites(uses: DataFrame, policy: DataFrame, modes: dict[str, str] | None = None, min_balance: int = MIN_BALANCE) -> DataFrame:
+    """Distinct sites (rule, own, from, to, file, line and the mask) of every error key and candidate, by one scan of uses.
 
     uses: file, line, from_module, to_module, public, library and the mask; files
     of tests and generated files are left out by the caller.
     """
+    modes = MODES | (modes or {})
     side = {s: policy.select(*(F.col(c).alias(f"{s}_{c}") for c in policy.columns)) for s in ("from", "to")}
     both = uses.join(side["from"], "from_module", "left").join(side["to"], "to_module", "left")
     hit = both.select("file", "line", "from_module", *MASK, F.explode(_hits(modes, min_balance)).alias("h"))
     source = F.when(F.col("h.rule") == FILE, F.col("file")).otherwise(F.col("from_module"))
     line = F.when(F.col("h.rule") == FILE, 0).otherwise(F.col("line"))
     rows = hit.select(F.col("h.rule").alias("rule"), source.alias("from"), F.col("h.to").alias("to"), F.col("h.own").alias("own"), "file", line.alias("line"), *MASK)
-    sites = rows.groupBy("rule", "own", "from", "to", "file", "line").agg(*(F.max(c).alias(c) for c in MASK))
+    return rows.groupBy("rule", "own", "from", "to", "file", "line").agg(*(F.max(c).alias(c) for c in MASK))
+
+
+def pass_over(uses: DataFrame, policy: DataFrame, modes: dict[str, str], min_balance: int) -> DataFrame:
+    """(rule, from, to, symbol, own, base_sites, head_sites, added_sites) of every error key and candidate; written."""
     counts = [F.count_if(c).alias(n) for c, n in zip(("base", "head", F.col("head") & F.col("added")), COUNTS)]
-    return cut(sites.groupBy("rule", "own", "from", "to").agg(*counts).withColumn("symbol", F.lit("")), "error-keys")
+    found = sites(uses, policy, modes, min_balance)
+    return cut(found.groupBy("rule", "own", "from", "to").agg(*counts).withColumn("symbol", F.lit("")), "error-keys")
 
 
 def _cycles(keys: DataFrame) -> DataFrame:
@@ -109,9 +115,9 @@ def _cycles(keys: DataFrame) -> DataFrame:
 def copies(literals: DataFrame, least: int = 12) -> DataFrame:
     """Keys of literals that exactly two modules hold in production files of a tree; literals: value, module, file, class and the mask."""
     own = literals.where((F.length("value") >= least) & (R.shape(F.col("value")) == "other") & F.col("module").isNotNull() & (F.col("class") == "production"))
-    sites = own.groupBy("value", "module", "file").agg(*(F.max(c).alias(c) for c in MASK))
+    places = own.groupBy("value", "module", "file").agg(*(F.max(c).alias(c) for c in MASK))
     held = [F.array_sort(F.collect_set(F.when(F.col(c), F.col("module")))).alias(f"{c}_by") for c in ("base", "head")]
-    by = sites.groupBy("value").agg(*held, F.count_if("base").alias("b"), F.count_if("head").alias("h"), F.count_if(F.col("head") & F.col("added")).alias("a"))
+    by = places.groupBy("value").agg(*held, F.count_if("base").alias("b"), F.count_if("head").alias("h"), F.count_if(F.col("head") & F.col("added")).alias("a"))
 
     def tree(held: str, *counts: str) -> Column:
         n = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(name) if c else F.lit(0).cast("long").alias(name) for c, name in zip(counts, COUNTS)]
@@ -135,11 +141,12 @@ def error_keys(uses: DataFrame, literals: DataFrame, paths: DataFrame, policy: D
         out = out.unionByName(files.join(homeless, "from", "left_semi").withColumn("rule", F.lit("unowned")))
     if modes["duplication"] != "off":
         out = out.unionByName(copies(literals))
-    return cut(out.select(*KEY, "own", *COUNTS), "errors")
+    out = out.select(*KEY, "own", *COUNTS)
+    return out if all(modes[r] == "off" for r in ("cycle", "unowned", "duplication")) else cut(out, "errors")
 
 
 def matches(keys: DataFrame, exceptions: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(pos, keys) for each exception and key that it names: a path glob of unowned files, a pair of duplication in either order, the from of an only rule, else both ends.
+    """(pos, keys) for each exception and key that it names: a path glob of unowned files, a pair of duplication in either order, the from of an only rule or of one that names no target, else both ends.
 
     exceptions: pos, rule, from, to, expires, from_regex.
     """
@@ -147,7 +154,7 @@ def matches(keys: DataFrame, exceptions: DataFrame, allowed: DataFrame) -> DataF
     x = exceptions.join(only, "rule", "left").select(F.col("rule").alias("x_rule"), "pos", F.col("from").alias("x_from"), F.col("to").alias("x_to"), "from_regex", "library")
     both = keys.join(x, keys["rule"] == x["x_rule"])
     named = F.expr("""CASE WHEN rule = 'unowned' THEN `from` RLIKE from_regex WHEN rule = 'duplication' THEN least(x_from, x_to) = `from` AND greatest(x_from, x_to) = `to`
-      WHEN library THEN x_from = `from` ELSE x_from = `from` AND x_to = `to` END""")
+      WHEN library OR x_to IS NULL THEN x_from = `from` ELSE x_from = `from` AND x_to = `to` END""")
     return both.where(named).select("pos", *KEY)
 
 

@@ -57,16 +57,6 @@ def expired_exceptions(f):
     return C.expired_errors(side(f, "head").select(*C.KEY).distinct(), exceptions(f), TODAY)
 
 
-@query("change_verdict", ADDED + f""", v AS (SELECT (SELECT count(*) FROM change e WHERE NOT {HOLDS}) AS errors, (SELECT count(*) FROM ({EXPIRED})) AS expired, (SELECT count(*) FROM {{:head}} q WHERE qty > 43) AS unknown)
-SELECT errors::BIGINT AS errors, expired::BIGINT AS expired, unknown::BIGINT AS unknown, CASE WHEN errors + expired > 0 THEN 'fail' WHEN unknown > 0 THEN 'unknown' ELSE 'pass' END AS status FROM v""")
-def change_verdict(f):
-    n = C.covered(change(f), exceptions(f), TODAY).agg(F.count_if(~F.col("covered")).alias("errors"))
-    x = C.expired_errors(side(f, "head").select(*C.KEY).distinct(), exceptions(f), TODAY).agg(F.count("*").alias("expired"))
-    u = f.head.agg(F.count_if(F.col("qty") > 43).alias("unknown"))
-    row = n.select(F.lit(1).alias("k"), "errors").join(x.select(F.lit(1).alias("k"), "expired"), "k").join(u.select(F.lit(1).alias("k"), "unknown"), "k").drop("k")
-    return row.withColumn("status", F.when(F.col("errors") + F.col("expired") > 0, "fail").when(F.col("unknown") > 0, "unknown").otherwise("pass"))
-
-
 LEFT = f"CAST(expires - DATE '{TODAY}' AS INT)"
 
 
