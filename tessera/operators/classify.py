@@ -75,16 +75,22 @@ LOWER_DISTANCE = {"external": "different_deploy_unit", "different_deploy_unit":
 LOWER_VOLATILITY = {"high": "medium", "medium": "low", "undeclared": "low", "unknown": "low"}
 
 
+def _at(col: Column, table: dict, default=None) -> Column:
+    """Value of a fixed table by key, as a literal map: scores nest these lookups, and chains of conditions would outgrow generated code."""
+    found = F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), col)
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
 def additive(s: Column, d: Column, v: Column) -> Column:
     """Strength plus distance less the discount of a stable target, 0 to 10; nothing inside a module."""
-    raw = pick(s, RISK_STRENGTH, 0) + pick(d, RISK_DISTANCE, 0) - pick(v, DISCOUNT, 0)
+    raw = _at(s, RISK_STRENGTH, 0) + _at(d, RISK_DISTANCE, 0) - _at(v, DISCOUNT, 0)
     return F.when(d == "same_module", 0).otherwise(F.least(F.greatest(raw, F.lit(0)), F.lit(10)))
 
 
 def multiplicative(s: Column, d: Column, v: Column) -> Column:
     """Ten times the agreement of strength and distance, weighed by volatility; intrusive use scores 3 at least."""
-    gap = F.abs(pick(s, RISK_STRENGTH, 0) / F.lit(8.0) - F.least(pick(d, RISK_DISTANCE, 0) / F.lit(5.0), F.lit(1.0)))
-    raw = F.round(10 * ((1 - gap) * pick(v, WEIGHT, 0.0))).cast("int")
+    gap = F.abs(_at(s, RISK_STRENGTH, 0) / F.lit(8.0) - F.least(_at(d, RISK_DISTANCE, 0) / F.lit(5.0), F.lit(1.0)))
+    raw = F.round(10 * ((1 - gap) * _at(v, WEIGHT, 0.0))).cast("int")
     return F.when(d == "same_module", 0).when(s == "intrusive", F.greatest(raw, F.lit(3))).otherwise(raw)
 
 
@@ -100,7 +106,7 @@ def cheapest_move(score, s: Column, d: Column, v: Column) -> Column:
     def drop(value, lower, *changed):
         return F.when(value.isin(*lower), now - risk_rank(score(*changed))).otherwise(0)
 
-    a, b, c = drop(s, LOWER_STRENGTH, pick(s, LOWER_STRENGTH), d, v), drop(d, LOWER_DISTANCE, s, pick(d, LOWER_DISTANCE), v), drop(v, LOWER_VOLATILITY, s, d, pick(v, LOWER_VOLATILITY))
+    a, b, c = drop(s, LOWER_STRENGTH, _at(s, LOWER_STRENGTH), d, v), drop(d, LOWER_DISTANCE, s, _at(d, LOWER_DISTANCE), v), drop(v, LOWER_VOLATILITY, s, d, _at(v, LOWER_VOLATILITY))
     best = F.greatest(a, b, c)
     return F.when(best <= 0, "").when(a == best, "reduce_strength").when(b == best, "reduce_distance").when(v == "undeclared", "declare_volatility").otherwise("lower_volatility")
 

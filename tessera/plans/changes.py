@@ -60,10 +60,18 @@ def expired_exceptions(f):
 LEFT = f"CAST(expires - DATE '{TODAY}' AS INT)"
 
 
-@query("exception_status", f"""SELECT rule, "from", "to", {LEFT} AS days_left, CASE WHEN expires IS NULL THEN 'no date' WHEN {LEFT} < 0 THEN 'expired' WHEN {LEFT} <= 14 THEN 'expiring' ELSE 'holding' END AS status,
-CASE WHEN expires IS NULL THEN 'no end' WHEN {LEFT} < 0 THEN abs({LEFT}) || ' days over' WHEN {LEFT} = 0 THEN 'last day' WHEN {LEFT} = 1 THEN '1 day left' ELSE {LEFT} || ' days left' END AS days_text FROM {EXC}""")
+@query("exception_status", f"""WITH h AS (SELECT DISTINCT rule, "from", "to" FROM ({_side('head')})), n AS (SELECT x.rule, x."from", x."to", count(*) AS broken FROM h e JOIN {EXC} ON {NAMED} GROUP BY ALL)
+SELECT x.rule, x."from", x."to", {LEFT} AS days_left, CASE WHEN expires IS NULL THEN 'no date' WHEN {LEFT} < 0 THEN 'expired' WHEN {LEFT} <= 14 THEN 'expiring' ELSE 'holding' END AS status,
+CASE WHEN expires IS NULL THEN 'no end' WHEN {LEFT} < 0 THEN abs({LEFT}) || ' days over' WHEN {LEFT} = 0 THEN 'last day' WHEN {LEFT} = 1 THEN '1 day left' ELSE {LEFT} || ' days left' END AS days_text, coalesce(broken, 0)::BIGINT AS broken
+FROM {EXC} LEFT JOIN n ON n.rule = x.rule AND n."from" = x."from" AND n."to" IS NOT DISTINCT FROM x."to" """)
 def exception_status(f):
-    return C.exception_status(exceptions(f), TODAY)
+    """Each exception with its days and the errors of head that it names."""
+    e = side(f, "head").select(*C.KEY).distinct()
+    x = exceptions(f)
+    broken = e.alias("e").join(x.alias("x"), C._named()).groupBy(F.col("x.rule").alias("r"), F.col("x.from").alias("a"), F.col("x.to").alias("b")).agg(F.count("*").alias("broken"))
+    s = C.exception_status(x, TODAY)
+    out = s.join(broken, (s["rule"] == broken["r"]) & (s["from"] == broken["a"]) & s["to"].eqNullSafe(broken["b"]), "left")
+    return out.drop("r", "a", "b").fillna(0, ["broken"])
 
 
 @query("duplication_added", f"""WITH d AS ({DUPLICATION}), k AS (SELECT rule, "from", "to", value, count(*) AS sites, count(*) FILTER (CAST(substr(file, 2) AS BIGINT) % 2 = 1) AS new, count(*) FILTER (CAST(substr(file, 2) AS BIGINT) % 2 = 0) AS old FROM d GROUP BY ALL)

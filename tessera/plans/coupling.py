@@ -62,17 +62,17 @@ def _values(xs: list[str], name: str) -> str:
     return "(VALUES " + ", ".join(f"('{x}')" for x in xs) + f") {name}({name})"
 
 
-CUBE = f"(SELECT strength, distance, vol, {ORD_S} AS s, CASE distance WHEN 'same_module' THEN 2 WHEN 'unknown' THEN NULL WHEN 'external' THEN 10 ELSE 9 END AS d, {ORD_V} AS v FROM {_values(CUBE_S, 'strength')}, {_values(CUBE_D, 'distance')}, {_values(CUBE_V, 'vol')})"
+CELL = "strength, distance, vol"
 
 
-def cube(f: Facts):
-    rows = [(s, d, v) for s in CUBE_S for d in CUBE_D for v in CUBE_V]
-    return C.ordinals(f.spark.createDataFrame(rows, "strength string, distance string, vol string"))
+def cells(f: Facts, *more):
+    """How many edges have each combination of strength, distance and volatility."""
+    return C.ordinals(classified(f).groupBy("strength", "distance", "vol", *more).agg(F.count("*").alias("edges")))
 
 
-@query("book_score", f"SELECT strength, distance, vol, CASE WHEN s IS NULL OR d IS NULL THEN NULL ELSE least(greatest(greatest(abs(s - d), 10 - v) + 1, 1), 10) END::INT AS balance FROM {CUBE}")
+@query("book_score", f"{W} SELECT {CELL}, balance, count(*)::BIGINT AS edges FROM c GROUP BY ALL")
 def book_score(f):
-    return cube(f).select("strength", "distance", "vol", C.balance(F.col("strength"), F.col("distance"), F.col("vol")).cast("int").alias("balance"))
+    return cells(f).select("strength", "distance", "vol", C.balance(F.col("strength"), F.col("distance"), F.col("vol")).cast("int").alias("balance"), "edges")
 
 
 def _ranks(name: str, table: dict, lower: dict, keys: list[str], default=0) -> str:
@@ -82,17 +82,20 @@ def _ranks(name: str, table: dict, lower: dict, keys: list[str], default=0) -> s
 
 
 def _scored(score: str, weights: dict) -> str:
-    """Score and cheapest move of each cell, by joining every cell with its neighbours one step lower."""
+    """Score and cheapest move of the cells that edges have, by joining every cell with its neighbours one step lower."""
     rs, rd, rv = _ranks("s", C.RISK_STRENGTH, C.LOWER_STRENGTH, CUBE_S), _ranks("d", C.RISK_DISTANCE, C.LOWER_DISTANCE, CUBE_D), _ranks("v", weights, C.LOWER_VOLATILITY, CUBE_V)
-    return f"""WITH k AS (SELECT s.k AS strength, d.k AS distance, v.k AS vol, s.low AS ls, d.low AS ld, v.low AS lv, CASE WHEN d.k = 'same_module' THEN 0 ELSE {score} END::INT AS score FROM {rs}, {rd}, {rv}),
+    return f"""{W}, k AS (SELECT s.k AS strength, d.k AS distance, v.k AS vol, s.low AS ls, d.low AS ld, v.low AS lv, CASE WHEN d.k = 'same_module' THEN 0 ELSE {score} END::INT AS score FROM {rs}, {rd}, {rv}),
 b AS (SELECT *, CASE WHEN score <= 2 THEN 0 WHEN score <= 4 THEN 1 WHEN score <= 6 THEN 2 WHEN score <= 8 THEN 3 ELSE 4 END AS band FROM k),
 m AS (SELECT x.*, greatest(0, x.band - coalesce(s.band, 9)) AS a, greatest(0, x.band - coalesce(d.band, 9)) AS b, greatest(0, x.band - coalesce(v.band, 9)) AS c FROM b x LEFT JOIN b s ON (s.strength, s.distance, s.vol) = (x.ls, x.distance, x.vol) LEFT JOIN b d ON (d.strength, d.distance, d.vol) = (x.strength, x.ld, x.vol) LEFT JOIN b v ON (v.strength, v.distance, v.vol) = (x.strength, x.distance, x.lv))
-SELECT strength, distance, vol, score, CASE WHEN a + b + c = 0 THEN '' WHEN a >= b AND a >= c THEN 'reduce_strength' WHEN b >= c THEN 'reduce_distance' WHEN vol = 'undeclared' THEN 'declare_volatility' ELSE 'lower_volatility' END AS move FROM m"""
+SELECT {CELL}, score, CASE WHEN a + b + m.c = 0 THEN '' WHEN a >= b AND a >= m.c THEN 'reduce_strength' WHEN b >= m.c THEN 'reduce_distance' WHEN vol = 'undeclared' THEN 'declare_volatility' ELSE 'lower_volatility' END AS move, edges FROM m JOIN (SELECT {CELL}, count(*)::BIGINT AS edges FROM c GROUP BY ALL) n USING ({CELL})"""
 
 
 def _scores(f: Facts, score):
+    """Scores of all cells are a table of fixed size, which the cells of edges look up."""
     k = (F.col("strength"), F.col("distance"), F.col("vol"))
-    return cube(f).select(*k, score(*k).cast("int").alias("score"), C.cheapest_move(score, *k).alias("move"))
+    cube = f.spark.createDataFrame([(s, d, v) for s in CUBE_S for d in CUBE_D for v in CUBE_V], "strength string, distance string, vol string")
+    table = cube.select(*k, score(*k).cast("int").alias("score"), C.cheapest_move(score, *k).alias("move"))
+    return cells(f).join(F.broadcast(table), ["strength", "distance", "vol"]).select(*k, "score", "move", "edges")
 
 
 @query("additive_score", _scored("least(10, greatest(0, s.n + d.n - v.n))", C.DISCOUNT))
@@ -105,26 +108,24 @@ def multiplicative_score(f):
     return _scores(f, C.multiplicative)
 
 
-BOOK = "CASE WHEN s IS NULL OR d IS NULL THEN NULL ELSE least(greatest(greatest(abs(s - d), 10 - v) + 1, 1), 10) END"
 HYPO = """CASE WHEN balance IS NULL THEN '' WHEN balance > 6 THEN CASE WHEN strength IN ('functional', 'symmetric', 'intrusive') THEN 'accept_low_volatility' ELSE 'balanced' END
   WHEN cohesive AND strength <> 'intrusive' THEN 'expected_by_role' WHEN vol IN ('undeclared', 'unknown') THEN 'declare_volatility' WHEN strength = 'intrusive' THEN 'introduce_contract' WHEN strength = 'symmetric' THEN 'move_functionality'
   WHEN strength IN ('functional', 'model') THEN CASE WHEN public THEN 'introduce_contract' ELSE 'move_functionality' END ELSE '' END"""
-FLAGS = "(VALUES (true, true), (true, false), (false, true), (false, false)) g(public, cohesive)"
 
 
-@query("hypothesis", f"SELECT strength, distance, vol, public, cohesive, {HYPO} AS hypothesis FROM (SELECT *, {BOOK} AS balance FROM {CUBE}, {FLAGS})")
+@query("hypothesis", f"{W} SELECT {CELL}, public, cohesive, {HYPO} AS hypothesis, count(*)::BIGINT AS edges FROM (SELECT *, to_role IN ('facade', 'shared_kernel') AS cohesive FROM c) GROUP BY ALL")
 def hypothesis(f):
-    flags = f.spark.createDataFrame([(a, b) for a in (True, False) for b in (True, False)], "public boolean, cohesive boolean")
-    k = cube(f).crossJoin(flags)  # four rows
+    k = cells(f, "public", F.col("to_role").isin("facade", "shared_kernel").alias("cohesive"))
     band = C.balance(F.col("strength"), F.col("distance"), F.col("vol"))
     move = C.hypothesis(F.col("strength"), F.col("vol"), severity(band), F.col("public"), F.col("cohesive"))
-    return k.select("strength", "distance", "vol", "public", "cohesive", move.alias("hypothesis"))
+    return k.select("strength", "distance", "vol", "public", "cohesive", move.alias("hypothesis"), "edges")
 
 
-@query("balance_driver", f"SELECT strength, distance, vol, CASE WHEN abs(s - d) > 10 - v THEN 'strength_distance' WHEN abs(s - d) < 10 - v THEN 'volatility' ELSE 'tie' END AS driver FROM {CUBE} WHERE s IS NOT NULL AND d IS NOT NULL")
+@query("balance_driver", f"{W} SELECT {CELL}, CASE WHEN abs(s - d) > 10 - v THEN 'strength_distance' WHEN abs(s - d) < 10 - v THEN 'volatility' ELSE 'tie' END AS driver, count(*)::BIGINT AS edges FROM c WHERE s IS NOT NULL AND d IS NOT NULL AND distance <> 'same_module' GROUP BY ALL")
 def balance_driver(f):
     gap = F.abs(F.col("s") - F.col("d"))
-    return cube(f).where("s IS NOT NULL AND d IS NOT NULL").select("strength", "distance", "vol", F.when(gap > 10 - F.col("v"), "strength_distance").when(gap < 10 - F.col("v"), "volatility").otherwise("tie").alias("driver"))
+    scored = cells(f).where("s IS NOT NULL AND d IS NOT NULL AND distance <> 'same_module'")
+    return scored.select("strength", "distance", "vol", F.when(gap > 10 - F.col("v"), "strength_distance").when(gap < 10 - F.col("v"), "volatility").otherwise("tie").alias("driver"), "edges")
 
 
 @query("contract_recommended", f"{W} SELECT {ID} FROM c WHERE strength <> 'contract' AND distance <> 'same_module' AND lower(to_subdomain) = 'generic'")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scope, state
 from ..operators.uses import paths_table
+from . import coupling
 from .registry import query
 
 NEED = "(VALUES " + ", ".join(f"('{d}', {k}, '{f}', {str(f in claim).lower()})" for d, (claim, rest) in state.FACTS.items() for k, f in enumerate(claim + rest)) + ") n(dimension, pos, fact, claim)"
@@ -38,9 +39,15 @@ def health_warnings(f):
     return state.health(x)
 
 
-@query("distance_ladder", "SELECT * FROM (VALUES " + ", ".join(f"('{d}', {r}::INT)" for d, r in state.LADDER) + ") l(distance, rung)")
+LADDER = "(VALUES " + ", ".join(f"('{d}', {r}::INT)" for d, r in state.LADDER) + ") l(distance, rung)"
+
+
+@query("distance_ladder", f"{coupling.W} SELECT l.distance, rung, coalesce(n, 0)::BIGINT AS edges FROM {LADDER} LEFT JOIN (SELECT distance, count(*) AS n FROM c GROUP BY distance) x ON x.distance = l.distance")
 def distance_ladder(f):
-    return f.spark.createDataFrame(state.LADDER, "distance string, rung int")
+    """Every rung with the edges that stand on it."""
+    rungs = f.spark.createDataFrame(state.LADDER, "distance string, rung int")
+    by = coupling.classified(f).groupBy("distance").agg(F.count("*").alias("edges"))
+    return rungs.join(by, "distance", "left").fillna(0, ["edges"])
 
 
 SCOPED = ["'src/a' || k || '.go'", "'vendor/a' || k || '.go'", "'x/build/a' || k || '.py'", "'x/build' || k || '.py'", "'reports/r' || k", "'gen/a' || k || '.cs'", "'src/lib/b' || k || '.rs'", "'gen' || k || '/a.ts'"]
