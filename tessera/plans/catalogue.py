@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changes, coupling, evaluation, graphs, metrics, policies, reports, rules, states, verdicts  # noqa: F401  they fill the registry
+from . import changes, coupling, evaluation, graphs, metrics, policies, policyfiles, reports, rules, states, verdicts  # noqa: F401  they fill the registry
 from .registry import ORACLES, QUERIES
 
 
