@@ -71,21 +71,50 @@ def go_targets(imports: DataFrame, modules: DataFrame, files: DataFrame, exclude
     return imports.join(where, "path").select("file", "line", "path", kind.alias("kind"), "package")
 
 
-_SCRIPT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|`(?:[^`\\]|\\[\s\S])*`|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|[\w$]+|[^\s\w$]")
+_SCRIPT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|[\w$]+|[^\s\w$]")
+_PATTERN = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+#: Words after which a slash opens a pattern; after other words, `)` and `]` it divides.
+_OPENS = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "do", "else", "yield", "await", "instanceof"}
 
 
 def script_statements(text: str):
-    """(line, spec): static imports and exports, and calls of import and require with one literal."""
-    before, at, line = [None, None, None], 0, 1
-    for m in _SCRIPT.finditer(text):
-        token = m[0]
+    """(line, spec): static imports and exports, and calls of import and require with one literal, those in template substitutions too."""
+    before, at, line, pos = [None, None, None], 0, 1, 0
+    open_braces: list[int] = []  # of each template that a substitution stands in: braces open inside it
+    while pos < len(text):
+        last = before[-1]
+        if text[pos] == "`" or (text[pos] == "}" and open_braces and not open_braces[-1]):
+            if text[pos] == "}":
+                open_braces.pop()
+            pos += 1
+            while pos < len(text) and text[pos] != "`" and not text.startswith("${", pos):
+                pos += 2 if text[pos] == "\\" else 1
+            if text.startswith("${", pos):
+                open_braces.append(0)
+                pos += 2
+                before = [*before[-2:], "${"]
+            else:
+                pos += 1
+                before = [*before[-2:], ""]
+            continue
+        if text[pos] == "/" and (last is None or last in _OPENS or (last and not (last[-1].isalnum() or last[-1] in "_$)]"))):
+            if m := _PATTERN.match(text, pos):
+                pos, before = m.end(), [*before[-2:], ""]
+                continue
+        m = _SCRIPT.match(text, pos)
+        if not m:
+            pos += 1
+            continue
+        pos, token = m.end(), m[0]
         line += text.count("\n", at, m.start())
         at = m.start()
         if token.startswith(("//", "/*")):
             continue
+        if open_braces and token in "{}":
+            open_braces[-1] += 1 if token == "{" else -1
         spec = m[1] if m[1] is not None else m[2]
-        call = before[-1] == "(" and before[-2] in ("import", "require") and before[-3] != "."
-        if spec and (call or (before[-1] in ("from", "import") and before[-2] != ".")):
+        call = last == "(" and before[-2] in ("import", "require") and before[-3] != "."
+        if spec and (call or (last in ("from", "import") and before[-2] != ".")):
             yield line, spec
         before = [*before[-2:], "" if spec is not None else token]
 
@@ -119,12 +148,13 @@ def _tries(base: Column) -> Column:
     return F.concat(same, F.array(*after))
 
 
-def script_targets(imports: DataFrame, files: DataFrame, packages: DataFrame | None = None, aliases=(), base_url: str | None = None) -> DataFrame:
+def script_targets(imports: DataFrame, files: DataFrame, packages: DataFrame | None = None, aliases=(), base_url: str | None = None, options: DataFrame | None = None) -> DataFrame:
     """(file, line, spec, kind, target) with kind `file`, `external` or `unknown`.
 
     aliases are (pattern, [targets]) of the compiler options: an exact pattern wins, then the longest start; packages
-    (name, dir, entry) are those of the workspace, entry the file that the bare name means (null: the directory).  Maps of
-    exports and options that differ by directory are not read."""
+    (name, dir, entry) are those of the workspace, entry the file that the bare name means (null: the directory).
+    options (dir, base_url, aliases) differ by directory, the nearest one above a file holds for it (config.inherited gives
+    them).  Maps of exports are not read."""
     spec = F.substring_index("spec", "?", 1)
     order = sorted(range(len(aliases)), key=lambda i: ("*" in aliases[i][0], -len(aliases[i][0].split("*")[0]), i))
     pattern, targets = F.when(F.lit(False), ""), F.when(F.lit(False), F.array(F.lit("")))
@@ -138,6 +168,13 @@ def script_targets(imports: DataFrame, files: DataFrame, packages: DataFrame | N
     bare = ~near & ~spec.rlike("^(?:/|node:|#)")
     rows = imports.select("spec", directory(F.col("file")).alias("dir")).distinct()
     rows = rows.withColumn("near", near).withColumn("bare", bare).withColumn("pattern", F.when(bare, pattern)).withColumn("targets", F.when(bare, targets))
+    based = F.lit(base_url)
+    if options is not None:
+        from .config import alias_of, nearest_options
+
+        rows = rows.join(nearest_options(rows.select("dir").distinct(), options), "dir").withColumn("_alias", F.when(F.col("bare"), alias_of(spec, F.col("aliases"))))
+        rows = rows.withColumns({"pattern": F.coalesce("_alias.pattern", "pattern"), "targets": F.coalesce("_alias.into", "targets")}).drop("_alias", "aliases")
+        based = F.coalesce(F.col("base_url"), based)
     name = F.regexp_extract(spec, r"^(@[^/]*/[^/]+|[^/]+)", 1)
     if packages is not None:
         own = packages.select(F.col("name").alias("_name"), F.col("dir").alias("_dir"), F.col("entry").alias("_entry")).dropDuplicates(["_name"])
@@ -147,7 +184,7 @@ def script_targets(imports: DataFrame, files: DataFrame, packages: DataFrame | N
     none = F.array().cast("array<string>")
     local = F.when(F.col("near"), _tries(normal(F.concat("dir", F.lit("/"), spec))))
     alias = F.flatten(F.transform(F.coalesce("targets", none), lambda t: F.concat(F.array(t), _tries(t))))
-    rooted = F.when(F.col("bare") & F.col("pattern").isNull(), _tries(normal(F.concat(F.lit(base_url), F.lit("/"), spec)))) if base_url is not None else none
+    rooted = F.when(F.col("bare") & F.col("pattern").isNull(), _tries(normal(F.concat(based, F.lit("/"), spec)))) if base_url is not None or options is not None else none
     below = F.expr("substring(substring_index(spec, '?', 1), length(_name) + 1)")
     inside = F.concat("_dir", F.when((below == "") & F.col("_entry").isNotNull(), F.concat(F.lit("/"), "_entry")).otherwise(below))
     package = F.when(F.col("_name").isNotNull(), _tries(normal(inside)))
