@@ -3,13 +3,17 @@
 Markup is stripped into lines, one for each block of the page.  A line weighs
 the text it holds outside links and outside boilerplate (navigation, headers,
 footers, sidebars, notices, adverts, forms, reader comments: by element, role,
-or class and id words of an element that holds neither the title nor nearly all of the text); the weights are summed over a sliding window of
-``WINDOW`` lines.  A run starts where that sum surges over a threshold and the
-next window still has text, and ends where it dives to nothing.  Inside an
-article or main element every line with text surges; without one, the runs
-that carry a fair share of the heaviest run's text, or lie in its container, are
-the main text.  Where nothing is left, the page is read again without regard to
-classes and ids.  Kept lines are whole: nothing is capped.
+or class and id words of an element).  An element that holds the title or most of
+the text is no boilerplate, whatever it is; a word that prose uses as well, such
+as notice or legal, tells only where a block is short or full of links.  The
+weights are summed over a sliding window of ``WINDOW`` lines.  A run starts at a
+line with text where that sum surges over a threshold, and ends where it dives to
+nothing.  Inside an article or main element every line with text surges, unless an
+article without main holds less than half of what the rest of the page has; in the
+other reading, the runs that carry a fair share of the heaviest run's text, all
+lines of its container, and runs in sections beside it are the main text.  Where
+nothing is left, the page is read again without regard to classes and ids.  Kept
+lines are whole: nothing is capped.
 
 Defined results: a null, empty or text-less page gives an empty text; unclosed
 elements end with their parent, and unclosed boilerplate at the next heading or
@@ -20,6 +24,7 @@ are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -47,6 +52,13 @@ MARKS = set(
     " overlay pager pagination paywall popover popup privacy promo promos promoted promotion recommend recommendations recommended related replies reply respond responses search"
     " share sharing sidebar sidenav signin signup skip skiplink social sponsor sponsored sponsors subscribe subscription submenu tagcloud teaser toast toolbar topbar topnav tracking widget widgets".split()
 )
+#: Of these, words that prose uses as well: they tell only with SHORT unlinked text or fewer, or where PARTLY of the text is linked.
+PROSE = set("banner copyright dialog disclaimer discussion form legal login notice notices notification notifications privacy recommend respond responses search share sharing social toast tracking".split())
+SHORT, PARTLY = 100, 0.3
+#: Elements and roles that may wrap a whole page.
+WRAPS = {"form", "fieldset", "dialog", "object", "label"}
+#: Boilerplate inside a line.
+INLINE = {"label", "button"}
 #: Marks that an article's own header may carry.
 OWN = {"banner"}
 #: Words that make a class say what an element has or lacks, or which kind of article it is, rather than what it is.
@@ -58,20 +70,21 @@ WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 COMMENTS = re.compile(r"(?:\d+\s+)?(?:reader\s+)?comments?(?:\s*\(?\d+\)?)?|leave a (?:comment|reply)", re.I)
 
 
-def _marked(raw: str) -> tuple[bool, bool, bool]:
-    """Whether an element is boilerplate by its class or id, or by its other attributes; whether it says that it holds the main text."""
+def _marked(raw: str) -> tuple[int, bool, bool, bool]:
+    """Whether an element is boilerplate by its class or id (1: by a word of prose, 2: by another), by its role, or as it is hidden; whether it says that it holds the main text."""
     if not raw or ("=" not in raw and "hidden" not in raw.lower()):
-        return False, False, False
-    named = boiler = main = False
+        return 0, False, False, False
+    named, role, boiler, main = 0, False, False, False
     for m in ATTRIBUTE.finditer(raw):
         name = m[1].lower()
         value = unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
             for token in value.split():
                 words = {w.lower() for w in WORD.findall(token)} | {token.lower()}
-                named |= bool(words & MARKS) and not words & ABOUT
+                if words & MARKS and not words & ABOUT:
+                    named = max(named, 2 if words & MARKS - PROSE else 1)
         elif name == "role":
-            boiler |= value.strip().lower() in ROLES
+            role |= value.strip().lower() in ROLES
             main |= value.strip().lower() in ("main", "article")
         elif name == "itemprop":
             main |= value.strip().lower() == "articlebody"
@@ -79,14 +92,14 @@ def _marked(raw: str) -> tuple[bool, bool, bool]:
             boiler = True
         elif name == "style":
             boiler |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    return named, boiler, main
+    return named, role, boiler, main
 
 
 class Line:
-    __slots__ = ("text", "weight", "boiler", "inside", "heading", "parent", "home")
+    __slots__ = ("text", "weight", "boiler", "inside", "sure", "heading", "parent", "home", "kind")
 
-    def __init__(self, text, weight, boiler, inside, heading, parent, home):
-        self.text, self.weight, self.boiler, self.inside, self.heading, self.parent, self.home = text, weight, boiler, inside, heading, parent, home
+    def __init__(self, text, weight, boiler, inside, sure, heading, parent, home, kind):
+        self.text, self.weight, self.boiler, self.inside, self.sure, self.heading, self.parent, self.home, self.kind = text, weight, boiler, inside, sure, heading, parent, home, kind
 
 
 def lines_of(html: str, marks: bool = True) -> list[Line]:
@@ -108,9 +121,14 @@ def lines_of(html: str, marks: bool = True) -> list[Line]:
     # which opening tags have an end tag of their own
     closed, open_ = {}, []
     upto, before, last = [], 0, 0  # text of the page before each token
-    for start, end, _, _, _ in tokens:
-        before += max(0, len(html[last:start].strip()))
+    linked_upto, in_link, in_links = [], 0, False
+    for start, end, ends, tag, _ in tokens:
+        size = max(0, len(html[last:start].strip()))
+        before += size
+        in_link += size * in_links
         upto.append(before)
+        linked_upto.append(in_link)
+        in_links = not ends if tag == "a" else in_links
         last = end
     whole = before + len(html[last:].strip())
     titles = [i for i, (_, _, ends, tag, _) in enumerate(tokens) if tag in ("h1", "main") and not ends]
@@ -126,8 +144,8 @@ def lines_of(html: str, marks: bool = True) -> list[Line]:
                     del open_[k:]
                     break
     out: list[Line] = []
-    stack: list[tuple[str, int, int, int, bool, int]] = []  # tag, boilerplate, inside, links, loose, token
-    boiler = inside = links = 0
+    stack: list[tuple[str, int, int, int, bool, int, int]] = []  # tag, boilerplate, inside, links, loose, token, sure
+    boiler = inside = links = sure = 0
     parts: list[str] = []
     linked = 0
     heading = False
@@ -137,19 +155,23 @@ def lines_of(html: str, marks: bool = True) -> list[Line]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Line(text, 0 if boiler else max(0, len(text) - linked), boiler > 0, inside > 0, heading, len(stack), stack[-2][5] if len(stack) > 1 else -1))
+                home = stack[-2] if len(stack) > 1 else None
+                # sections, and elements of one class, that stand in one parent are of a kind
+                kind = (stack[-3][5], home[0], tokens[home[5]][4].strip()) if len(stack) > 2 and (home[0] == "section" or "class" in tokens[home[5]][4]) else None
+                out.append(Line(text, 0 if boiler else max(0, len(text) - linked), boiler > 0, inside > 0, sure > 0, heading, len(stack), home[5] if home else -1, kind))
         parts, linked = [], 0
 
     def pop():
-        nonlocal boiler, inside, links
-        _, b, n, a, _, _ = stack.pop()
+        nonlocal boiler, inside, links, sure
+        _, b, n, a, _, _, u = stack.pop()
         boiler -= b
         inside -= n
         links -= a
+        sure -= u
 
     at = 0
     for i, (start, end, ends, tag, raw) in enumerate(tokens):
-        if start > at:
+        if start > at and not (stack and stack[-1][0] in INLINE and stack[-1][1]):
             piece = html[at:start]
             parts.append(piece)
             if links:
@@ -179,19 +201,29 @@ def lines_of(html: str, marks: bool = True) -> list[Line]:
                         while len(stack) > k:
                             pop()
                         break
-            named, marked, main = _marked(raw)
+            named, role, marked, main = _marked(raw)
+            last = closed.get(i, len(tokens))
+            held = (upto[last] if last < len(tokens) else whole) - upto[i]
+            k = bisect_right(titles, i)
+            titled = k < len(titles) and titles[k] < last
             if named and marks and tag not in ("html", "body", "h1", "article", "main") and not main:
                 # what holds the page's title or nearly all of its text is no boilerplate, whatever its class says
-                last = closed.get(i, len(tokens))
-                held = (upto[last] if last < len(tokens) else whole) - upto[i]
-                marked |= 10 * held <= 9 * whole and not any(i < k < last for k in titles)
+                if named == 1:
+                    own_links = (linked_upto[last] if last < len(tokens) else in_link) - linked_upto[i]
+                    named = held - own_links < SHORT or own_links >= PARTLY * held
+                marked |= bool(named) and 10 * held <= 9 * whole and not titled
+            wraps = titled or 2 * held > whole
+            marked |= role and not wraps
+            boilerplate = tag in BOILER and not (tag in WRAPS and wraps)
             own = inside and tag == "header"
-            b = int(tag in BOILER or tag in RAW or (tag == "header" and not inside) or (marked and not own and tag not in ("html", "body", "h1")))
+            b = int(boilerplate or tag in RAW or (tag == "header" and not inside) or (marked and not own and tag not in ("html", "body", "h1")))
             n = int((tag in ("article", "main") or main) and not boiler and not b)
             a = int(tag == "a")
             if raw.rstrip().endswith("/") and tag not in BLOCK:
                 continue
-            stack.append((tag, b, n, a, i not in closed, i))
+            u = int(n and (tag == "main" or main))
+            stack.append((tag, b, n, a, i not in closed, i, u))
+            sure += u
             boiler += b
             inside += n
             links += a
@@ -224,7 +256,7 @@ def runs(weights: list[int], surge: int, window: int = WINDOW) -> list[tuple[int
     block = [sum(weights[i : i + window]) for i in range(n)]
     out, i = [], 0
     while i < n:
-        if block[i] > surge and weights[i] and (not surge or i + 1 == n or block[i + 1]):
+        if block[i] > surge and weights[i]:
             j = i
             while j < n and block[j]:
                 j += 1
@@ -242,19 +274,30 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE, share:
 
 
 def _main(lines: list[Line], window: int, surge: int, share: float) -> str:
-    if any(x.inside and not x.boiler for x in lines):
-        kept = [x for x in lines if x.inside]
-        found = runs([len(x.text) if not x.boiler else 0 for x in kept], 0, window)
-    else:
-        kept = lines
-        weights = [x.weight for x in kept]
-        found = runs(weights, surge, window) or runs(weights, 0, window)
-        mass = [sum(weights[i:j]) for i, j in found]
-        # runs of the heaviest one's container belong to it, however short they are
-        heaviest = found[mass.index(max(mass))] if found else (0, 0)
-        homes = {x.home for x in kept[slice(*heaviest)] if x.weight}
-        found = [(i, j) for (i, j), m in zip(found, mass) if m >= share * max(mass) or any(x.home in homes for x in kept[i:j] if x.weight)]
-    return "\n".join(x.text for i, j in found for x in kept[i:j] if not x.boiler)
+    within = [x for x in lines if x.inside]
+    own = [len(x.text) if not x.boiler else 0 for x in within]
+    kept = _flowing([x for x in lines if not x.inside], window, surge, share)
+    sure = any(x.sure and not x.boiler for x in within)
+    if sum(own) and (sure or sum(x.weight for x in kept) <= 2 * sum(own)):
+        kept = [x for i, j in runs(own, 0, window) for x in within[i:j]]
+    return "\n".join(x.text for x in kept if not x.boiler)
+
+
+def _flowing(lines: list[Line], window: int, surge: int, share: float) -> list[Line]:
+    """The lines that the distribution alone shows as main text."""
+    weights = [x.weight for x in lines]
+    found = runs(weights, surge, window) or runs(weights, 0, window)
+    if not found:
+        return []
+    mass = [sum(weights[i:j]) for i, j in found]
+    i, j = found[mass.index(max(mass))]
+    homes = {x.home for x in lines[i:j] if x.weight}
+    kinds = {x.kind for x in lines[i:j] if x.weight and x.kind}
+    keep = [x.weight > 0 and x.home in homes for x in lines]
+    for (i, j), m in zip(found, mass):
+        if m >= share * max(mass) or any(x.home in homes or x.kind in kinds for x in lines[i:j] if x.weight):
+            keep[i:j] = [True] * (j - i)
+    return [x for x, k in zip(lines, keep) if k]
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", window: int = WINDOW, surge: int = SURGE, share: float = SHARE) -> DataFrame:

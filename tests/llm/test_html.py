@@ -87,3 +87,41 @@ def test_unquoted_values_and_sections():
     box = "<form><p>a</p><p>b</p><p>c</p><p>d</p></form>"
     end = "".join(f"<p>Closing part {i}, which is much shorter than the story before it.</p>" for i in range(4))
     assert M.main_text(f"<body><div>{long}{box}{end}</div></body>").count("Closing part") == 4
+
+
+P = "A sentence with several plain words that fills one whole paragraph of the story, as prose in articles does, and then ends."
+LINKS = "<ul><li><a href=a>one</a></li><li><a href=b>two</a></li><li><a href=c>three</a></li></ul>"
+AD = "<div class=ad>buy</div>"
+
+
+def test_no_run_is_lost_for_what_follows_it():
+    cases = {
+        f"<div><section>{f'<p>{P}</p>' * 20}</section>{LINKS}<section><p>{P}</p></section></div>": [P] * 21,
+        f"<p>{P}</p>{LINKS}<p>{P}</p>": [P] * 2, f"<p>{P}</p>{AD * 3}<p>{P}</p>": [P] * 2, f"<p>{P}</p>{LINKS}<p>Short end.</p>": [P, "Short end."],
+        f"<body><article><h3>Other story</h3><p>Teaser text</p></article><div class=content><p>{P}</p><p>{P}</p></div></body>": [P] * 2,
+        f"<body><form id=all><div><p>{P}</p><label>Search</label><p>{P}</p></div></form></body>": [P] * 2,
+        f"<main><section role=status><p>{P}</p></section></main>": [P], f"<main><p>{P}</p><fieldset><p>{P}</p><p>{P}</p></fieldset></main>": [P] * 3,
+    }
+    for html, want in cases.items():
+        assert M.main_text(html) == "\n".join(want), html
+
+
+def test_words_of_prose_need_evidence():
+    for c in ("legal", "toast recipe", "notice period", "search-results-explained", "social-history", "notice"):
+        assert M.main_text(f"<article><p>{P}</p><div class='{c}'><p>{P}</p></div><p>{P}</p></article>") == "\n".join([P] * 3), c
+        assert M.main_text(f"<article><p>{P}</p><div class='{c}'><p>Send this on.</p></div><p>{P}</p></article>") == "\n".join([P] * 2), c
+        assert M.main_text(f"<article><p>{P}</p><div class='{c}'><a href=x>{P}</a></div><p>{P}</p></article>") == "\n".join([P] * 2), c
+
+
+def test_flowing_pages_of_sections():
+    """Pages without article or main: sections of one to four paragraphs, with lists of links and adverts between them."""
+    rng = random.Random(9)
+    for _ in range(200):
+        text, body = [], []
+        for _ in range(rng.randint(1, 8)):
+            own = [f"{P} {rng.randint(0, 99)}" for _ in range(rng.randint(1, 4))]
+            text += own
+            body.append("<section>" + "".join(f"<p>{p}</p>" for p in own) + "</section>" + rng.choice(["", LINKS, AD * 3, LINKS + AD]))
+        extra = rng.choice(["", "<nav>" + LINKS + "</nav>", "<article><h4>Read on</h4></article>", "<form><input><button>Go</button></form>"])
+        html = f"<html><body>{extra}<div id=page>{''.join(body)}</div><footer>{P}</footer></body></html>"
+        assert M.main_text(html).replace("one\ntwo\nthree\n", "").removesuffix("\none\ntwo\nthree") == "\n".join(text), html
