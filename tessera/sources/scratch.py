@@ -5,18 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:  # tests and laptops
+def root(spark: SparkSession) -> str:
+    """The folder that all executors share; a private one where none is named and the master is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:  # tests and laptops
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    path = f"{root.rstrip('/')}/rounds/{name}-{uuid.uuid4().hex}"
+        named = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table and read it again: plans stay short, and a lost executor costs its tasks only."""
+    spark = df.sparkSession
+    path = f"{root(spark)}/rounds/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
