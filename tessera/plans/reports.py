@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import request
-from ..sources import code, coverage, imports, units
+from ..sources import code, coverage, imports, placing, units
 from .registry import Facts, query
 
 EXTENSIONS = ["info", "out", "json", "json", "xml"]
@@ -38,10 +38,13 @@ def reports(f: Facts):
     return whole.select(F.col("l_orderkey").alias("report"), F.concat(F.lit("r."), ext).alias("path"), text.alias("text"))
 
 
-@query("coverage_reports", """WITH r AS (SELECT l_orderkey AS report, l_orderkey % 5 AS k, 'f' || l_suppkey AS file, l_partkey AS line, CAST(l_quantity AS INT) % 3 AS hits, l_linenumber + 1 AS n FROM lineitem),
+COVERED = """WITH r AS (SELECT l_orderkey AS report, l_orderkey % 5 AS k, 'f' || l_suppkey AS file, l_partkey AS line, CAST(l_quantity AS INT) % 3 AS hits, l_linenumber + 1 AS n FROM lineitem),
 l AS (SELECT report, k, file, line, max(hits) AS hits FROM r WHERE k IN (0, 4) GROUP BY ALL)
 SELECT report, CASE k WHEN 0 THEN 'lcov' ELSE 'cobertura' END AS format, file, (count(*) FILTER (hits > 0))::BIGINT AS covered, count(*)::BIGINT AS total, 'lines' AS unit FROM l GROUP BY report, k, file
-UNION ALL SELECT report, CASE k WHEN 1 THEN 'go' WHEN 2 THEN 'coverage_py' ELSE 'llvm_cov' END, file, sum(CASE WHEN hits = 0 THEN 0 WHEN k = 1 THEN n ELSE 1 END)::BIGINT, sum(CASE WHEN k = 1 THEN n ELSE 1 END)::BIGINT, CASE k WHEN 1 THEN 'statements' ELSE 'lines' END FROM r WHERE k IN (1, 2, 3) GROUP BY report, k, file""")
+UNION ALL SELECT report, CASE k WHEN 1 THEN 'go' WHEN 2 THEN 'coverage_py' ELSE 'llvm_cov' END, file, sum(CASE WHEN hits = 0 THEN 0 WHEN k = 1 THEN n ELSE 1 END)::BIGINT, sum(CASE WHEN k = 1 THEN n ELSE 1 END)::BIGINT, CASE k WHEN 1 THEN 'statements' ELSE 'lines' END FROM r WHERE k IN (1, 2, 3) GROUP BY report, k, file"""
+
+
+@query("coverage_reports", COVERED)
 def coverage_reports(f):
     return coverage.facts(reports(f))
 
@@ -175,3 +178,34 @@ def requests(f):
     errors = f.lineitem.select(F.col("l_orderkey").alias("check"), next_.alias("next"), F.lit("graph").alias("rule"), F.col("l_suppkey").alias("from"), F.col("l_partkey").alias("to"), F.lit("f").alias("file"), F.col("l_linenumber").alias("line"))
     out = request.requests(checks, errors, TODAY)
     return out.select("check", "outcome", F.coalesce(F.size("errors"), F.lit(0)).alias("asked"))
+
+
+#: Where each format writes its paths: below a module, from the root of the disk, from here, with back slashes, and on another drive.
+WRITES = {"go": "ex.org/app/", "lcov": "/repo/", "coverage_py": "./", "cobertura": "lib\\", "llvm_cov": "D:/repo/"}
+HERE = "CASE format WHEN 'llvm_cov' THEN false ELSE s_acctbal >= 0 END"
+
+
+def placed_reports(f: Facts):
+    facts = coverage.facts(reports(f))
+    lead = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in WRITES.items() for x in kv)), F.col("format")), F.lit(""))
+    facts = facts.withColumn("file", F.concat(lead, "file"))
+    return placing.placed(facts, tree_files(f), f.spark.createDataFrame([("ex.org/app", "")], "path string, dir string"), "/repo", "lib")
+
+
+def tree_files(f: Facts):
+    """A file a supplier that has no debts, in the module of its nation; those of every third are tests."""
+    s = f.supplier.where("s_acctbal >= 0").join(f.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("file"), F.col("n_name").alias("module"), F.when(F.col("s_suppkey") % 3 == 0, "test").otherwise("production").alias("class"))
+
+
+@query("coverage_unresolved", f"WITH f AS ({COVERED}), p AS (SELECT report, file, {HERE} AS here FROM f JOIN supplier ON file = 'f' || s_suppkey) SELECT report, count(DISTINCT file)::BIGINT AS named, (count(DISTINCT file) FILTER (NOT here))::BIGINT AS unresolved FROM p GROUP BY report")
+def coverage_unresolved(f):
+    return placing.unresolved(placed_reports(f))
+
+
+@query("coverage_modules", f"""WITH f AS ({COVERED}), p AS (SELECT f.* FROM f JOIN supplier ON file = 'f' || s_suppkey WHERE {HERE}), t AS (SELECT 'f' || s_suppkey AS file, n_name AS module FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 0 AND s_suppkey % 3 <> 0),
+r AS (SELECT file, unit, CASE WHEN min(total) = max(total) THEN max(covered) END AS covered, CASE WHEN min(total) = max(total) THEN max(total) END AS total, min(total) <> max(total) AS bad FROM p GROUP BY file, unit),
+n AS (SELECT module, count(*)::BIGINT AS files FROM t GROUP BY module), m AS (SELECT module, unit, count(*)::BIGINT AS measured, (count(*) FILTER (bad))::BIGINT AS incompatible, sum(covered)::BIGINT AS covered, sum(total)::BIGINT AS total FROM t JOIN r USING (file) GROUP BY module, unit)
+SELECT module, unit, files, coalesce(measured, 0)::BIGINT AS measured, coalesce(incompatible, 0)::BIGINT AS incompatible, covered, total, CASE WHEN total > 0 THEN round(covered / total, 6) END AS share FROM n LEFT JOIN m USING (module)""")
+def coverage_modules(f):
+    return placing.rolled_up(tree_files(f), placing.reconciled(placed_reports(f)))
