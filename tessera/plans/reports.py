@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import request
-from ..sources import code, coverage, imports, placing, units
+from ..sources import code, coverage, imports, placing, syntax, units
 from .registry import Facts, query
 
 EXTENSIONS = ["info", "out", "json", "json", "xml"]
@@ -209,3 +209,29 @@ n AS (SELECT module, count(*)::BIGINT AS files FROM t GROUP BY module), m AS (SE
 SELECT module, unit, files, coalesce(measured, 0)::BIGINT AS measured, coalesce(incompatible, 0)::BIGINT AS incompatible, covered, total, CASE WHEN total > 0 THEN round(covered / total, 6) END AS share FROM n LEFT JOIN m USING (module)""")
 def coverage_modules(f):
     return placing.rolled_up(tree_files(f), placing.reconciled(placed_reports(f)))
+
+
+_GO_LINES = """l AS (SELECT l_orderkey AS o, l_linenumber AS i, l_returnflag AS r, CASE l_returnflag WHEN 'A' THEN 5 WHEN 'N' THEN 4 ELSE 1 END AS n FROM lineitem),
+t AS (SELECT *, sum(n) OVER (PARTITION BY o ORDER BY i, r ROWS UNBOUNDED PRECEDING) AS stop FROM l)"""
+
+
+def go_sources(f: Facts):
+    """A Go file an order; each line is a method, a type, or a text that looks like a function."""
+    a = _c("func (t *T) f", None, "(a map[string]int) (int, error) {\n\tif a != nil { // }\n\t\tx := `}`; go func() { _ = '{' }()\n\t}\n}")
+    n = _c("type T", None, ' struct {\n\tx string /* { */\n\ty map[string]struct{ z int }\n}')
+    return _file(f, "go", a, n, _c("var s", None, ' = "func g() {" // func h() {'))
+
+
+@query("syntax_ranges", f"""WITH {_GO_LINES} SELECT 'src/o' || o || '.go' AS file, CASE r WHEN 'A' THEN 'function' ELSE 'type' END AS kind, CASE r WHEN 'A' THEN 'f' ELSE 'T' END || i AS name, (stop - n + 1)::BIGINT AS start, stop::BIGINT AS "end" FROM t WHERE r IN ('A', 'N')
+UNION ALL SELECT 'src/o' || o || '.go', 'function', '', (stop - 2)::BIGINT, (stop - 2)::BIGINT FROM t WHERE r = 'A'""")
+def syntax_ranges(f):
+    return syntax.ranges(go_sources(f))
+
+
+@query("function_ranges_length", f"""WITH {_GO_LINES}, x AS (SELECT o, 5 AS size FROM t WHERE r = 'A' UNION ALL SELECT o, 1 FROM t WHERE r = 'A'), k AS (SELECT DISTINCT o, o % 20 AS m FROM t),
+n AS (SELECT m, count(*)::BIGINT AS files FROM k GROUP BY m), s AS (SELECT m, count(*)::BIGINT AS functions, quantile_disc(size, 0.5)::BIGINT AS p50, quantile_disc(size, 0.9)::BIGINT AS p90, max(size)::BIGINT AS longest, (count(*) FILTER (size > 4))::BIGINT AS over FROM x JOIN k USING (o) GROUP BY m)
+SELECT 'm' || m AS module, files, files AS observed, coalesce(functions, 0)::BIGINT AS functions, p50, p90, longest, coalesce(over, 0)::BIGINT AS over FROM n LEFT JOIN s USING (m)""")
+def function_ranges_length(f):
+    files = go_sources(f)
+    owned = files.select("file", F.concat(F.lit("m"), (F.regexp_extract("file", "([0-9]+)", 1).cast("long") % 20).cast("string")).alias("module"))
+    return syntax.lengths(syntax.ranges(files), owned, over=4)
