@@ -132,8 +132,12 @@ def dynamic_imports(files: DataFrame) -> DataFrame:
 _STATEMENT = re.compile(r"^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n#;]+)|import[ \t]+([^\n#;]+))", re.M)
 
 
+_QUOTES = re.compile(r"(\"\"\"|''')[\s\S]*?(?:\1|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|#[^\n]*")
+
+
 def _loose(text: str):
-    """Imports of a text that is no valid Python now: statements by their form."""
+    """Imports of a text that is no valid Python now: statements by their form, outside strings and comments."""
+    text = _QUOTES.sub(lambda q: re.sub(r"[^\n]", " ", q[0]), text)
     for m in _STATEMENT.finditer(text):
         base = m[1]
         at = m.start(2 if base else 3)
@@ -163,6 +167,20 @@ def python_imports(files: DataFrame) -> DataFrame:
     return scanned(files.where(language(F.col("file")) == "python"), "line bigint, base string, name string", python_statements)
 
 
+def _unparsed(text: str):
+    try:
+        ast.parse(text)
+    except SyntaxError as e:
+        yield e.lineno or 0, "does not parse"
+    except (ValueError, RecursionError) as e:
+        yield 0, str(e)[:80]
+
+
+def python_problems(files: DataFrame) -> DataFrame:
+    """(file, line, problem) of Python files that do not parse: their imports are found by form."""
+    return scanned(files.where(language(F.col("file")) == "python"), "line bigint, problem string", _unparsed)
+
+
 def python_modules(files: DataFrame, packages: list[str]) -> DataFrame:
     """(module, file) under the package directories, at the root or in src; a package's own file wins over a module of its name."""
     path = F.regexp_replace(F.regexp_extract("file", r"^(?:src/)?(.*)\.py$", 1), "(?:/|^)__init__$", "")

@@ -65,3 +65,10 @@ def test_attested(spark):
     facts = spark.createDataFrame([(k, "a") for k in (*cases, "bare") if k != "unread"], "report string, file string")
     got = dict(rows(code.attested(sidecars, named, now, facts), "report", "freshness"))
     assert got == {"ok": "matched", "other": "stale", "gone": "stale", "more": "stale"} | dict.fromkeys(["odd", "old", "none", "unread", "bare"], "unverified")
+
+
+def test_texts_that_do_not_parse(spark):
+    text = '"""Doc\nimport no\n"""\nimport a  # import b\nx = "from c import d"\ndef f(:\n    \'\'\'from e import f\n    import g\n\'\'\'\n    from .h import (i,\n        j)\n'
+    df = spark.createDataFrame([("x.py", text), ("y.py", "import fine"), ("z.go", "import (")], "file string, text string")
+    assert sorted((r.file, r.line, r.base, r.name) for r in code.python_imports(df).collect()) == [("x.py", 4, None, "a"), ("x.py", 10, ".h", "i"), ("x.py", 11, ".h", "j"), ("y.py", 1, None, "fine")]
+    assert [(r.file, r.line) for r in code.python_problems(df).collect()] == [("x.py", 6)]
