@@ -4,9 +4,9 @@ Each word has character n-gram features with word ends marked (so affixes are
 among them) and a lexicon feature for frequent words; learned transitions tie
 neighbours together, so the words of code-switched text get labels of their
 own by forward-backward.  The model is fitted on a bounded sample of labelled
-documents (``PER_LANG`` documents of each language by hash of the id; of a longer
-text a window of ``WINDOW_CHARS`` characters anywhere in it, by another hash),
-spliced into sequences that switch language, and is then half a megabyte for each
+documents (``PER_LANG`` documents of each language by hash of the id; of a text
+longer than ``SPANS * SPAN_CHARS`` characters, ``SPANS`` spans on whole words,
+each anywhere in the whole text by a hash of its own), spliced into sequences that switch language, and is then half a megabyte for each
 language; every text is labelled whole.
 
 Forward-backward runs over all words of a record batch at once: products of
@@ -27,7 +27,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, flat_string
@@ -35,7 +35,7 @@ from .tokens import blocks
 from .words import codes, sums, text_of, word_strings, words_of
 
 FOLDS = 5
-PER_LANG, WINDOW_CHARS = 600, 3_000
+PER_LANG, SPANS, SPAN_CHARS = 600, 10, 300
 HASH_BITS, LEXICON, NGRAMS = 17, 4_000, (1, 2, 3, 4)
 #: Sequences to learn from: so many, or so many for each language.
 SEQUENCES, PER_LANG_SEQUENCES, SEQUENCE_WORDS, EPOCHS, SPAN = 1_200, 300, 96, 4, 32
@@ -272,10 +272,22 @@ def held_out(id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def spans(id: Column, text: Column) -> Column:
+    """A short text as it is; of a longer one, spans anywhere in it, cut to whole words where it has white space."""
+    room = F.length(text) - SPAN_CHARS + 1
+
+    def piece(k: Column) -> Column:
+        at = F.pmod(F.xxhash64(id, k), F.greatest(F.lit(1), room)).cast("int") + 1
+        cut = F.substring(text, at, F.lit(SPAN_CHARS))
+        return F.coalesce(F.nullif(F.regexp_replace(cut, r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+|[\x20\x09-\x0D]+[^\x20\x09-\x0D]*$", ""), F.lit("")), cut)
+
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(SPANS - 1)), piece)
+    return F.when(F.length(text) <= SPANS * SPAN_CHARS, text).otherwise(F.array_join(pieces, " "))
+
+
 def sample(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
     """The bounded sample of labelled documents outside the held-out fold."""
-    at = F.pmod(F.xxhash64(F.col(id), F.lit("window")), F.greatest(F.lit(1), F.length(text) - WINDOW_CHARS + 1)).cast("int") + 1
-    rows = docs.select(F.col(id).alias("i"), F.substring(text, at, F.lit(WINDOW_CHARS)).alias("t"), F.col(lang).alias("l"), held_out(id).alias("out")).where("l is not null and t is not null and not out")
+    rows = docs.select(F.col(id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"), held_out(id).alias("out")).where("l is not null and t is not null and not out")
     counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
@@ -283,7 +295,8 @@ def sample(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     share = {x: min(grain, 1 + 2 * PER_LANG * grain // n) for x, n in counts.items()}
     limit = F.element_at(F.create_map(*[v for x, s in share.items() for v in (F.lit(x), F.lit(s))]), F.col("l"))
     draw = F.xxhash64(F.col("i"), F.lit("draw"))
-    got = rows.where(F.pmod(draw, F.lit(grain)) < limit).orderBy(draw, "t").limit(3 * PER_LANG * len(counts)).select("t", "l").collect()
+    drawn = rows.where(F.pmod(draw, F.lit(grain)) < limit).select("i", spans(F.col("i"), F.col("t")).alias("t"), "l")
+    got = drawn.orderBy(draw, "t").limit(3 * PER_LANG * len(counts)).select("t", "l").collect()
     taken: dict[str, int] = {}
     texts, langs = [], []
     for r in got:

@@ -98,12 +98,16 @@ def test_odd_texts(spark):
     assert G.identify(none, G.fit(none)).count() == 0
 
 
-def test_samples_are_windows_anywhere_in_a_text(spark):
-    rows = [(i, "x" * G.WINDOW_CHARS + "y" * G.WINDOW_CHARS, "aa") for i in range(1, 60)] + [(100 + i, "short", "bb") for i in range(20)]
+def test_samples_are_spans_anywhere_in_a_text(spark):
+    most = G.SPANS * G.SPAN_CHARS
+    words = [f"w{k:05d}" for k in range(20 * most // 7)]
+    rows = [(i, " ".join(words), "aa") for i in range(1, 60)] + [(100 + i, "short", "bb") for i in range(20)] + [(200 + i, "日" * 2 * most, "cc") for i in range(20)]
     texts, langs = G.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    long = [t for t, x in zip(texts, langs) if x == "aa"]
-    assert all(len(t) == G.WINDOW_CHARS for t in long) and {"short"} == {t for t, x in zip(texts, langs) if x == "bb"}
-    assert sum("y" in t for t in long) > len(long) // 2 and sum("x" in t for t in long) > len(long) // 2
+    long = [t.split() for t, x in zip(texts, langs) if x == "aa"]
+    assert len(long) > 40 and all(set(t) <= set(words) and len(t) > G.SPANS * G.SPAN_CHARS // 7 * 0.9 for t in long)
+    tenths = [{int(w[1:]) * 10 // len(words) for w in t} for t in long]
+    assert set.union(*tenths) == set(range(10)) and sum(map(len, tenths)) / len(tenths) > 5  # of one text, parts far from each other
+    assert {"short"} == {t for t, x in zip(texts, langs) if x == "bb"} and all(len(t) == most + G.SPANS - 1 for t, x in zip(texts, langs) if x == "cc")
 
 
 def test_no_language_is_left_out(spark):
