@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changes, configs, coupling, evaluation, graphs, metrics, policies, policyfiles, reports, rules, states, streams, trees, verdicts  # noqa: F401  they fill the registry
+from . import changes, configs, coupling, evaluation, graphs, metrics, policies, policyfiles, questions, reports, rules, states, streams, trees, verdicts  # noqa: F401  they fill the registry
 from .registry import ORACLES, QUERIES
 
 
