@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import request
-from ..sources import code, coverage, imports, placing, syntax, units
+from ..sources import code, coverage, extract, imports, placing, syntax, units
 from .registry import Facts, query
 
 EXTENSIONS = ["info", "out", "json", "json", "xml"]
@@ -235,3 +235,15 @@ def function_ranges_length(f):
     files = go_sources(f)
     owned = files.select("file", F.concat(F.lit("m"), (F.regexp_extract("file", "([0-9]+)", 1).cast("long") % 20).cast("string")).alias("module"))
     return syntax.lengths(syntax.ranges(files), owned, over=4)
+
+
+@query("extract_facts", """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS i, l_returnflag AS r, sum(CASE l_returnflag WHEN 'N' THEN 3 ELSE 1 END) OVER w AS py, sum(CASE l_returnflag WHEN 'R' THEN 2 ELSE 1 END) OVER w AS ts, sum(CASE l_returnflag WHEN 'N' THEN 4 WHEN 'R' THEN 2 ELSE 1 END) OVER w AS go FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag ROWS UNBOUNDED PRECEDING))
+SELECT 'src/o' || o || '.py' AS file, 'import' AS kind, py::BIGINT AS line, CASE r WHEN 'A' THEN 'm' ELSE 'x' END || i AS subject FROM l WHERE r <> 'R'
+UNION ALL SELECT 'src/o' || o || '.py', CASE r WHEN 'N' THEN 'lazy_import' ELSE 'importlib' END, py::BIGINT, NULL FROM l WHERE r <> 'A'
+UNION ALL SELECT 'src/o' || o || '.ts', 'import', ts::BIGINT, unnest(CASE r WHEN 'A' THEN ['m' || i] ELSE ['n' || i, 'y'] END) FROM l WHERE r <> 'R'
+UNION ALL SELECT 'src/o' || o || '.ts', unnest(['require', 'dynamic_import']), ts::BIGINT, NULL FROM l WHERE r = 'N'
+UNION ALL SELECT 'src/o' || o || '.go', 'import', (go - CASE r WHEN 'N' THEN 1 ELSE 0 END)::BIGINT, CASE r WHEN 'A' THEN 'ex.org/m' || i ELSE 'ex.org/apples' END FROM l WHERE r <> 'R'""")
+def extract_facts(f):
+    go = _file(f, "go", _c('import _ "ex.org/m', None, '"'), F.lit('import (\n\t// "c"\n\tx "ex.org/apples"\n)'), F.lit('/* import "a"\n*/ // import "b"'))
+    extract.register(f.spark)
+    return f.spark.sql("SELECT t.file, x.kind, x.line, x.subject FROM {texts} t, LATERAL code_facts(t.file, t.text) x", texts=sources(f).unionByName(go))
