@@ -15,18 +15,23 @@ def reports(f: Facts):
     """A report an order, in one of the five formats: a file a supplier, a line a part, hits by quantity."""
     rows = f.lineitem.select("l_orderkey", F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("file"), (F.col("l_partkey") + 1).cast("string").alias("at"), (F.col("l_quantity").cast("int") % 3).alias("hits"), (F.col("l_linenumber") + 1).cast("string").alias("n"))
     hits = F.col("hits").cast("string")
-    made = rows.groupBy("l_orderkey", "file").agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("DA:"), "at", F.lit(","), hits, F.lit("\n")))), "").alias("lcov"),
-        F.array_join(F.array_sort(F.collect_list(F.concat("file", F.lit(":"), "at", F.lit(".1,"), "at", F.lit(".9 "), "n", F.lit(" "), hits, F.lit("\n")))), "").alias("go"),
-        F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<line number="'), "at", F.lit('" hits="'), hits, F.lit('"/>')))), "").alias("xml"),
+    k = F.col("l_orderkey") % 5
+    line = (
+        F.when(k == 0, F.concat(F.lit("DA:"), "at", F.lit(","), hits, F.lit("\n")))
+        .when(k == 1, F.concat("file", F.lit(":"), "at", F.lit(".1,"), "at", F.lit(".9 "), "n", F.lit(" "), hits, F.lit("\n")))
+        .when(k == 4, F.concat(F.lit('<line number="'), "at", F.lit('" hits="'), hits, F.lit('"/>')))
+    )
+    # dealt once by order: both groupings stay where the rows are
+    dealt = rows.select("l_orderkey", "file", line.alias("line"), "hits").repartition("l_orderkey")
+    made = dealt.groupBy("l_orderkey", "file").agg(
+        F.array_join(F.array_sort(F.collect_list("line")), "").alias("lines"),
         F.count_if(F.col("hits") > 0).cast("string").alias("c"), F.count_if(F.col("hits") == 0).cast("string").alias("m"), F.count("*").cast("string").alias("t"),
     )
-    k = F.col("l_orderkey") % 5
     part = (
-        F.when(k == 0, F.concat(F.lit("SF:"), "file", F.lit("\n"), "lcov", F.lit("end_of_record\n"))).when(k == 1, F.col("go"))
+        F.when(k == 0, F.concat(F.lit("SF:"), "file", F.lit("\n"), "lines", F.lit("end_of_record\n"))).when(k == 1, F.col("lines"))
         .when(k == 2, F.concat(F.lit('"'), "file", F.lit('": {"summary": {"covered_lines": '), "c", F.lit(', "missing_lines": '), "m", F.lit("}}")))
         .when(k == 3, F.concat(F.lit('{"filename": "'), "file", F.lit('", "summary": {"lines": {"covered": '), "c", F.lit(', "count": '), "t", F.lit("}}}")))
-        .otherwise(F.concat(F.lit('<class filename="'), "file", F.lit('"><lines>'), "xml", F.lit("</lines></class>")))
+        .otherwise(F.concat(F.lit('<class filename="'), "file", F.lit('"><lines>'), "lines", F.lit("</lines></class>")))
     )
     whole = made.withColumn("part", part).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("part")).alias("p"))
     text = (

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import cut
+
 #: Formats by extension, and the record names of a tracefile.
 BY_EXTENSION = {"coverprofile": ["go"], "cover": ["go"], "out": ["go"], "info": ["lcov"], "lcov": ["lcov"], "json": ["coverage_py", "llvm_cov"], "xml": ["cobertura"]}
 RECORDS = ["TN", "SF", "DA", "LF", "LH", "FN", "FNDA", "FNF", "FNH", "BRDA", "BRF", "BRH", "end_of_record"]
@@ -42,11 +44,6 @@ def _body(text: Column) -> Column:
     return _trim(F.regexp_replace(text, r"^\x{FEFF}", ""))
 
 
-def possible(path: Column, text: Column, name: str) -> Column:
-    """Whether a report may have a format, by its extension or first characters: without it `detect` gives another."""
-    return _ext(path).isin([x for x, names in BY_EXTENSION.items() if name in names]) | _body(text).rlike(STARTS[name])
-
-
 def detect(path: Column, text: Column) -> Column:
     """The one format that extension and content allow; null where none or several are left."""
     none = F.array().cast("array<string>")
@@ -150,9 +147,13 @@ PARSERS = {"go": _go, "lcov": _lcov, "coverage_py": _coverage_py, "llvm_cov": _l
 
 
 def _parsed(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    path, text = F.col("path"), F.col("text")
-    rows = [parse(reports.where(possible(path, text, name)).where(detect(path, text) == name).select("report", "text")) for name, parse in PARSERS.items()]
-    return reports.select("report", detect(path, text).alias("format")), reduce(DataFrame.unionByName, rows)
+    """Reports with their format, and the rows of each parser.
+
+    The texts are written as they come, so that no condition on them makes them anew, and then by format, so that a parser reads its own reports alone."""
+    given = cut(reports.select("report", "path", "text"), "coverage-texts")
+    known = cut(given.select("report", "text", detect(F.col("path"), F.col("text")).alias("format")), "coverage-reports", by="format")
+    rows = [parse(known.where(F.col("format") == name).select("report", "text")) for name, parse in PARSERS.items()]
+    return known.select("report", "format"), reduce(DataFrame.unionByName, rows)
 
 
 def facts(reports: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.uses import ancestors
 from .imports import normal
+from .scratch import cut
 
 
 def cleaned(raw: Column) -> Column:
@@ -28,6 +29,7 @@ def placed(facts: DataFrame, files: DataFrame, modules: DataFrame, root: str = "
     facts: file and more; files: file; modules: (path, dir) of the tree's module
     files; root: where the tree lies; prefix: the scanned directory below its module.
     """
+    facts = cut(facts, "coverage-facts")  # read twice
     raw = facts.select("file").distinct().withColumn("clean", cleaned(F.col("file")))
     at = root.rstrip("/") + "/"
     absolute = F.col("clean").startswith("/")

@@ -44,3 +44,11 @@ def test_facts_and_problems(spark):
 def test_no_reports(spark):
     empty = spark.createDataFrame([], "report string, path string, text string")
     assert coverage.facts(empty).count() == 0 and coverage.problems(empty).count() == 0
+
+
+def test_texts_are_made_once(spark):
+    """Parsers read written texts: no plan makes a report's text again for each format."""
+    reports = spark.range(3).selectExpr("id AS report", "'a.info' AS path", "concat('SF:f', id, '\nDA:1,1\nend_of_record\n') AS text")
+    got = coverage.facts(reports)
+    assert "Range (" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.report, r.file, r.covered, r.total) for r in got.collect()) == [(k, f"f{k}", 1, 1) for k in range(3)]
