@@ -56,7 +56,8 @@ def normal_text(path: str) -> str:
 
 def unresolved(placed: DataFrame) -> DataFrame:
     """(report, named, unresolved): files that each report names, and how many of them the tree lacks."""
-    return placed.groupBy("report").agg(F.count_distinct("file").alias("named"), F.count_distinct(F.when(F.col("path").isNull(), F.col("file"))).alias("unresolved"))
+    each = placed.select("report", "file", F.col("path").isNull().alias("lost")).distinct()
+    return each.groupBy("report").agg(F.count("file").alias("named"), F.count(F.when(F.col("lost"), F.col("file"))).alias("unresolved"))
 
 
 def reconciled(placed: DataFrame) -> DataFrame:
