@@ -15,28 +15,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.globs import glob_regex
+from .lookup import looked_up
+from .scratch import cut
 
 #: Languages by extension, attestation schema.
 LANGUAGES = {"go": ["go"], "python": ["py"], "typescript": ["ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs"], "rust": ["rs"], "dotnet": ["cs"]}
 SIDECAR = "1"
 
 
+#: Rows that a task gathers before it hands them on: its memory does not follow what a batch of texts holds.
+GATHERED = 8192
+
+
 def scanned(files: DataFrame, schema: str, find) -> DataFrame:
-    """(file, ...) of what find(text) yields for each text that is not null."""
+    """(file, ...) of what find(text) yields for each text that is not null; find may differ by language, all in one pass."""
     names = [x.split()[0] for x in schema.split(", ")]
     types = {"string": pa.string(), "bigint": pa.int64()}
     arrow = pa.schema([("file", pa.string())] + [(n, types[x.split()[1]]) for n, x in zip(names, schema.split(", "), strict=True)])
+    by = find if isinstance(find, dict) else {"": find}
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(arrow)
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in source:
-            rows = []
-            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text is not None:
-                    rows += ((file, *found) for found in find(text))
-            columns = zip(*rows, strict=True) if rows else [[]] * len(arrow)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
-
-    return files.select("file", "text").mapInArrow(batches, f"file string, {schema}")
+            for file, text, lang in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if not text.is_valid:
+                    continue
+                file = file.as_py()
+                for found in by[lang.as_py()](text.as_py()):
+                    rows.append((file, *found))
+                    if len(rows) >= GATHERED:
+                        yield made(rows)
+                        rows = []
+        yield made(rows)
+
+    if isinstance(find, dict):
+        rows = files.select("file", "text", language(F.col("file")).alias("_lang")).where(F.col("_lang").isin(*by))
+    else:
+        rows = files.select("file", "text", F.lit("").alias("_lang"))
+    return rows.mapInArrow(batches, f"file string, {schema}")
 
 
 def language(path: Column) -> Column:
@@ -125,8 +145,7 @@ def dynamic_imports(files: DataFrame) -> DataFrame:
     """(file, line, kind) of imports that run late, in Python and script files that are no tests."""
     path = F.col("file")
     files = files.where(~is_test(path) & ~path.rlike("(?:^|/)testdata/"))
-    py = scanned(files.where(language(path) == "python"), "line bigint, kind string", python_lazy)
-    return py.unionByName(scanned(files.where(language(path) == "typescript"), "line bigint, kind string", script_lazy))
+    return scanned(files, "line bigint, kind string", {"python": python_lazy, "typescript": script_lazy})
 
 
 _STATEMENT = re.compile(r"^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n#;]+)|import[ \t]+([^\n#;]+))", re.M)
@@ -193,6 +212,7 @@ def python_targets(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """(file, line, module, kind, target): a name is a submodule where there is one, else its base is imported.
 
     kind is `file`, `external` (no package of ours) or `unknown` (ours but not there, or a dot above the top)."""
+    modules = cut(modules.select("module", "file"), "python-modules")  # read for each lookup
     known = modules.select("module", F.col("file").alias("target"))
     own = modules.select("file", F.col("module").alias("importer"))
     parts = F.split("importer", r"\.")
@@ -203,12 +223,15 @@ def python_targets(imports: DataFrame, modules: DataFrame) -> DataFrame:
     base = F.when(F.col("base").isNull() | (level == 0), F.col("base")).when(F.size(parts) - up >= 1, F.concat_ws(".", left, F.when(rest != "", rest)))
     rows = imports.join(own, "file").withColumn("full", base).withColumn("lost", F.col("base").isNotNull() & F.col("full").isNull())
     sub = F.when(F.col("base").isNull(), F.col("name")).when(F.col("name") != "*", F.concat_ws(".", "full", "name"))
-    rows = rows.withColumn("sub", F.when(~F.col("lost"), sub))
-    rows = rows.join(known.select(F.col("module").alias("sub"), F.col("target").alias("_sub")), "sub", "left").join(known.select(F.col("module").alias("full"), F.col("target").alias("_full")), "full", "left")
+    rows = cut(rows.withColumn("sub", F.when(~F.col("lost"), sub)).select("file", "line", "base", "lost", "full", "sub"), "python-imports")
+    # names that every file imports have most rows
+    for name in ("sub", "full"):
+        rows = looked_up(rows, known.select(F.col("module").alias(name), F.col("target").alias(f"_{name}")), name, f"_{name}")
     module = F.when(F.col("lost"), F.col("base")).when(F.col("base").isNull() | F.col("_sub").isNotNull(), F.col("sub")).otherwise(F.col("full"))
     target = F.coalesce("_sub", "_full")
     roots = modules.select(F.substring_index("module", ".", 1).alias("top")).distinct().withColumn("ours", F.lit(True))
-    rows = rows.select("file", "line", module.alias("module"), "lost", target.alias("target")).withColumn("top", F.substring_index("module", ".", 1)).join(roots, "top", "left")
+    rows = cut(rows.select("file", "line", module.alias("module"), "lost", target.alias("target")).withColumn("top", F.substring_index("module", ".", 1)), "python-targets")
+    rows = looked_up(rows, roots, "top", "ours")
     kind = F.when(F.col("target").isNotNull(), "file").when(F.col("lost") | F.col("ours").isNotNull(), "unknown").otherwise("external")
     return rows.select("file", "line", "module", kind.alias("kind"), "target").distinct()
 
