@@ -12,6 +12,8 @@ from ..functions.columns import directory
 from ..functions.globs import glob_regex
 from ..operators.uses import longest_prefix
 from .code import language, scanned
+from .lookup import looked_up
+from .scratch import cut
 
 _GO = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|`([^`]*)`|\"((?:[^\"\\\n]|\\.)*)\"|\w+|[^\s\w]")
 
@@ -57,6 +59,7 @@ def go_targets(imports: DataFrame, modules: DataFrame, files: DataFrame, exclude
     """(file, line, path, kind, package): the module with the longest path decides.
 
     kind is `first_party`, `unresolved` (ours, but no source there) or `external`; packages that a glob excludes are left out."""
+    imports = cut(imports, "go-imports")  # read three times
     where = longest_prefix(imports.select("path").distinct(), modules.select(F.col("module").alias("prefix")).distinct()).withColumnRenamed("prefix", "module")
     where = where.join(modules.groupBy("module").agg(F.min("dir").alias("dir")), "module", "left")
     rest = F.expr("substring(path, length(module) + 2)")
@@ -68,7 +71,8 @@ def go_targets(imports: DataFrame, modules: DataFrame, files: DataFrame, exclude
     sources = go.select(F.regexp_extract("file", "^(?:(.*)/)?[^/]*$", 1).alias("package")).distinct().withColumn("here", F.lit(True))
     where = where.join(sources, "package", "left")
     kind = F.when(F.col("package").isNull(), "external").when(F.col("here"), "first_party").otherwise("unresolved")
-    return imports.join(where, "path").select("file", "line", "path", kind.alias("kind"), "package")
+    known = where.select("path", F.struct(kind.alias("kind"), "package").alias("is"))
+    return looked_up(imports, known, "path", "is").where("is IS NOT NULL").select("file", "line", "path", "is.kind", "is.package")
 
 
 _SCRIPT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|[\w$]+|[^\s\w$]")
