@@ -152,6 +152,16 @@ def _tries(base: Column) -> Column:
     return F.concat(same, F.array(*after))
 
 
+def _stem(path: Column) -> Column:
+    """A path without its last extension, `.d` before it, and a last part `index`: the key under which files and tries meet."""
+    return F.regexp_replace(F.regexp_replace(path, r"(?:\.d)*(?:\.[^./]*)?\z", ""), r"/index\z", "")
+
+
+def _stems(base: Column) -> Column:
+    """The stems of all that _tries gives for a base, three at most."""
+    return F.array_distinct(F.array(_stem(base), F.regexp_replace(F.regexp_replace(base, r"(?:\.d)+\z", ""), r"/index\z", ""), base))
+
+
 def script_targets(imports: DataFrame, files: DataFrame, packages: DataFrame | None = None, aliases=(), base_url: str | None = None, options: DataFrame | None = None) -> DataFrame:
     """(file, line, spec, kind, target) with kind `file`, `external` or `unknown`.
 
@@ -159,6 +169,7 @@ def script_targets(imports: DataFrame, files: DataFrame, packages: DataFrame | N
     (name, dir, entry) are those of the workspace, entry the file that the bare name means (null: the directory).
     options (dir, base_url, aliases) differ by directory, the nearest one above a file holds for it (config.inherited gives
     them).  Maps of exports are not read."""
+    imports = cut(imports, "script-imports")  # read twice
     spec = F.substring_index("spec", "?", 1)
     order = sorted(range(len(aliases)), key=lambda i: ("*" in aliases[i][0], -len(aliases[i][0].split("*")[0]), i))
     pattern, targets = F.when(F.lit(False), ""), F.when(F.lit(False), F.array(F.lit("")))
@@ -186,16 +197,23 @@ def script_targets(imports: DataFrame, files: DataFrame, packages: DataFrame | N
     else:
         rows = rows.select("*", *(F.lit(None).cast("string").alias(x) for x in ("_name", "_dir", "_entry")))
     none = F.array().cast("array<string>")
-    local = F.when(F.col("near"), _tries(normal(F.concat("dir", F.lit("/"), spec))))
-    alias = F.flatten(F.transform(F.coalesce("targets", none), lambda t: F.concat(F.array(t), _tries(t))))
-    rooted = F.when(F.col("bare") & F.col("pattern").isNull(), _tries(normal(F.concat(based, F.lit("/"), spec)))) if base_url is not None or options is not None else none
+    near_base = F.when(F.col("near"), normal(F.concat("dir", F.lit("/"), spec)))
+    rooted = F.when(F.col("bare") & F.col("pattern").isNull(), normal(F.concat(based, F.lit("/"), spec))) if base_url is not None or options is not None else F.lit(None).cast("string")
     below = F.expr("substring(substring_index(spec, '?', 1), length(_name) + 1)")
     inside = F.concat("_dir", F.when((below == "") & F.col("_entry").isNotNull(), F.concat(F.lit("/"), "_entry")).otherwise(below))
-    package = F.when(F.col("_name").isNotNull(), _tries(normal(inside)))
-    tries = F.concat(F.coalesce(local, none), alias, F.coalesce(rooted, none), F.coalesce(package, none))
-    asked = rows.withColumn("tries", F.filter(tries, lambda t: t.isNotNull() & ~t.rlike("(?:^|/)node_modules(?:/|$)")))
-    found = asked.select("spec", "dir", F.posexplode("tries").alias("at", "file")).join(files.select("file").distinct(), "file").groupBy("spec", "dir").agg(F.min_by("file", "at").alias("target"))
-    rows = asked.drop("tries").join(found, ["spec", "dir"], "left")
+    package = F.when(F.col("_name").isNotNull(), normal(inside))
+    # a base has some 28 tries but three stems at most: files meet bases by stem, and only what meets is tried
+    def base(path: Column, exact: bool = False) -> Column:
+        return F.when(path.isNotNull(), F.struct(path.alias("base"), F.lit(exact).alias("exact")))
+
+    targets = F.transform(F.coalesce("targets", none), lambda t: base(t, True))
+    bases = F.array_compact(F.concat(F.array(base(near_base)), targets, F.array(base(rooted), base(package))))
+    asked = rows.select("spec", "dir", F.posexplode(bases).alias("nth", "b")).select("spec", "dir", "nth", "b.base", "b.exact")
+    tried = asked.withColumn("stem", F.explode(_stems(F.col("base"))))
+    there = files.select("file").distinct().where(~F.col("file").rlike("(?:^|/)node_modules(?:/|$)")).withColumn("stem", _stem(F.col("file")))
+    at = F.when(F.col("exact") & (F.col("file") == F.col("base")), 1).otherwise(F.array_position(_tries(F.col("base")), F.col("file")))
+    found = tried.join(there, "stem").withColumn("at", at).where("at > 0").groupBy("spec", "dir").agg(F.min_by("file", F.struct("nth", (~F.col("exact") | (F.col("file") != F.col("base"))).alias("after"), "at")).alias("target"))
+    rows = rows.join(found, ["spec", "dir"], "left")
     installed = F.coalesce(normal(F.concat("dir", F.lit("/"), spec)).rlike("(?:^|/)node_modules(?:/|$)"), F.lit(False))
     kind = (
         F.when(F.col("target").isNotNull(), "file").when(F.col("near"), F.when(installed, "external").otherwise("unknown"))

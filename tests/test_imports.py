@@ -1,5 +1,7 @@
 """Imports of Go and script files."""
 
+from pyspark.sql import functions as F
+
 from tessera.sources import imports as I
 
 
@@ -30,3 +32,12 @@ def test_script(spark):
     d = spark.createDataFrame([("a.mjs", "import 'one'\nimport('two'); x.import('no'); import(`no`)\n/* import 'no' */ export {k} from \"three\" // from 'no'\nconst from = 'no', s = \"import 'no'\"\nrequire('four', 5)\nimport type { T } from 'five'")], "file string, text string")
     assert [r["spec"] for r in I.script_imports(d).collect()] == ["one", "two", "three", "four", "five"]
     assert I.script_targets(I.script_imports(d.limit(0)), files).count() == 0
+
+
+def test_files_meet_bases_by_stem(spark):
+    """Every try of a base has one of its stems; names that end in .d, index or a dot lose none."""
+    bases = ["a", "a.js", "a.d", "a.d.d", "a/index", "a/index.js", "a.d/index", "a.d.js", "x.y", "x.y.mjs", ".", "a.", "a.vue", "a.d.ts"]
+    df = spark.createDataFrame([(b,) for b in bases], "base string")
+    rows = df.select("base", I._stems(F.col("base")).alias("stems"), F.explode(I._tries(F.col("base"))).alias("file")).withColumn("stem", I._stem(F.col("file")))
+    assert rows.where("NOT array_contains(stems, stem)").collect() == []
+    assert rows.where("size(stems) > 3").count() == 0
