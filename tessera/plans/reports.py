@@ -58,6 +58,7 @@ def _file(f: Facts, extension: str, a, n, r):
     """A source file an order; a row gives one text by its flag, in the order of the rows."""
     part = F.when(F.col("l_returnflag") == "A", a).when(F.col("l_returnflag") == "N", n).otherwise(r)
     rows = f.lineitem.withColumn("id", F.col("l_linenumber").cast("string")).select("l_orderkey", F.struct("l_linenumber", "l_returnflag", part.alias("t")).alias("p"))
+    rows = rows.repartition("l_orderkey")  # lines before they are gathered: lists are made once
     text = F.array_join(F.transform(F.array_sort("p"), lambda x: x["t"]), "\n")
     return rows.groupBy("l_orderkey").agg(F.collect_list("p").alias("p")).select(F.concat(F.lit("src/o"), F.col("l_orderkey").cast("string"), F.lit("." + extension)).alias("file"), text.alias("text"))
 
