@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import parts
+
 LOOSENS, TIGHTENS, NEITHER = "loosens", "tightens", "neither"
 #: What an added and a removed value of a list mean, and how its values are compared.
 LISTS = [
@@ -45,20 +47,17 @@ def may_overlap(a: Column, b: Column) -> Column:
     return F.startswith(x, y) | F.startswith(y, x)
 
 
-def _lists(p: DataFrame) -> DataFrame:
-    kinds = reduce(lambda c, r: c.when((F.col("section") == r[0]) & (F.col("field") == r[1]), r[4]), LISTS, F.when(F.lit(False), ""))
-    modules = p.where("section = 'module'").select("policy", F.col("name").alias("value")).distinct().withColumn("is_module", F.lit(True))
-    rows = p.withColumn("kind", kinds).where("kind IS NOT NULL").join(modules, ["policy", "value"], "left")
-    path = F.col("is_module").isNull() & (_meta(F.col("value")) | F.col("value").contains("/"))
-    glob = (F.col("kind") == "glob") | ((F.col("kind") == "selector") & path)
-    return rows.select(*_KEY, "value", glob.alias("glob"))
+def _is_list(kinds: tuple[str, ...] = ("name", "glob", "selector")) -> Column:
+    return reduce(Column.__or__, ((F.col("section") == r[0]) & (F.col("field") == r[1]) for r in LISTS if r[4] in kinds))
 
 
-def _whole(p: DataFrame) -> DataFrame:
-    """(policy, name) of modules whose public part is the whole module."""
-    m = p.where("section = 'module' AND field IN ('paths', 'public')").groupBy("policy", "name")
-    lists = m.agg(*(F.array_sort(F.collect_list(F.when(F.col("field") == x, F.col("value")))).alias(x) for x in ("paths", "public")))
-    return lists.where("paths = public").select("policy", "name")
+def _marked(p: DataFrame) -> DataFrame:
+    """p with glob: whether a value of a list is compared as one.  A selector that looks like a path is one, unless a module has that name."""
+    looks = _meta(F.col("value")) | F.col("value").contains("/")
+    rows = p.select(*_KEY, "pos", "value").withColumn("odd", F.coalesce(_is_list(("selector",)) & looks, F.lit(False)))
+    names = p.where("section = 'module'").select("policy", F.col("name").alias("value")).distinct().where(looks).withColumn("is_module", F.lit(True))
+    odd = rows.where("odd").join(names, ["policy", "value"], "left").withColumn("glob", F.col("is_module").isNull())
+    return rows.where("NOT odd").withColumn("glob", _is_list(("glob",))).unionByName(odd.drop("is_module")).drop("odd")
 
 
 def _up(order: list[str], a: Column, b: Column) -> Column:
@@ -86,42 +85,65 @@ def _scalar(before: Column, after: Column) -> Column:
     )
 
 
-def _singles(p: DataFrame) -> DataFrame:
-    """Fields with one value; owners in any order and layers in theirs make one value."""
-    rows = p.join(p.sparkSession.createDataFrame([x[:2] for x in LISTS], "section string, field string"), ["section", "field"], "left_anti")
-    values = F.collect_list(F.struct(F.when(F.col("field") == "layers", F.col("pos")).alias("p"), "value"))
-    return rows.groupBy(*_KEY).agg(F.array_join(F.transform(F.array_sort(values), lambda x: x["value"]), ", ").alias("value"))
+def _single(values: Column) -> Column:
+    """The one value of a field; owners in any order and layers in theirs make one value, no values null."""
+    ordered = F.array_sort(F.transform(values, lambda x: F.struct(F.when(F.col("field") == "layers", x["pos"]).alias("p"), x["value"].alias("value"))))
+    return F.when(F.size(values) > 0, F.array_join(F.transform(ordered, lambda x: x["value"]), ", "))
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """(policy, section, name, field, direction, before, after): what a change of policies loosens or tightens.
 
-    A module, rule or exception that one side lacks is one row with a null field; so is nothing of its fields."""
-    sides = [p.where(F.col("section").isin(_NAMED)).select(*_KEY[:3]).distinct() for p in (before, after)]
-    names = sides[0].withColumn("b", F.lit(1)).join(sides[1].withColumn("a", F.lit(1)), _KEY[:3], "full")
-    added = F.when(F.col("section") == "rule", TIGHTENS).otherwise(LOOSENS)
-    removed = F.when(F.col("section") == "exception", TIGHTENS).otherwise(LOOSENS)
+    A module, rule or exception that one side lacks is one row with a null field; so is nothing of its fields.
+
+    Rows are dealt by policy once; a field is one row with its values on both sides, and what a name needs of its other fields
+    is a window.  The partitions are counted: rows of policies compress so well that by size very many would share a task."""
+    sides = [_marked(p).withColumn("side", F.lit(k)) for k, p in enumerate((before, after))]
+    rows = sides[0].unionByName(sides[1]).repartition(parts(before.sparkSession), "policy")
+    held = [F.collect_list(F.when(F.col("side") == k, F.struct("pos", "value", "glob"))).alias(c) for k, c in enumerate("ba")]
+    fields = rows.groupBy(*_KEY).agg(*held)
+
+    w = Window.partitionBy(*_KEY[:3])
+    named, scalar = F.col("section").isin(_NAMED), ~_is_list()
+    fields = fields.withColumns({"before": F.when(scalar, _single(F.col("b"))), "after": F.when(scalar, _single(F.col("a")))})
+    turned = (F.col("section") == "rule") & (F.col("field") == "form") & ~F.col("before").eqNullSafe(F.col("after"))
+
+    def sorted_of(side: str, field: str) -> Column:
+        values = F.array_sort(F.filter(F.transform(side, lambda x: x["value"]), lambda v: v.isNotNull()))
+        return F.coalesce(F.max(F.when((F.col("section") == "module") & (F.col("field") == field), values)).over(w), F.array().cast("array<string>"))
+
+    fields = fields.withColumns({
+        "in_b": F.max(F.size("b") > 0).over(w), "in_a": F.max(F.size("a") > 0).over(w), "turned": F.max(turned).over(w), "least": F.min("field").over(w),
+        **{f"{f}_{s}": sorted_of(s, f) for s in "ba" for f in ("paths", "public")},
+    })
+    lacks = named & ~(F.col("in_b") & F.col("in_a"))
+    # modules whose public part is the whole module on both sides
+    whole = (F.col("section") == "module") & (F.col("field") == "public") & (F.col("paths_b") == F.col("public_b")) & (F.col("paths_a") == F.col("public_a"))
     null = F.lit(None).cast("string")
-    here = names.where("a IS NULL OR b IS NULL").select(*_KEY[:3], null.alias("field"), F.when(F.col("b").isNull(), added).otherwise(removed).alias("direction"), F.when(F.col("b").isNotNull(), F.col("name")).alias("before"), F.when(F.col("a").isNotNull(), F.col("name")).alias("after"))
 
-    one = _singles(before).withColumnRenamed("value", "before").join(_singles(after).withColumnRenamed("value", "after"), _KEY, "full").where("NOT before <=> after")
-    one = one.join(here.select(*_KEY[:3]), _KEY[:3], "left_anti").withColumn("direction", _scalar(F.col("before"), F.col("after"))).where("direction IS NOT NULL")
-    turned = one.where("section = 'rule' AND field = 'form'").select(*_KEY[:3])
-    skip = here.select(*_KEY[:3]).unionByName(turned)
+    def row(field: Column, way: Column, x: Column, y: Column) -> Column:
+        return F.struct(field.alias("field"), way.alias("direction"), x.alias("before"), y.alias("after"))
 
-    b, a = _lists(before), _lists(after)
-    both = _whole(before).join(_whole(after), ["policy", "name"]).withColumn("section", F.lit("module")).withColumn("field", F.lit("public"))
+    added = F.when(F.col("section") == "rule", TIGHTENS).otherwise(LOOSENS)
+    removed = F.when(F.col("section") == "exception", TIGHTENS).otherwise(LOOSENS)
+    here = row(null, F.when(F.col("in_b"), removed).otherwise(added), F.when(F.col("in_b"), F.col("name")), F.when(F.col("in_a"), F.col("name")))
+    way = _scalar(F.col("before"), F.col("after"))
+    one = row(F.col("field"), way, F.col("before"), F.col("after"))
+
+    def lost(x: str, y: str, at: int) -> Column:
+        def alike(v, o):
+            return (v["glob"] == o["glob"]) & F.when(v["glob"], covers(o["value"], v["value"])).otherwise(o["value"] == v["value"])
 
-    def lost(x: DataFrame, y: DataFrame, at: int) -> DataFrame:
-        y = y.select(*_KEY, F.col("value").alias("wide"), "glob")
-        alike = F.when(F.col("x.glob"), covers(F.col("y.wide"), F.col("x.value"))).otherwise(F.col("y.wide") == F.col("x.value"))
-        on = reduce(lambda c, k: c & (F.col(f"x.{k}") == F.col(f"y.{k}")), [*_KEY, "glob"], alike)
-        rows = x.alias("x").join(y.alias("y"), on, "left_anti").join(skip, _KEY[:3], "left_anti").join(both, _KEY, "left_anti")
+        gone = F.filter(x, lambda v: ~F.coalesce(F.exists(y, lambda o: alike(v, o)), F.lit(False)))
         way = reduce(lambda c, r: c.when((F.col("section") == r[0]) & (F.col("field") == r[1]), r[at]), LISTS, F.when(F.lit(False), ""))
-        return rows.select(*_KEY, way.alias("direction"), *([null.alias("before"), F.col("value").alias("after")] if at == 2 else [F.col("value").alias("before"), null.alias("after")]))
+        return F.transform(gone, lambda v: row(F.col("field"), way, *((null, v["value"]) if at == 2 else (v["value"], null))))
 
-    out = ["policy", "section", "name", "field", "direction", "before", "after"]
-    return reduce(DataFrame.unionByName, [x.select(*out) for x in (here, one, lost(a, b, 2), lost(b, a, 3))])
+    found = (
+        F.when(lacks, F.when(F.col("field") == F.col("least"), F.array(here)))
+        .when(scalar, F.when(~F.col("before").eqNullSafe(F.col("after")) & way.isNotNull(), F.array(one)))
+        .when(~F.col("turned") & ~whole, F.concat(lost("a", "b", 2), lost("b", "a", 3)))
+    )
+    return fields.select(*_KEY[:3], F.explode(found).alias("x")).select(*_KEY[:3], "x.field", "x.direction", "x.before", "x.after")
 
 
 def direction(policies: DataFrame, changes: DataFrame) -> DataFrame:

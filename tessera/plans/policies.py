@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import owners
 from ..operators import policy as P
+from ..sources.scratch import parts
 from .registry import Facts, query
 
 BASE = {
@@ -67,9 +68,10 @@ WRONG = [(but(c), want) for c, want in [
 
 
 def _dealt(f: Facts, policies: list[dict]):
-    """Every customer has the policy of one case."""
+    """Every customer has the policy of one case.  Customers are dealt before each becomes some thirty rows."""
     known = f.spark.createDataFrame([(i, *r) for i, p in enumerate(policies) for r in rows(p)], "case int, section string, name string, field string, pos int, value string")
-    return f.customer.select(F.col("c_custkey").alias("policy"), (F.col("c_custkey") % len(policies)).cast("int").alias("case")).join(known, "case").drop("case")
+    asked = f.customer.select(F.col("c_custkey").alias("policy")).repartition(parts(f.spark), "policy")
+    return asked.withColumn("case", (F.col("policy") % len(policies)).cast("int")).join(known, "case").drop("case")
 
 
 def _wanted(cases: list, columns: str) -> str:

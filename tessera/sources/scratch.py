@@ -20,6 +20,11 @@ def root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def parts(spark: SparkSession) -> int:
+    """Partitions of a shuffle, for rows that must not be put together by their compressed size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as a table and read it again: plans stay short, and a lost executor costs its tasks only.  by: a column of few values that makes a folder each."""
     spark = df.sparkSession

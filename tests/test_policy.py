@@ -54,3 +54,18 @@ def test_owners(spark):
     got = {r["file"]: r["owner"] for r in owners.owned(d, owners.parse(text)).collect()}
     assert {k: got.get(k) for k in want} == want
     assert owners.owned(d, []).count() == 0
+
+
+def test_a_selector_like_a_path_is_a_name_where_a_module_has_it(spark):
+    rule = [("rule", "r", "form", 0, "deny"), ("rule", "r", "deny.from", 0, "src/x/**")]
+    module = [("module", "src/x/y", "paths", 0, "src/x/y/**")]
+    wider = [("rule", "r", "deny.from", 1, "src/x/y")]
+    before = spark.createDataFrame([(0, *r) for r in rule] + [(1, *r) for r in rule + module], SCHEMA)
+    after = spark.createDataFrame([(0, *r) for r in rule + wider] + [(1, *r) for r in rule + module + wider], SCHEMA)
+    assert [tuple(r) for r in P.compare(before, after).collect()] == [(1, "rule", "r", "deny.from", "tightens", None, "src/x/y")]
+
+
+def test_rows_of_policies_are_dealt_once_and_by_number(spark):
+    plan = P.compare(*[spark.range(10).selectExpr("id AS policy", "'rule' AS section", "'r' AS name", "'form' AS field", "0 AS pos", "'deny' AS value") for _ in range(2)])._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("Union")]
+    assert top.count("Exchange hashpartitioning(policy") == 1 and "REPARTITION_BY_NUM" in top and "Join" not in top
