@@ -14,8 +14,13 @@ def added(base: DataFrame, head: DataFrame, lines: DataFrame) -> DataFrame:
         return e.select(*KEY, "file", "line").distinct().groupBy(*KEY).agg(F.count("*").alias(name))
 
     on = head.select(*KEY, "file", "line").distinct().join(lines.withColumn("new", F.lit(1)), ["file", "line"], "left").groupBy(*KEY).agg(F.count("*").alias("head_sites"), F.count("new").alias("added_sites"))
-    both = on.join(count(base, "base_sites"), KEY, "left").fillna(0, ["base_sites"])
-    return both.where("head_sites > base_sites AND (rule <> 'unowned' OR added_sites > 0) AND (rule <> 'duplication' OR added_sites > 0)")
+    return more(on.join(count(base, "base_sites"), KEY, "left").fillna(0, ["base_sites"]))
+
+
+def more(keys: DataFrame) -> DataFrame:
+    """Keys, counted on both sides, of which head has more."""
+    found = keys.where("head_sites > base_sites AND (rule <> 'unowned' OR added_sites > 0) AND (rule <> 'duplication' OR added_sites > 0)")
+    return found.select(*KEY, "base_sites", "head_sites", "added_sites")
 
 
 def covered(errors: DataFrame, exceptions: DataFrame, today: str) -> DataFrame:

@@ -151,9 +151,9 @@ def sanitize_text(f):
 
 @query("sarif_rows")
 def sarif_rows(f):
-    from .changes import side
+    from .changes import head_errors
 
-    e = side(f, "head").distinct()
+    e = head_errors(f)
     where = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation"))
     message = F.struct(F.concat("from", F.lit(" must not use "), "to").alias("text"))
     return e.select(F.to_json(F.struct(F.col("rule").alias("ruleId"), F.lit("error").alias("level"), message.alias("message"), F.array(where).alias("locations"))).alias("result"))

@@ -23,8 +23,7 @@ LIBS = "SELECT u.*, p_brand || '/' || p_type AS library FROM {:uses} u JOIN part
 
 
 def files(f: Facts):
-    u = f.uses
-    return u.select("file").unionAll(u.select(F.col("target").alias("file"))).distinct()
+    return f.uses.select("file", "target").distinct().select(F.explode(F.array("file", "target")).alias("file")).distinct()
 
 
 def paths(f: Facts):
@@ -172,8 +171,10 @@ def judge_all(f):
     off = {"cycle": "off", "unowned": "off"}  # files of targets count as well here
     uses = libraries(f).withColumns({c: F.lit(True) for c in J.MASK})
     used = J.sites(uses, J.compiled(f.modules, f.depends_on, denied(f), allowed(f)), off)
-    found = [used.select("rule", "from", "to", "file", "line"), R.unowned(owned(f)), R.duplication(f.literals).drop("value")]
-    return R.errors_by_key(found[0].unionByName(found[1]).unionByName(found[2]))
+    used = used.groupBy("rule", "from", "to").agg(F.sum("head_sites").alias("sites"), F.min(F.struct("file", "line")).alias("s"))
+    used = used.select("rule", "from", "to", "sites", F.col("s.file").alias("first_file"), F.col("s.line").alias("first_line"))
+    # no use has an error of these rules
+    return used.unionByName(R.errors_by_key(R.unowned(owned(f)).unionByName(R.duplication(f.literals).drop("value"))))
 
 
 PUBLIC = [("NATION_1", "src/nation_1/api/**"), ("NATION_2", "src/nation_2/api"), ("NATION_6", "src/nation_6/{api,impl}/g[0-2].go")]
