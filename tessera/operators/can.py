@@ -220,7 +220,8 @@ def can(questions: DataFrame, files: DataFrame, paths: DataFrame, modules: DataF
     public: module, regex; rules: a rules table; covered: rule, from, to of exceptions that hold (a null to: any).
     """
     modes = MODES | (modes or {})
-    asked = questions.select("id", F.nullif(F.col("from"), F.lit("")).alias("a"), F.nullif(F.col("to"), F.lit("")).alias("b"))
+    # four steps read the questions: they are made once
+    asked = cut(questions.select("id", F.nullif(F.col("from"), F.lit("")).alias("a"), F.nullif(F.col("to"), F.lit("")).alias("b")), "can-asked")
     args = asked.select(F.col("a").alias("arg"), F.lit(False).alias("target")).unionByName(asked.select(F.col("b").alias("arg"), F.lit(True).alias("target"))).where("arg IS NOT NULL")
     tree = cut(tree_of(files, paths), "can-tree")
     ends = cut(sides(args, tree, modules, paths, go_modules), "can-ends")

@@ -82,3 +82,39 @@ def test_clean(spark):
     cases = [("./a//b/", "a/b"), ("a/../b", "b"), ("../a", "../a"), (".", ""), ("a/./../../b", "../b"), ("/x", "x")]
     d = spark.createDataFrame(cases, "p string, want string")
     assert d.where(C.clean(F.col("p")) != F.col("want")).collect() == []
+
+
+def test_questions_and_uses_are_read_once(spark):
+    """What is asked, and the uses that it is made from, pass one scan, however many steps need them."""
+    import os
+
+    from tessera.plans import questions as P
+    from tessera.plans.registry import Facts
+
+    data = "/root/testdata/sf0.001"
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    once = F.udf(count).asNondeterministic()
+    asked = spark.createDataFrame([(i, *p) for i, p in enumerate(CASES)], "id int, from string, to string").withColumn("from", once("from"))
+    public = spark.createDataFrame([("b", glob_regex("src/b/api/**"))], "module string, regex string")
+    modules = spark.createDataFrame(MODULES, "module string, volatility string, subdomain string, layer_pos int")
+    files, depends = spark.createDataFrame(FILES, "file string, class string"), spark.createDataFrame(DEPENDS, "module string, target string")
+    out = C.can(asked, files, paths_table(spark, GLOBS), modules, depends, public, C.rules_table(spark, RULES, list("abcd")))
+    assert len(out.collect()) == len(CASES) == seen.value
+    if not os.path.isdir(data):
+        return
+    seen.value = 0
+
+    class Counted(Facts):
+        @property
+        def uses(self):
+            return super().__getattr__("uses").withColumn("file", once("file"))
+
+    facts = Counted(spark, data)
+    rows = P.can_questions(facts)
+    assert not any("lineitem" in f for f in rows.inputFiles())
+    assert rows.count() > 0 and seen.value == Facts(spark, data).uses.count()
