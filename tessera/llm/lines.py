@@ -57,7 +57,9 @@ MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """Hashes of the distinct shingles of a line."""
     one = F.array(F.encode(line, "UTF-32"))  # four bytes a code point; in an array, so that it is encoded once
-    hashes = F.transform(one, lambda wide: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(wide) / 4).cast("int") - size)), lambda i: F.xxhash64(F.substring(wide, 4 * i + 1, F.lit(4 * size)))))
+    # the sequence is of places in bytes: nothing is reckoned for each shingle but its hash
+    last = lambda wide: F.greatest(F.lit(1), F.length(wide) - (4 * size - 1))
+    hashes = F.transform(one, lambda wide: F.transform(F.sequence(F.lit(1), last(wide), F.lit(4)), lambda at: F.xxhash64(F.substring(wide, at, F.lit(4 * size)))))
     return F.array_distinct(hashes[0])
 
 
@@ -76,12 +78,14 @@ def levels(n: Column) -> Column:
 
 
 def minima(hashed: DataFrame, masks: list[int]) -> DataFrame:
-    """From (id, level, i, h): the minima of each line's sample, a bitmap of it, how many shingles it took and from how many lines.
+    """From (id, level, i, h): the minima of each line's sample, a bitmap of it (above level 0), how many shingles it took and from how many lines.
 
     The first shingle always has a row, without a hash where it is not in the sample.
     """
     taken = hashed.withColumn("h", F.expr("if((h & (shiftleft(1L, 2 * level) - 1)) = 0, h, null)")).where("h is not null or i = 0")
-    bits = [F.expr(f"bit_or(if((shiftrightunsigned(h, 40) & 3) = {j}, shiftleft(1L, cast(shiftrightunsigned(h, 42) & 63 as int)), 0L))").alias(f"b{j}") for j in range(4)]
+    # told once a shingle, and only where a line may be signed again
+    taken = taken.select("id", "level", "i", "h", F.expr("if(level > 0, shiftrightunsigned(h, 40) & 3, null)").alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 42) & 63 as int))").alias("bit"))
+    bits = [F.expr(f"bit_or(if(word = {j}, bit, 0L))").alias(f"b{j}") for j in range(4)]
     return taken.groupBy("id", "level").agg(F.count("h").alias("taken"), F.sum((F.col("i") == 0).cast("long")).alias("lines"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)], *bits)
 
 
@@ -134,7 +138,8 @@ def texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
 def sketches(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(id, n, x0, x1, ...): the number of distinct shingles of each line, and the parities of their hashes."""
     h = texts.select("id", F.explode(shingles(F.col("line"), size)).alias("h"))
-    word = [F.expr(f"bit_xor(if((shiftrightunsigned(h, 30) & {WORDS - 1}) = {j}, shiftleft(1L, cast(shiftrightunsigned(h, 50) & 63 as int)), 0L))").alias(f"x{j}") for j in range(WORDS)]
+    h = h.select("id", F.expr(f"shiftrightunsigned(h, 30) & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 50) & 63 as int))").alias("bit"))
+    word = [F.expr(f"bit_xor(if(word = {j}, bit, 0L))").alias(f"x{j}") for j in range(WORDS)]
     return h.groupBy("id").agg(F.count("*").alias("n"), *word)
 
 

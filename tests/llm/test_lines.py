@@ -145,3 +145,25 @@ def test_a_group_around_one_line_and_a_chain(spark):
     got = sorted((r.doc_id, r.text, r.n_lines, r.n_kept) for r in Q.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     want = sorted(brute(rows))
     assert sum(a != b for a, b in zip(got, want)) <= 1
+
+
+def test_shingles_by_place_and_bits_once(spark):
+    """Shingles are those of the line's code points, and the bits of a hash are reckoned once, not for each word of a sketch or bitmap."""
+    from pyspark.sql import functions as F
+
+    lines = ["", "a", "1234567", "12345678", "123456789", "é😀" * 9, "x" * 50, "the quick brown fox jumps"]
+    parts = [(i, x[k : k + Q.SHINGLE]) for i, x in enumerate(lines) for k in range(max(1, len(x) - Q.SHINGLE + 1))]
+    want = {r.id: set(r.h) for r in spark.createDataFrame(parts, "id long, s string").groupBy("id").agg(F.collect_set(F.xxhash64(F.encode("s", "UTF-32"))).alias("h")).collect()}
+    d = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    got = {r.id: r.h for r in d.select("id", Q.shingles(F.col("line")).alias("h")).collect()}
+    assert {i: set(h) for i, h in got.items()} == want and all(len(h) == len(set(h)) for h in got.values())
+    sketch = {r.id: r for r in Q.sketches(d).collect()}
+    for i, hashes in want.items():
+        words = [0] * Q.WORDS
+        for h in hashes:
+            h &= (1 << 64) - 1
+            words[(h >> 30) & (Q.WORDS - 1)] ^= 1 << ((h >> 50) & 63)
+        assert sketch[i].n == len(hashes) and [sketch[i][f"x{j}"] & ((1 << 64) - 1) for j in range(Q.WORDS)] == words
+    hashed = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 0, 4)], "id long, level int, i int, h long")
+    for out in (Q.sketches(d), Q.minima(hashed, Q.MASKS)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("shiftrightunsigned") <= 2
