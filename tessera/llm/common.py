@@ -47,6 +47,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def append(df: DataFrame, to: DataFrame) -> DataFrame:
+    """Write the rows of df to a scratch table and read the whole of it; df may come from the table."""
+    df.write.mode("append").parquet(to._scratch)
+    out = to.sparkSession.read.schema(to.schema).parquet(to._scratch)
+    out._scratch = to._scratch
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove scratch tables that no later plan reads."""
     for t in tables:

@@ -40,7 +40,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, free
+from .common import append, cut, drop, free
 from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 8, 3, 0.8
@@ -49,7 +49,7 @@ LONG, SHORT = 200, 250
 #: A line that has a smaller share of distinct shingles in its sample is signed again, if it may belong to a lower level.
 REPEATS = 0.8
 WORDS = 16
-WORD = r"[^\x20\x09-\x0D]"
+BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 _draw = random.Random(1)
 MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
 
@@ -63,9 +63,14 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
     return F.array_distinct(hashes[0])
 
 
+def worded(line: Column) -> Column:
+    """Whether a line holds a word: it ends at the first one, where a pattern would have the whole line decoded."""
+    return F.ltrim(line, F.lit(BLANK)) != ""
+
+
 def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(line, id) of the lines that hold a word."""
-    return docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).where(F.col("line").rlike(WORD)).withColumn("id", F.xxhash64("line"))
+    return docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).where(worded(F.col("line"))).withColumn("id", F.xxhash64("line"))
 
 
 def levels(n: Column) -> Column:
@@ -77,14 +82,21 @@ def levels(n: Column) -> Column:
     return F.array_distinct(F.array(level(LONG), level(SHORT)))
 
 
-def minima(hashed: DataFrame, masks: list[int]) -> DataFrame:
-    """From (id, level, i, h): the minima of each line's sample, a bitmap of it (above level 0), how many shingles it took and from how many lines.
+def sampled(hashed: DataFrame) -> DataFrame:
+    """(id, level, i, h) of the shingles in the samples, from (id, level, zeros, i, h); zeros: the bits that must be zero.
 
     The first shingle always has a row, without a hash where it is not in the sample.
     """
-    taken = hashed.withColumn("h", F.expr("if((h & (shiftleft(1L, 2 * level) - 1)) = 0, h, null)")).where("h is not null or i = 0")
+    # the task's number keeps the filter above the hash, which would else be taken twice for what passes
+    some = hashed.withColumn("task", F.spark_partition_id()).where("((h & zeros) = 0 or i = 0) and task >= 0")
+    return some.select("id", "level", "i", F.expr("if((h & zeros) = 0, h, null)").alias("h"))
+
+
+def minima(hashed: DataFrame, masks: list[int]) -> DataFrame:
+    """From (id, level, i, h), as sampled gives it: the minima of each line's sample, a bitmap of it (above level 0), how many shingles it took and from how many lines.
+    """
     # told once a shingle, and only where a line may be signed again
-    taken = taken.select("id", "level", "i", "h", F.expr("if(level > 0, shiftrightunsigned(h, 40) & 3, null)").alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 42) & 63 as int))").alias("bit"))
+    taken = hashed.select("id", "level", "i", "h", F.expr("if(level > 0, shiftrightunsigned(h, 40) & 3, null)").alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 42) & 63 as int))").alias("bit"))
     bits = [F.expr(f"bit_or(if(word = {j}, bit, 0L))").alias(f"b{j}") for j in range(4)]
     return taken.groupBy("id", "level").agg(F.count("h").alias("taken"), F.sum((F.col("i") == 0).cast("long")).alias("lines"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)], *bits)
 
@@ -102,23 +114,27 @@ def band_keys(marks: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def signatures(lines: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, keys) of each distinct line, a row for each of its levels."""
+    """(id, keys) of each distinct line, a row for each of its levels; a scratch table."""
     masks = MASKS[: bands * rows]
+    zeros = F.expr("shiftleft(1L, 2 * level) - 1").alias("zeros")
     n = F.greatest(F.lit(1), F.length("line") - (size - 1))
     wide = lines.select("id", "line", n.alias("n")).select("id", "line", "n", F.explode(levels(F.col("n"))).alias("level"))
     # encoded before the shingles are dealt out: once a line
-    wide = wide.select("id", "level", "n", F.encode("line", "UTF-32").alias("w")).select("id", "level", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    first = cut(band_keys(minima(wide.withColumn("h", F.expr(f"xxhash64(substring(w, 4 * i + 1, {4 * size}))")), masks), bands, rows), "line-signatures")
+    wide = wide.select("id", "level", zeros, "n", F.encode("line", "UTF-32").alias("w")).select("id", "level", "zeros", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    hashed = wide.withColumn("h", F.expr(f"xxhash64(substring(w, 4 * i + 1, {4 * size}))"))
+    first = cut(band_keys(minima(sampled(hashed), masks), bands, rows), "line-signatures")
     free(first)
-    out = first.where("keys is not null").select("id", "keys")
     again = first.where("again").select("id").distinct()
     if again.isEmpty():
-        return out
+        return first
     # the texts are written first: else their shingles would be taken before the join
     texts = cut(texts_of(lines, again), "line-again")
     sets = texts.select("id", shingles(F.col("line"), size).alias("hs")).select("id", "hs", F.explode(levels(F.size("hs"))).alias("level"))
-    sets = sets.select("id", "level", F.posexplode("hs").alias("i", "h"))
-    return out.unionAll(band_keys(minima(sets, masks), bands, rows).where("keys is not null").select("id", "keys"))
+    sets = sets.select("id", "level", zeros, F.posexplode_outer("hs").alias("i", "h"))
+    more = band_keys(minima(sampled(sets), masks), bands, rows)
+    out = append(more, first)
+    drop(texts)
+    return out
 
 
 def texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -137,7 +153,8 @@ def texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
 
 def sketches(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(id, n, x0, x1, ...): the number of distinct shingles of each line, and the parities of their hashes."""
-    h = texts.select("id", F.explode(shingles(F.col("line"), size)).alias("h"))
+    # sets first: else what stands above is not compiled with the explosion; outer: else each set is taken twice, to see whether it is empty
+    h = texts.select("id", shingles(F.col("line"), size).alias("hs")).select("id", F.explode_outer("hs").alias("h"))
     h = h.select("id", F.expr(f"shiftrightunsigned(h, 30) & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 50) & 63 as int))").alias("bit"))
     word = [F.expr(f"bit_xor(if(word = {j}, bit, 0L))").alias(f"x{j}") for j in range(WORDS)]
     return h.groupBy("id").agg(F.count("*").alias("n"), *word)
@@ -163,16 +180,17 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float, size: int = SH
 
 def line_components(lines: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """(id, root) of the lines that are similar to others."""
-    marks = cut(signatures(lines, size, bands, rows), "line-marks")
-    # one shuffle by key serves the size of each key and the join with it
-    keys = marks.select("id", F.explode("keys").alias("key")).repartition("key")
-    several = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
-    shared = cut(keys.join(several.hint("shuffle_hash"), "key"), "line-keys")
+    marks = signatures(lines, size, bands, rows)
+    # both sides are one shuffle; a line that is signed again may have a key twice
+    keys = marks.where("keys is not null").select("id", F.explode("keys").alias("key"))
+    alike = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id"))
+    found = cut(keys.alias("x").join(keys.alias("y").hint("shuffle_hash"), alike, "left_semi"), "line-alike")
+    shared = cut(found.join(found.groupBy("key").agg(F.count("*").alias("size")), "key"), "line-keys")
     of = cut(shared.groupBy("id").agg(F.sum("size").alias("weight"), F.collect_set("key").alias("keys")), "line-shared")
     free(shared)
     texts = cut(texts_of(lines, of), "line-texts")
     known = cut(sketches(texts, size).join(of, "id"), "line-sketches")
-    drop(marks, of)
+    drop(marks, found, of)
     hub = shared.select("key", "id").join(known.select("id", "weight"), "id").groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("hub"))
     stars = shared.join(hub, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     stars = cut(stars.join(sided(known, "a"), "a").join(sided(known, "b"), "b").where(near(similarity)).select("a", "b"), "line-stars")
@@ -202,14 +220,14 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", similar
     """docs with the lines kept as text, and n_lines and n_kept."""
     rows = docs.withColumn("_doc", F.xxhash64(F.col(id), F.col(text)))
     roots = line_components(split_lines(rows, text), similarity)
-    place = rows.select("_doc", F.col(id).alias("_id"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line")).where(F.col("line").rlike(WORD))
+    place = rows.select("_doc", F.col(id).alias("_id"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line")).where(worded(F.col("line")))
     place = place.select(F.xxhash64("line").alias("id"), F.struct("_id", "_doc", "at").alias("place"))
     # equal lines first, and of each component one place alone: no join meets a common line's places
     first = place.groupBy("id").agg(F.min("place").alias("place")).join(roots, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("place").alias("place"))
     kept = first.groupBy(F.col("place._doc").alias("_doc")).agg(F.collect_set("place.at").alias("_at"))
     # texts are split before the join: each once
     out = rows.withColumn("_parts", F.split(F.col(text), "\n")).drop(text).join(kept.hint("shuffle_hash"), "_doc", "left")
-    blank = F.filter(F.sequence(F.lit(0), F.size("_parts") - 1), lambda i: ~F.get("_parts", i).rlike(WORD))
+    blank = F.filter(F.sequence(F.lit(0), F.size("_parts") - 1), lambda i: ~worded(F.get("_parts", i)))
     out = out.withColumn("_at", F.when(F.col("_parts").isNotNull(), F.sort_array(F.concat(F.coalesce("_at", F.array().cast("array<int>")), blank))))
     counts = {"n_lines": F.size("_parts"), "n_kept": F.size("_at")}
     out = out.withColumns({c: F.when(F.col("_parts").isNull(), 0).otherwise(n).cast("long") for c, n in counts.items()})

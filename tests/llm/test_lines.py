@@ -167,3 +167,25 @@ def test_shingles_by_place_and_bits_once(spark):
     hashed = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 0, 4)], "id long, level int, i int, h long")
     for out in (Q.sketches(d), Q.minima(hashed, Q.MASKS)):
         assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("shiftrightunsigned") <= 2
+
+
+def test_work_on_lines_is_done_once(spark):
+    """Blank lines are told without a pattern, a hash is taken once for the filter and the minima, and a set once for its sketch."""
+    from pyspark.sql import functions as F
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower()
+    lines = ["", BLANK.replace("\n", ""), "\x1c", "\u00a0", " \u2003", "\t a", "b \r", "é😀"]
+    found = Q.split_lines(spark.createDataFrame([(1, "\n".join(lines)), (2, None)], "doc_id long, text string"))
+    assert "rlike" not in plan(found)
+    assert sorted(r.line for r in found.collect()) == sorted(x for x in lines if x.strip(BLANK))
+    places = spark.createDataFrame([(level, level, (1 << 2 * level) - 1, i, f"{i}") for level in (0, 1, 2) for i in range(64)], "id long, level int, zeros long, i int, s string")
+    some = Q.sampled(places.withColumn("h", F.xxhash64("s")))
+    assert plan(Q.minima(some, Q.MASKS)).count("xxhash64") == 1
+    hashes = {r.i: r.h for r in places.where("level = 0").select("i", F.xxhash64("s").alias("h")).collect()}
+    got = {r.id: r for r in Q.minima(some, Q.MASKS).collect()}
+    for level in (0, 1, 2):
+        sample = [h for h in hashes.values() if h % (1 << 2 * level) == 0]
+        assert got[level].taken == len(sample) and got[level].lines == 1
+        assert [got[level][f"m{k}"] for k in range(len(Q.MASKS))] == [min(h ^ m for h in sample) for m in Q.MASKS]
+    sketch = Q.sketches(spark.createDataFrame([(1, "a" * 50), (2, "b")], "id long, line string"))
+    assert plan(sketch).count("xxhash64") == 1 and {r.id: r.n for r in sketch.collect()} == {1: 1, 2: 1}
